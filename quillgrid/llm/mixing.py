@@ -13,7 +13,7 @@ result. Extra columns are ignored by ``mix`` and kept by ``take``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered, scratch
@@ -79,3 +79,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         last = F.struct(F.lit(cut["finish"]), F.lit(cut["rank"]).cast("long"), F.lit(cut["at"]).cast("long"), F.lit(cut["copy"]))
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((place(F.lit(e)) <= last).cast("int") for e in range(repeats))).otherwise(0)
     return queued.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (taken * F.col("size")).cast("long").alias("taken"), F.col("source").alias(source_col), taken.cast("int").alias("copies"), F.col("key").alias("shuffle_key"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The rows as often as the mix takes them, with all their columns.
+
+    Rows find their number of copies by id and shuffle key; rows alike in both are alike in source and text, so
+    which of them gets which number doesn't show: each gets the group's total, shared out.
+    """
+    plan = mix(docs, id_col, source_col, text_col, weights, repeats, seed)
+    key = F.xxhash64(F.lit(seed), docs[id_col], docs[text_col])
+    plan = plan.select(F.col("shuffle_key").alias("k"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), "copies")
+    totals = plan.groupBy("k", "i", "s").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0")
+    if totals.where("n > 1").limit(1).count():
+        # Repeated rows: of a group of n rows that share total copies, each carries total / n, the first ones one more.
+        w = Window.partitionBy("k", "i", "s").orderBy(F.lit(1))
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("rk"), docs[id_col].alias("ri"), docs[source_col].alias("rs"))
+        joined = rows.join(totals, (F.col("rk") == F.col("k")) & F.col("ri").eqNullSafe(F.col("i")) & F.col("rs").eqNullSafe(F.col("s")))
+        counted = joined.withColumn("copies", F.floor(F.col("total") / F.col("n")) + (F.row_number().over(w) <= F.col("total") % F.col("n")).cast("int"))
+        wide = counted.where("copies > 0")
+    else:
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("rk"), docs[id_col].alias("ri"), docs[source_col].alias("rs"))
+        wide = rows.join(totals.withColumnRenamed("total", "copies"), (F.col("rk") == F.col("k")) & F.col("ri").eqNullSafe(F.col("i")) & F.col("rs").eqNullSafe(F.col("s")))
+    return wide.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

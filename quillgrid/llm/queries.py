@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, phrase_index, repetition, sharding, token_counts, toxicity
+from . import chat, html_extract, jaccard, mixing, phrase_index, repetition, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = phrase_index.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,6 +39,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; and n_words, ratio_per_word."""
     docs = table(spark, sf_dir, "documents")
@@ -55,6 +65,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op3_mixing, op5_decontamination, op6_token_counts, op8_toxicity, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op3_mixing, op4_html, op5_decontamination, op6_token_counts, op7_jaccard, op8_toxicity, op9_chat, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
