@@ -67,4 +67,56 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_repetition, op3_mixing, op4_html, op5_decontamination, op6_token_counts, op7_jaccard, op8_toxicity, op9_chat, op10_sharding)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The words of op1 and op7, and those of op5 on texts with A-Z in lower case.
+SPACED, LETTERS = r"'[^\x20\x09-\x0D]+'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _percent(n: int) -> str:
+    return f"coalesce(max(100 * covered) filter (where n = {n}), 0) / greatest(any_value(word_chars), 1)"
+
+
+_GRAMS = sorted(repetition.NGRAM_LIMITS)
+_OP1 = f"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {SPACED}) as w from documents),
+base as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols from d),
+lines as (select doc_id, line, row_number() over (partition by doc_id, line order by k) as seen from
+  (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from d) where regexp_matches(line, {SPACED})),
+dup as (select doc_id, count(*) as n_dup_lines, sum(list_sum(list_transform(regexp_extract_all(line, {SPACED}), lambda x: length(x)))) as dup_line_chars from lines where seen > 1 group by 1),
+grams as (select doc_id, n, i, w[i:i + n - 1] as g from d, (select unnest({sorted({*_GRAMS, repetition.BASE_WINDOW})}) as n) as ns, lateral (select unnest(range(1, greatest(len(w) - n + 2, 1))) as i) as r),
+twice as (select doc_id, n, i from grams qualify count(*) over (partition by doc_id, n, g) > 1),
+inside as (select distinct doc_id, n, i + j as k from twice, lateral (select unnest(range(n)) as j) as r),
+cover as (select doc_id, n, count(*) as words, sum(length(w[k])) as covered from inside join d using (doc_id) group by 1, 2),
+all_ as (select doc_id, any_value(n_words) as n_words, any_value(base.word_chars) as word_chars, any_value(n_symbols) as n_symbols, cast(coalesce(any_value(n_dup_lines), 0) as bigint) as n_dup_lines,
+  cast(coalesce(max(words) filter (where n = {repetition.BASE_WINDOW}), 0) as bigint) as n_repeat_words, cast(coalesce(any_value(dup_line_chars), 0) as bigint) as dup_line_chars,
+  {", ".join(f"{_percent(n)} as ngram_percent_{n}" for n in _GRAMS)}
+  from base left join dup using (doc_id) left join cover using (doc_id) group by doc_id),
+judged as (select *, n_words < {repetition.MIN_WORDS} or 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words as base_failed from all_)
+select *, not base_failed and 100 * dup_line_chars <= {repetition.LINE_LIMIT} * word_chars and {" and ".join(f"ngram_percent_{n} <= {repetition.NGRAM_LIMITS[n]}" for n in _GRAMS)} as kept from judged"""
+
+_OP5 = f"""with d as (select doc_id, regexp_extract_all({LOWERED}, {LETTERS}) as w from documents),
+b as (select item_id, regexp_extract_all({LOWERED}, {LETTERS}) as w from benchmark),
+bw as (select distinct item_id, least(len(w), {phrase_index.WINDOW}) as n, w[i:i + {phrase_index.WINDOW} - 1] as g from b, lateral (select unnest(range(1, greatest(len(w) - {phrase_index.WINDOW} + 2, 2))) as i) as r where len(w) > 0),
+dw as (select doc_id, n, i, w[i:i + n - 1] as g from d, (select distinct n from bw) as ns, lateral (select unnest(range(1, greatest(len(w) - n + 2, 1))) as i) as r),
+hit as (select doc_id, item_id, dw.n, i from dw join bw on dw.n = bw.n and dw.g = bw.g),
+words as (select doc_id, count(distinct i + j) as n_hit from hit, lateral (select unnest(range(n)) as j) as r group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from (select distinct doc_id, item_id from hit) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join words using (doc_id) left join items using (doc_id)"""
+
+_OP7 = f"""with recursive d as (select doc_id, regexp_extract_all({LOWERED}, {SPACED}) as w from documents),
+s as (select distinct doc_id, w[i:i + {jaccard.SHINGLE} - 1] as g from d, lateral (select unnest(range(1, greatest(len(w) - {jaccard.SHINGLE} + 2, 2))) as i) as r where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select x.doc_id as a, y.doc_id as b, count(*) as o from s as x join s as y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+l as (select a, b from o join n as p on p.doc_id = a join n as q on q.doc_id = b where 100 * o >= {jaccard.PERCENT} * (p.n + q.n - o)),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, l.b from reach join l on l.a = reach.b)
+select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(reach.b) as component_id from d left join n using (doc_id) join reach on reach.a = d.doc_id group by 1"""
+
+_OP9 = r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, lag(role) over w as before, lead(role) over w as after, replace(replace(text, '\', '\\'), '<|', '<\|') as body, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') as head from t window w as (partition by conv_id order by turn, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(body) + case when before = role then length('<|im_next|>') else length('<|im_start|>') + length(head) + 1 end + case when after = role then 0 else length('<|im_end|>') + 1 end) as bigint) as formatted_chars from e group by 1"""
+
+#: op3 and op10 order by hashes that DuckDB lacks, op4 and op8 are models, op6 a tokenizer: these are tested against brute force, round trips or held-out rows.
+ORACLE_SQL = {"op1_repetition": _OP1, "op5_decontamination": _OP5, "op7_jaccard": _OP7, "op9_chat": _OP9}
