@@ -342,6 +342,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     gone = find_links(classes, width, percent).select("node")
     stay = classes.where("n_shingles > 0").join(gone, "node", "left_anti").select("digest")
     with_digest = rows.select("id", digest(F.col("text")).alias("digest"), "row")
-    firsts = with_digest.join(stay, "digest", "left_semi").groupBy("digest").agg(F.min_by("row", F.coalesce("id", F.lit(NO_ID))).alias("row"))
+    # Copies are folded before the shuffle, so a text with many of them isn't dealt to one task row by row.
+    firsts = with_digest.groupBy("digest").agg(F.min_by("row", F.coalesce("id", F.lit(NO_ID))).alias("row")).join(stay, "digest", "left_semi")
     empty = classes.where("n_shingles = 0").select("digest")
     return firsts.select("row.*").unionByName(with_digest.join(empty, "digest", "left_semi").select("row.*"))
