@@ -43,6 +43,8 @@ CALIBRATION_ROWS = 50_000
 #: Labels up to this number are broadcast to the documents; beyond it both are shuffled.
 BROADCAST_LABELS = 2_000_000
 DISCOUNT, DOUBT, PAIR_DOUBT = 0.75, 3.0, 12.0
+#: Expressions that a task counts at once.
+GATHER = 2_000_000
 
 
 def fold(id_col: Column) -> Column:
@@ -136,12 +138,16 @@ def count_words(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, toxic = [], []
+            keys, toxic, size = [], [], 0
             for block in tb.blocks(batch.column(1), lower=True):
                 starts, ends, firsts = block.words(tb.WORDLIKE)
                 own, owner = once(block.hashes(starts, ends), tb.owners(firsts))
                 keys.append(own)
                 toxic.append(flags[block.lo : block.hi][owner])
+                size += len(own)
+                if size >= GATHER:
+                    yield _counted(np.concatenate(keys), np.concatenate(toxic))
+                    keys, toxic, size = [], [], 0
             if keys:
                 yield _counted(np.concatenate(keys), np.concatenate(toxic))
 
@@ -155,7 +161,7 @@ def count_pairs(train: DataFrame, words: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, toxic = [], []
+            keys, toxic, size = [], [], 0
             for block in tb.blocks(batch.column(1), lower=True):
                 starts, ends, firsts = block.words(tb.WORDLIKE)
                 k, owner = indexed(shared.value, block.hashes(starts, ends)), tb.owners(firsts)
@@ -163,6 +169,10 @@ def count_pairs(train: DataFrame, words: np.ndarray) -> DataFrame:
                 own, owner = once((k[:-1] << 32 | k[1:])[same], owner[1:][same])
                 keys.append(own)
                 toxic.append(flags[block.lo : block.hi][owner])
+                size += len(own)
+                if size >= GATHER:
+                    yield _counted(np.concatenate(keys), np.concatenate(toxic))
+                    keys, toxic, size = [], [], 0
             if keys:
                 yield _counted(np.concatenate(keys), np.concatenate(toxic))
 
