@@ -5,7 +5,7 @@ distinct texts that miss are encoded; their counts are appended to the cache, an
 
 Where the tokenizer cuts texts at each single space anyway (byte-level pre-tokens, no normalizer), a Python
 worker encodes each distinct piece between such spaces once and sums: the same idea, a level below. It holds
-at most MOST_PIECES pieces, some hundred bytes each, and starts anew beyond.
+at most MOST_PIECES pieces, some hundred bytes each; beyond, it lets the longer ones go, which are the rarer.
 
 Cases: a null text counts as an empty one: 0 bytes, 0 tokens. Equal texts, however many, are encoded once;
 repeated rows each get a row. An empty table gives an empty result and appends nothing. Texts of any length
@@ -30,7 +30,7 @@ CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 #: Characters of text that are encoded in one call of the library.
 CHUNK = 1 << 18
 MOST_PIECES = 400_000
-MOST_PIECES = 1_500_000
+MOST_PIECES, LASTING = 400_000, 7
 #: A space is a sure cut where what stands on either side is a letter, digit, or printable ASCII.
 CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
 UNSURE = re.compile(r"(?:^|[^\w!-~]) | (?:[^\w!-~]|\Z)")
@@ -75,8 +75,11 @@ def by_pieces(count, version: str):
                 pieces.append([first, *map(" ".__add__, rest)])
         new = list(set().union(*pieces).difference(known))
         if len(known) + len(new) > MOST_PIECES:
+            lasting = {p: n for p, n in known.items() if len(p) <= LASTING}
             known.clear()
-            new = list(set().union(*pieces))
+            if len(lasting) <= MOST_PIECES // 2:
+                known.update(lasting)
+            new = list(set().union(*pieces).difference(known))
         known.update(zip(new, count(new), strict=True))
         return [sum(map(known.__getitem__, p)) for p in pieces]
 
