@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import ordered, scratch
 
-#: As many group ends as the driver may hold at once.
+#: As many group ends as the driver may hold at once; at least 8 for each pair of shards, so that windows shrink.
 MOST_ENDS = 100_000
 
 
@@ -51,7 +51,7 @@ def cut_points(groups: DataFrame, n: int, most: int = MOST_ENDS) -> list[int]:
     count, total, largest = groups.agg(F.count("*"), F.max("upto"), F.max("size")).first()
     if not count:
         return []
-    windows, known = [(0, total)], np.array([total])
+    windows, known, most = [(0, total)], np.array([total]), max(most, 8 * n * n)
     lo = max(-(-total // n), largest)
     while True:
         inside = F.lit(False)
