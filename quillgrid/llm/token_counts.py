@@ -30,7 +30,7 @@ CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 #: Characters of text that are encoded in one call of the library.
 CHUNK = 1 << 18
 MOST_PIECES = 400_000
-MOST_PIECES, LASTING = 400_000, 7
+MOST_PIECES, LASTING, AT_ONCE = 200_000, 7, 2048
 #: A space is a sure cut where what stands on either side is a letter, digit, or printable ASCII.
 CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
 UNSURE = re.compile(r"(?:^|[^\w!-~]) | (?:[^\w!-~]|\Z)")
@@ -57,8 +57,9 @@ def cuts_at_spaces(spec: dict) -> bool:
     return plain and not spec.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
 
 
-#: Counts of pieces by tokenizer version, which tasks that follow in one Python worker share.
+#: Counts of pieces, and counters, by tokenizer version, which tasks that follow in one Python worker share.
 _PIECES: dict[str, dict[str, int]] = {}
+_COUNTERS: dict = {}
 
 
 def by_pieces(count, version: str):
@@ -80,14 +81,24 @@ def by_pieces(count, version: str):
             if len(lasting) <= MOST_PIECES // 2:
                 known.update(lasting)
             new = list(set().union(*pieces).difference(known))
-        known.update(zip(new, count(new), strict=True))
+        for k in range(0, len(new), AT_ONCE):
+            part = new[k : k + AT_ONCE]
+            known.update(zip(part, count(part), strict=True))
         return [sum(map(known.__getitem__, p)) for p in pieces]
 
     return run
 
 
 def make_counter(library: str, body: bytes, version: str):
-    """A function from a list of texts to their token counts, without added tokens, truncation or padding."""
+    """A function from a list of texts to their token counts, without added tokens, truncation or padding; one for each worker and version."""
+    if version not in _COUNTERS:
+        _COUNTERS.clear()
+        _PIECES.clear()
+        _COUNTERS[version] = new_counter(library, body, version)
+    return _COUNTERS[version]
+
+
+def new_counter(library: str, body: bytes, version: str):
     if library == "tokenizers":
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
