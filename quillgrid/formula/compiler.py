@@ -580,6 +580,8 @@ class Scalar(Compiler):
             if own_sheets != sheets or len(own) != 1 or (a2, b2) != (a, b):
                 return V(F.lit(None).cast("double"), "number", F.lit(VALUE))
             test &= criteria.matches(F.col(own[0]), kind[own[0]], self.literal(want))
+        if name.endswith("IFS") and target is not None and self.span(target)[2:] != (a, b):
+            return V(F.lit(None).cast("double"), "number", F.lit(VALUE))
         if a is not None:
             test &= F.col(self.sheets.row).between(a, b)
         if target is None:

@@ -1,4 +1,7 @@
-"""Row filters: conditions on columns, joined by AND. A NULL condition counts as false."""
+"""Row filters: conditions on columns, joined by AND. A NULL condition counts as false, as in any filter.
+
+Conditions are left bare where they can be, so that comparisons reach the scan.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,7 @@ def value_list(df: DataFrame, column: str, wanted: list[str]) -> Column:
         parts.append((c["tag"] == cells.NUMBER) & c["num"].isin(numbers) if numbers else F.lit(False))
     if "" in wanted:
         parts.append(c.isNull())
-    return F.coalesce(reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), parts), F.lit(False))
+    return parts[0] if len(parts) == 1 else reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), parts)
 
 
 def compare(df: DataFrame, column: str, op: str, value: float) -> Column:
@@ -41,8 +44,8 @@ def compare(df: DataFrame, column: str, op: str, value: float) -> Column:
     x = cells.numbers(F.col(column), cells.kinds(df)[column])
     test = {"=": x == value, "<>": x != value, "<": x < value, "<=": x <= value, ">": x > value, ">=": x >= value}[op]
     if cells.kinds(df)[column].simpleString() in ("double", "float") or cells.is_mixed(cells.kinds(df)[column]):
-        test = (test & ~F.isnan(x)) if op != "<>" else test
-    return F.coalesce(test, F.lit(False))
+        test = (test & ~F.isnan(x)) if op in (">", ">=") else test  # NaN counts as greatest here
+    return test
 
 
 def between(df: DataFrame, column: str, low: float, high: float) -> Column:
@@ -60,7 +63,7 @@ def text(df: DataFrame, column: str, needle: str, whole: bool = False, case: boo
         shown = F.when(c["tag"] != cells.NUMBER, shown)
     if not case:
         shown, needle = F.lower(shown), needle.lower()
-    return F.coalesce(shown == needle if whole else shown.contains(needle), F.lit(False))
+    return shown == needle if whole else shown.contains(needle)
 
 
 def blank(column: str) -> Column:

@@ -26,7 +26,7 @@ def placed(df: DataFrame, order: list[Column]) -> DataFrame:
 def replaced(df: DataFrame) -> DataFrame:
     """Places without gaps after rows went."""
     old = "_old"
-    return positional.numbered(df.withColumnRenamed(R, old), [F.col(old)], R).drop(old)
+    return positional.numbered(df.withColumnRenamed(R, old), [F.col(old)], R).select(R, *columns_of(df))
 
 
 def from_sheet(df: DataFrame, columns: list[str], row: str = "_row", first: int | None = None, last: int | None = None) -> DataFrame:

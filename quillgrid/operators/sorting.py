@@ -18,9 +18,9 @@ def view_order(df: DataFrame, keys: list[tuple[str, bool]], row: str | None = No
             out.append((r == cells.EMPTY).asc())
         way = (lambda x: x.asc_nulls_last()) if up else (lambda x: x.desc_nulls_last())
         if k == "mixed":
-            out += [way(r), way(c["num"]), way(F.lower(F.coalesce(c["str"], c["err"])))]
+            out += [way(r), way(c["num"]), way(F.when(r != cells.EMPTY, F.lower(F.coalesce(c["str"], c["err"]))))]
         elif k == "text":
-            out.append(way(F.lower(c)))
+            out.append(way(F.when(r != cells.EMPTY, F.lower(c))))
         else:
             out.append(way(c))
     return [*out, *([F.col(row).asc()] if row else [])]

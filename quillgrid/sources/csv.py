@@ -31,11 +31,16 @@ class Dialect:
 
 
 def prefix(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, through the store's own reader."""
+    """The first bytes of a file, or of the first file that a pattern or folder holds, through the store's own reader."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(p)
+    found = fs.globStatus(p)
+    if found and found[0].isDirectory():
+        found = [f for f in fs.listStatus(found[0].getPath()) if f.isFile() and f.getPath().getName()[0] not in "._"]
+    if not found:
+        raise FileNotFoundError(path)
+    stream = fs.open(found[0].getPath())
     try:
         out = jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, PREFIX))
     finally:
@@ -57,6 +62,16 @@ def encoding_of(head: bytes) -> str:
     return "utf-16-be" if head[::2].count(0) > len(head) // 4 else "utf-8"
 
 
+def records(text: str, delimiter: str, quote: str) -> list[list[str]]:
+    """Records that aren't blank, as far as the text can be read."""
+    out, reader = [], pycsv.reader(io.StringIO(text.replace("\r\n", "\n").replace("\r", "\n")), delimiter=delimiter, quotechar=quote)
+    try:
+        out += (r for r in reader if r)
+    except pycsv.Error:
+        pass
+    return out
+
+
 def sniff_bytes(head: bytes) -> Dialect:
     """By the commonest number of fields: the delimiter and quote that give the most lines one width above 1."""
     encoding = encoding_of(head)
@@ -67,7 +82,7 @@ def sniff_bytes(head: bytes) -> Dialect:
     more = [c for c, _ in Counter(ch for ch in sample if not ch.isalnum() and ch not in " \r\n\"'.-_").most_common(3)]
     for delimiter in dict.fromkeys([*DELIMITERS, *more]):
         for quote in ('"', "'"):
-            rows = [r for r in pycsv.reader(io.StringIO(sample), delimiter=delimiter, quotechar=quote) if r]
+            rows = records(sample, delimiter, quote)
             widths = Counter(len(r) for r in rows)
             width, n = max(widths.items(), key=lambda kv: (kv[0] > 1, kv[1]), default=(1, 0))
             quoted = sample.count(delimiter + quote)
@@ -75,7 +90,7 @@ def sniff_bytes(head: bytes) -> Dialect:
             if score > best:
                 skip = next((k for k, r in enumerate(rows) if len(r) == width), 0)
                 best, found = score, Dialect(delimiter, quote, encoding, skip, True)
-    rows = [r for r in pycsv.reader(io.StringIO(sample), delimiter=found.delimiter, quotechar=found.quote) if r][found.skip_rows :]
+    rows = records(sample, found.delimiter, found.quote)[found.skip_rows :]
     found.header = looks_like_header(rows)
     return found
 
@@ -95,8 +110,7 @@ def sniff(spark: SparkSession, path: str) -> Dialect:
 
 def preview(head: bytes, dialect: Dialect) -> list[list[str]]:
     text = head.decode(dialect.encoding, "replace").lstrip("﻿")
-    rows = (r for r in pycsv.reader(io.StringIO(text), delimiter=dialect.delimiter, quotechar=dialect.quote) if r)
-    return [r for _, r in zip(range(PREVIEW + dialect.skip_rows), rows, strict=False)][dialect.skip_rows :]
+    return records(text, dialect.delimiter, dialect.quote)[dialect.skip_rows : dialect.skip_rows + PREVIEW]
 
 
 def unique_names(names: list[str]) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -56,7 +57,7 @@ def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
             body = f.read(MOST_ENTRY + 1)
     except KeyError:
         return None
-    except (zipfile.BadZipFile, EOFError, OSError) as e:
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError) as e:
         raise HostileFile(f"broken entry {name}: {e}") from e
     if re.search(rb"<!(?:DOCTYPE|ENTITY)", body):
         raise HostileFile(f"document type in {name}")
