@@ -84,6 +84,7 @@ class Sheets:
         return names[a : b + 1]
 
 
+MOST_INDIRECT = 16
 AGGREGATES = {"SUM", "COUNT", "AVERAGE", "MIN", "MAX", "MEDIAN", "STDEV.P", "STDEV.S", "VAR.P", "VAR.S", "PERCENTILE.INC", "PERCENTILE", "QUARTILE.INC", "QUARTILE", "LARGE", "SMALL", "MODE", "MODE.SNGL", "RANK", "RANK.EQ", "STDEV", "VAR", "STDEVP", "VARP"}
 CRITERIA = {"SUMIF", "COUNTIF", "AVERAGEIF", "SUMIFS", "COUNTIFS", "AVERAGEIFS"}
 LOOKUPS = {"VLOOKUP", "HLOOKUP", "MATCH", "INDEX", "XLOOKUP"}
@@ -339,6 +340,25 @@ class Compiler:
         x, y = self.value(a).number(), self.value(b).number()
         return V(dates.networkdays(cells.from_serial(x.filled()), cells.from_serial(y.filled())).cast("double"), "number", first_error(x.err, y.err))
 
+    def f_indirect(self, where, style=None) -> V:
+        """The cell that a text names, worked out when the plan is made; at most MOST_INDIRECT deep."""
+        self.indirect = getattr(self, "indirect", 0) + 1
+        if self.indirect > MOST_INDIRECT:
+            return V(F.lit(None).cast("double"), "number", F.lit(REF))
+        frames = {k: f for k, f in self.sheets.frames.items() if k != "\0probe"}
+        named = where.value if isinstance(where, p.Str) else Scalar(Sheets(frames, self.sheets.row), self.home_of_cells).result(where).first()["value"]
+        try:
+            node = p.parse(str(named))
+        except p.FormulaError:
+            node = None
+        if isinstance(node, p.Range) and node.first == node.last:
+            node = node.first
+        if not isinstance(node, p.Ref) or (node.sheet and node.sheet not in self.sheets.frames):
+            return V(F.lit(None).cast("double"), "number", F.lit(REF))
+        out = self.cell(p.Ref(node.col, node.row, True, True, node.sheet))
+        self.indirect -= 1
+        return out
+
     def f_today(self) -> V:
         return V(cells.serial(F.current_date()), "number")
 
@@ -790,8 +810,13 @@ class Filled(Compiler):
             pattern = pattern if how == 2 else None
             last = len(args) > 5 and self.literal(args[5]) in (-1, -2)
             fallback = args[3] if len(args) > 3 and not isinstance(args[3], p.Missing) else None
-        else:  # HLOOKUP: the header row turned into a table of its columns
-            raise p.FormulaError("HLOOKUP works on a header row: use operators.reshape.transpose and VLOOKUP")
+        else:  # HLOOKUP: the first row and the row asked for, turned into a table of columns
+            at = int(self.literal(args[2]))
+            _, columns, first, final = self.span(args[1])
+            if at < 1 or (final is not None and at > final - first + 1):
+                return V(F.lit(None).cast("double"), "number", F.lit(VALUE if at < 1 else REF))
+            table, look, back = self.across(args[1], at), "_head", "_cell"
+            exact = len(args) > 3 and self.literal(args[3]) in (0, False)
         kind = cells.kinds(table)[back]
         table = table.select(F.col(self.sheets.row).alias("_at"), F.col(look).alias("_look"), F.col(back).alias("_back"))
         if pattern is not None:
@@ -810,6 +835,17 @@ class Filled(Compiler):
             out = V(out.col, out.kind, first_error(probe.err, F.col(err), out.err))
         return self.rescued(None, fallback, out.err == NA, out) if fallback is not None else out
 
+    def across(self, rng, at: int) -> DataFrame:
+        """A range's first row and its row ``at`` (from 1) as columns of a frame, a row for each column of the range."""
+        df, columns = self.slice(rng)
+        kind, first = cells.kinds(df), self.span(rng)[2] or 0
+        plain = all(cells.kind_of(kind[c]) == "number" for c in columns)
+        cell = lambda c: F.col(c).cast("double") if plain else F.when(F.col(c).isNotNull(), cells.shown(F.col(c), kind[c]))
+        entry = F.array(*[F.struct(F.lit(j).cast("long").alias("j"), cell(c).alias("v")) for j, c in enumerate(columns)])
+        flat = df.where(F.col(self.sheets.row).isin(first, first + at - 1)).select(F.col(self.sheets.row).alias("r"), F.explode(entry).alias("e")).select("r", "e.j", "e.v")
+        own = lambda k: F.max(F.when(F.col("r") == first + k, F.col("v")))
+        return flat.groupBy(F.col("j").alias(self.sheets.row)).agg(own(0).alias("_head"), own(at - 1).alias("_cell"))
+
     def indexed(self, rng, row, column=None) -> V:
         table, columns = self.slice(rng)
         at = int(self.literal(column)) if column is not None else 1
