@@ -70,6 +70,7 @@ def test_jaccard(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
     monkeypatch.setattr(jaccard, "FREQUENT", 6)
+    monkeypatch.setattr(jaccard, "BROADCAST_TIES", 0 if block == 16 else 500_000)
     texts = near_copies(random.Random(block), 300)
     want, sizes = brute_components(texts)
     got = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).orderBy("doc_id").collect()
