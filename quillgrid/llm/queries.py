@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, jaccard, mixing, phrase_index, repetition, sharding, token_counts, toxicity
+from . import chat, html_extract, jaccard, line_dedup, mixing, phrase_index, repetition, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (places of lines), match_ids (documents with the earlier lines)."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -65,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op3_mixing, op4_html, op5_decontamination, op6_token_counts, op7_jaccard, op8_toxicity, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_line_dedup, op3_mixing, op4_html, op5_decontamination, op6_token_counts, op7_jaccard, op8_toxicity, op9_chat, op10_sharding)}
 
 #: The words of op1 and op7, and those of op5 on texts with A-Z in lower case.
 SPACED, LETTERS = r"'[^\x20\x09-\x0D]+'", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
