@@ -267,8 +267,8 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = rows.join(marks, F.col("id") == F.col("label_id"))
     known = scratch.keep(known.select("id", "fold", "toxic", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["fold", "toxic", "digest"]), "labelled")
     model = fit_counts(known.where(F.col("fold") != CALIBRATE))
-    part = known.where(F.col("fold") == CALIBRATE).orderBy(F.xxhash64("id")).limit(calibration_rows)
-    got = totals(part, model, ["toxic"]).select("toxic", "total", "n_words").toArrow()
+    scored = totals(known.where(F.col("fold") == CALIBRATE), model, ["id", "toxic"])
+    got = scored.orderBy(F.xxhash64("id")).limit(calibration_rows).select("toxic", "total", "n_words").toArrow()
     y = got["toxic"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         model.curve = tuple(logistic(features(got["total"].to_numpy(), got["n_words"].to_numpy()), y))
