@@ -1,4 +1,4 @@
-"""What the reference does step by step, as streams: command lines that are appended, pivots that follow edits."""
+"""Streams: command lines that are appended to a folder, and pivots that follow edits."""
 
 from __future__ import annotations
 
