@@ -16,13 +16,15 @@ result. Lines of any length are compared whole. Extra columns are ignored, or ke
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 75, 5
-CELLS = 1 << 20
+CELLS = 1 << 16
 
 
 def let(value: Column, body) -> Column:
@@ -42,22 +44,28 @@ def tokens(line: Column, width: int = SHINGLE) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= max(width, MIN_WORDS), hashed(w)))
 
 
+def token_sets(lines: DataFrame) -> DataFrame:
+    """doc, pos, t of the lines that are long enough. A generator works the tokens out once; a filter would do so twice."""
+    return lines.select("doc", "pos", F.explode(F.filter(F.array(tokens(F.col("line"))), lambda t: t.isNotNull())).alias("t"))
+
+
 def cell(token: Column) -> Column:
     return token.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def ranks(tokens_only: DataFrame) -> DataFrame:
-    """One row: an array of CELLS ranks, 0 to 63, that rise with how often a cell's tokens occur."""
-    counts = tokens_only.select(F.explode("t").alias("t")).groupBy(cell(F.col("t")).alias("c")).agg(F.count("*").alias("n"))
-    every = tokens_only.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left")
-    level = F.least(F.lit(63), F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 2)).cast("int")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", level.alias("r")))), lambda s: s["r"].cast("byte")).alias("ranks"))
+def ranks(sets: DataFrame) -> bytearray:
+    """A byte for each cell, 48 to 111, that rises with how often the cell's tokens occur. Its size is fixed, whatever the corpus."""
+    counts = sets.select(F.explode("t").alias("t")).groupBy(cell(F.col("t")).alias("c")).agg(F.count("*").alias("n")).collect()
+    out = bytearray([48]) * CELLS
+    for c, n in counts:
+        out[c] = 48 + min(63, int(2 * math.log2(n + 1)))
+    return out
 
 
-def ordered(t: Column, ranks_col: Column) -> Column:
-    """Tokens as longs whose natural order is rarest first."""
-    one = lambda h: F.shiftleft(F.element_at(ranks_col, cell(h) + 1).cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))
-    return F.sort_array(F.transform(t, one))
+def ordered(t: Column, table: bytearray) -> Column:
+    """Tokens as longs whose natural order is rarest first. The table is a literal, so that no row carries it."""
+    rank = lambda h: F.ascii(F.substring(F.lit(table), cell(h) + 1, F.lit(1)).cast("string")).cast("long") - 48
+    return F.sort_array(F.transform(t, lambda h: F.shiftleft(rank(h), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
 
 
 def reach(n1: Column, n2: Column, percent: int) -> Column:
@@ -81,9 +89,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each line to remove: doc, pos, and the document and place of an earlier line that it matches."""
     lines = lines_of(docs, id_col, text_col)
-    table = F.broadcast(ranks(lines.select(tokens(F.col("line")).alias("t")).where("t is not null")))
+    table = ranks(token_sets(lines))
     at = F.struct("doc", "pos")
-    sized = lines.select("doc", "pos", tokens(F.col("line")).alias("t")).where("t is not null").join(table).select("doc", "pos", ordered(F.col("t"), F.col("ranks")).alias("sig"))
+    sized = token_sets(lines).select("doc", "pos", F.explode(F.array(ordered(F.col("t"), table))).alias("sig"))
     n = F.size("sig")
     prefix = F.slice("sig", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
     small = scratch.keep(sized.select("doc", "pos", F.xxhash64("sig").alias("h"), n.alias("n"), prefix.alias("prefix")), "lines")
