@@ -25,6 +25,8 @@ from . import scratch
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 75, 5
 CELLS = 1 << 16
+#: Stands for a null doc_id, before all others.
+NO_ID = -(1 << 63)
 
 
 def let(value: Column, body) -> Column:
@@ -32,9 +34,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def doc_of(id_col: Column) -> Column:
+    return F.coalesce(id_col.cast("long"), F.lit(NO_ID))
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """Written and read again; what it took to get there is let go."""
+    out = scratch.keep(df, name)
+    scratch.release(df.sparkSession)
+    return out
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, pos (from 0), line."""
-    return docs.select(docs[id_col].cast("long").alias("doc"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
+    """doc (NO_ID for null), pos (from 0), line."""
+    return docs.select(doc_of(docs[id_col]).alias("doc"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
 
 
 def tokens(line: Column, width: int = SHINGLE) -> Column:
@@ -94,37 +107,38 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sized = token_sets(lines).select("doc", "pos", F.explode(F.array(ordered(F.col("t"), table))).alias("sig"))
     n = F.size("sig")
     prefix = F.slice("sig", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
-    small = scratch.keep(sized.select("doc", "pos", F.xxhash64("sig").alias("h"), n.alias("n"), prefix.alias("prefix")), "lines")
+    small = step(sized.select("doc", "pos", F.xxhash64("sig").alias("h"), n.alias("n"), prefix.alias("prefix")), "lines")
 
     firsts = small.groupBy("h", "n").agg(F.min(at).alias("at"), F.first("prefix").alias("prefix"))
     postings = firsts.select("at", "n", F.posexplode("prefix").alias("i", "key"))
     w = Window.partitionBy("key")
     entry = F.struct("at", "n", "i")
     met = postings.withColumn("k", F.count("*").over(w)).withColumn("lead", F.min(entry).over(w)).where("k > 1").select("key", "at", "n", "i", "lead")
-    members = scratch.keep(met, "line-postings")
+    members = step(met, "line-postings")
 
     ids = members.select("at").distinct().select("at.doc", "at.pos", "at")
-    met_lines = lines.join(ids, lines["doc"].eqNullSafe(ids["doc"]) & (lines["pos"] == ids["pos"])).select("at", tokens(F.col("line")).alias("sig"))
-    sets = scratch.keep(met_lines.dropDuplicates(["at"]), "line-sets")
+    # One line for each place: rows that repeat a doc_id count as one document.
+    met_lines = lines.join(ids, ["doc", "pos"]).groupBy("doc", "pos").agg(F.first("at").alias("at"), F.first("line").alias("line"))
+    sets = step(met_lines.select("at", tokens(F.col("line")).alias("sig")), "line-sets")
 
     to_lead = members.where((F.col("at") != F.col("lead.at")) & plausible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent))
-    settled = scratch.keep(verified(to_lead.select(F.col("at").alias("line"), F.col("lead.at").alias("other")).distinct(), sets, percent), "line-matches")
+    settled = step(verified(to_lead.select(F.col("at").alias("line"), F.col("lead.at").alias("other")).distinct(), sets, percent), "line-matches")
     standing = members.join(settled.select(F.col("line").alias("at")).distinct(), "at", "left_anti").where(F.col("at") != F.col("lead.at"))
     other = members.select("key", F.col("at").alias("other"), F.col("n").alias("n2"), F.col("i").alias("i2"))
     rest = standing.join(other, "key").where((F.col("other") < F.col("at")) & (F.col("other") != F.col("lead.at")) & plausible(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent))
-    later = scratch.keep(verified(rest.select(F.col("at").alias("line"), "other").distinct(), sets, percent), "line-matches")
+    later = step(verified(rest.select(F.col("at").alias("line"), "other").distinct(), sets, percent), "line-matches")
     near = settled.unionByName(later).groupBy("line").agg(F.min("other").alias("other"))
 
     every = small.select("h", "n", at.alias("line")).join(small.groupBy("h", "n").agg(F.min(at).alias("at")), ["h", "n"])
     copies = every.where(F.col("line") != F.col("at")).select("line", F.col("at").alias("other"))
-    return copies.unionByName(near).select(F.col("line.doc").alias("doc"), F.col("line.pos").alias("pos"), F.col("other.doc").alias("match_doc"), F.col("other.pos").alias("match_pos"))
+    return copies.unionByName(near).select(F.col("line.doc").alias("doc"), F.col("line.pos").alias("pos"), F.nullif(F.col("other.doc"), F.lit(NO_ID)).alias("match_doc"), F.col("other.pos").alias("match_pos"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Each row's id, n_lines, n_removed, removed (places from 0) and matched ids (``match_ids``, sorted)."""
     gone = find_matches(docs, id_col, text_col, percent).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("match_doc")).alias("match_ids"))
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    joined = rows.join(gone, F.col("id").cast("long").eqNullSafe(F.col("doc")), "left")
+    joined = rows.join(gone, doc_of(F.col("id")) == F.col("doc"), "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return joined.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none("int")).alias("removed"), F.coalesce("match_ids", none("bigint")).alias("match_ids"))
 
@@ -132,6 +146,6 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """All rows and columns, the text without the lines to remove."""
     gone = find_matches(docs, id_col, text_col, percent).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__doc")), "left")
+    joined = docs.join(gone, doc_of(docs[id_col]) == F.col("__doc"), "left")
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,6 +6,7 @@ They cut lineage: a lost executor costs a re-read, not a re-run of all that came
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are over, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path that this module gave out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
