@@ -25,6 +25,7 @@ from . import scratch
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 75, 5
 CELLS = 1 << 16
+SLICES = 4
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
 
@@ -126,8 +127,11 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     standing = members.join(settled.select(F.col("line").alias("at")).distinct(), "at", "left_anti").where(F.col("at") != F.col("lead.at"))
     other = members.select("key", F.col("at").alias("other"), F.col("n").alias("n2"), F.col("i").alias("i2"))
     rest = standing.join(other, "key").where((F.col("other") < F.col("at")) & (F.col("other") != F.col("lead.at")) & plausible(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent))
-    later = step(verified(rest.select(F.col("at").alias("line"), "other").distinct(), sets, percent), "line-matches")
-    near = settled.unionByName(later).groupBy("line").agg(F.min("other").alias("other"))
+    # Pairs carry their token sets when they are verified, so they are taken in slices, which bound the disk.
+    pairs, near = step(rest.select(F.col("at").alias("line"), "other").distinct(), "line-pairs"), settled
+    for k in range(SLICES):
+        near = near.unionByName(step(verified(pairs.where(F.pmod(F.xxhash64("line"), F.lit(SLICES)) == k), sets, percent), "line-matches"))
+    near = near.groupBy("line").agg(F.min("other").alias("other"))
 
     every = small.select("h", "n", at.alias("line")).join(small.groupBy("h", "n").agg(F.min(at).alias("at")), ["h", "n"])
     copies = every.where(F.col("line") != F.col("at")).select("line", F.col("at").alias("other"))
