@@ -2,9 +2,9 @@
 
 Equal texts form an atomic group. The groups stand in the order of their digests; the smallest shard capacity
 for which a greedy pass over the group sizes needs no more than ``n`` shards is found by binary search, and the
-order is cut there. The search runs on the driver over a bounded set of group ends: first a thinned one, which
-gives bounds, then only the ends in the windows where a cut can still fall, until those are all known. The
-outcome is exact.
+order is cut there. Up to MOST_ENDS group ends are searched on the driver. More stay distributed: each step of the
+greedy pass is an aggregate over them, for CAPACITIES capacities at once. Either way the outcome is exact and the
+number of steps has a bound, whatever the sizes of the groups.
 
 Cases: a null text counts as an empty one (size 1, checksum 0); rows with equal text stay together, repeated
 rows included; ties in the order are broken by id, nulls first. An empty table gives an empty result. With one
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from . import ordered, scratch
 
-#: As many group ends as the driver may hold at once; at least 8 for each pair of shards, so that windows shrink.
+#: As many group ends as the driver may hold at once; more of them stay where they are.
 MOST_ENDS = 100_000
+#: Capacities that a round of the search tries at once.
+CAPACITIES = 32
 
 
 def greedy(ends: np.ndarray, capacity: int, n: int) -> list[int]:
@@ -46,35 +48,40 @@ def smallest(ends: np.ndarray, lo: int, total: int, n: int) -> int:
     return hi
 
 
+def passes(groups: DataFrame, capacities: list[int], total: int, n: int) -> list[list[int]]:
+    """The greedy cuts of each capacity, one aggregate over the groups for each step of all capacities."""
+    cuts: list[list[int]] = [[] for _ in capacities]
+    for _ in range(n):
+        going = [k for k, c in enumerate(cuts) if not c or c[-1] < total]
+        if not going:
+            break
+        limits = [(cuts[k][-1] if cuts[k] else 0) + capacities[k] for k in going]
+        found = groups.agg(*[F.max(F.when(F.col("upto") <= F.lit(x), F.col("upto"))).alias(f"c{j}") for j, x in enumerate(limits)]).first()
+        for k, end in zip(going, found, strict=True):
+            cuts[k].append(max(cuts[k][-1] if cuts[k] else 0, end or 0))
+    return [c + [c[-1]] * (n - len(c)) for c in cuts]
+
+
 def cut_points(groups: DataFrame, n: int, most: int = MOST_ENDS) -> list[int]:
     """The ends (values of ``upto``) of the ``n`` shards. ``groups``: ``upto``, the running size with the group; ``size``."""
     count, total, largest = groups.agg(F.count("*"), F.max("upto"), F.max("size")).first()
     if not count:
         return []
-    windows, known, most = [(0, total)], np.array([total]), max(most, 8 * n * n)
     lo = max(-(-total // n), largest)
-    while True:
-        inside = F.lit(False)
-        for a, b in windows:
-            inside |= (F.col("upto") > a) & (F.col("upto") <= b)
-        there = groups.where(inside)
-        exact = there.count() <= most
-        if exact:
-            found = [r[0] for r in there.select("upto").collect()]
-        else:
-            width = max(1, -(-sum(b - a for a, b in windows) // (most // 2)))
-            found = [r[0] for r in there.groupBy(F.floor(F.col("upto") / F.lit(width))).agg(F.max("upto")).select("max(upto)").collect()]
-        known = np.union1d(known, np.array(found, np.int64))
-        hi = smallest(known, lo, total, n)
-        if exact:
-            return greedy(known, hi, n)
-        low, windows = greedy(known, lo, n), []
-        for k in range(1, n):
-            a, b = low[k - 1] - 1, min(total, k * hi)
-            if windows and a <= windows[-1][1]:
-                windows[-1] = (windows[-1][0], max(b, windows[-1][1]))
-            else:
-                windows.append((a, b))
+    if count <= most:
+        ends = np.sort(np.array([r[0] for r in groups.select("upto").collect()], np.int64))
+        return greedy(ends, smallest(ends, lo, total, n), n)
+    # Each shard but the last is filled to more than the capacity less the largest group, so this much is enough.
+    hi, best = min(total, -(-total // n) + largest), None
+    while best is None or lo < hi:
+        step = max(1, -(-(hi - lo) // CAPACITIES))
+        tried = [*range(lo, hi, step), hi] if best is None else list(range(lo, hi, step))
+        for capacity, cuts in zip(tried, passes(groups, tried, total, n), strict=True):
+            if cuts[-1] == total:
+                hi, best = capacity, cuts
+                break
+            lo = capacity + 1
+    return best
 
 
 def digest(text: str = "text") -> Column:

@@ -135,6 +135,19 @@ def test_sharding_is_minimax(spark, most):
         assert max(loads) == best_capacity(sizes, n)
 
 
+@pytest.mark.parametrize("share", [0.01, 1 / 3])
+def test_sharding_with_hot_group(spark, share):
+    """A group that can't be split, among more groups than the driver may hold."""
+    sizes = [random.Random(7).randint(1, 200) for _ in range(6000)]
+    sizes.insert(2500, int(sum(sizes) * share / (1 - share)))
+    ends = np.cumsum(sizes).tolist()
+    groups = spark.createDataFrame(list(zip(ends, sizes, strict=True)), "upto long, size long")
+    for n in (3, 16):
+        cuts = sharding.cut_points(groups, n, 150)
+        assert len(cuts) == n and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
+        assert max(np.diff([0, *cuts])) == best_capacity(sizes, n)
+
+
 def test_shards_of_documents(spark):
     rows = sharding.assign(spark.read.parquet(f"{SF}/documents.parquet"), 8).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
