@@ -10,9 +10,10 @@ The back-off weight of a context is also shared (the class with more mass of its
 expression gets the same probability from both. A document's log-likelihood ratio, normalised by
 its length, goes through a logistic curve fitted on a part of the training rows that the counts leave out.
 
-Words with fewer than ``min_count`` occurrences are one class, RARE; ``min_count`` and the least count of a
-stored bigram rise, if need be, until the tables fit MOST_WORDS and MOST_BIGRAMS, which bounds what is sent to
-the executors. Pruned bigrams are scored by back-off.
+All words and all bigrams in LEAST_PAIRS texts take part, whatever the size of the corpus: the tables stay
+distributed, and documents meet them in a join. Expressions without mass of their own in a class are scored by
+back-off, which is the same for both, so only the others (the evidence) are joined. A bitmap of fixed size tells
+most other expressions apart before the join.
 
 Rows are split by crc32(id as text) mod 5: remainder 0 is held out and never trained on, 1 to 3 are counted,
 4 calibrates (at most CALIBRATION_ROWS of it, the first by a hash of the id). Only the text is scored.
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,12 @@ from . import scratch
 from . import textblock as tb
 
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
-MIN_COUNT = 5
-MOST_WORDS, MOST_BIGRAMS = 500_000, 1_000_000
+#: Texts that a pair of words is in at least, at every size.
+LEAST_PAIRS = 2
+#: Size of the bitmap that says which expressions can be evidence. It only spares rows of a join.
+BITS = 1 << 26
+#: Ratios are summed in whole parts, so that the order doesn't matter.
+UNIT = 1 << 32
 CALIBRATION_ROWS = 50_000
 #: Labels up to this number are broadcast to the documents; beyond it both are shuffled.
 BROADCAST_LABELS = 2_000_000
@@ -53,41 +59,22 @@ def fold(id_col: Column) -> Column:
 
 @dataclass
 class Model:
-    """What scoring looks up. ``words``: sorted hashes; index 0 of the other word tables is RARE, i + 1 is words[i]."""
+    """What scoring looks up. ``evidence``: a kept table of (key, delta); ``bits``: of fixed size, says which keys it may hold."""
 
-    words: np.ndarray
-    ratio: np.ndarray  # log P(w | toxic) / P(w | ordinary)
-    pairs: np.ndarray  # sorted (first << 32 | second)
-    pair_ratio: np.ndarray
+    evidence: DataFrame
+    bits: np.ndarray
     curve: tuple[float, ...] = (0.0,)
 
-    def totals(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the summed ratio and the number of words."""
-        n = block.hi - block.lo
-        starts, ends, firsts = block.words(tb.WORDLIKE)
-        if not len(starts):
-            return np.zeros(n), np.zeros(n, np.int64)
-        k = indexed(self.words, block.hashes(starts, ends))
-        value = self.ratio[k].copy()
-        first = np.zeros(len(k), bool)
-        first[firsts[:-1][np.diff(firsts) > 0]] = True
-        later = np.flatnonzero(~first)
-        if len(self.pairs):
-            key = k[later - 1] << 32 | k[later]
-            at = np.searchsorted(self.pairs, key)
-            at[at == len(self.pairs)] = 0
-            there = self.pairs[at] == key
-            value[later[there]] = self.pair_ratio[at[there]]
-        return np.bincount(tb.owners(firsts), weights=value, minlength=n), np.diff(firsts)
-
-
-def indexed(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """1 + the place in the sorted words, or 0."""
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.searchsorted(words, hashes)
-    at[at == len(words)] = 0
-    return np.where(words[at] == hashes, at + 1, 0)
+
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A key for two words in this order."""
+    return tb.mixed(tb.mixed(first) + second)
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys can be in the table. True for all that are, and for a few others."""
+    at = keys & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -110,151 +97,148 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w / scale
 
 
-def once(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once for each owner."""
-    at = np.unique(tb.mixed(keys.astype(np.uint64) ^ tb.mixed(owner.astype(np.uint64))), return_index=True)[1]
-    return keys[at], owner[at]
-
-
-def discounted(counts: np.ndarray, share: np.ndarray, doubt: float) -> np.ndarray:
-    """Per class what is left of the counts; ``share``: the classes' parts of what the shared counts let expect."""
-    expected = share * counts.sum(axis=0)
-    return np.maximum(counts - np.maximum(DISCOUNT, expected + doubt * np.sqrt(expected + 1)), 0)
-
-
-def _counted(keys: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
-    distinct, which = np.unique(keys, return_inverse=True)
-    total = np.bincount(which, minlength=len(distinct))
-    bad = np.bincount(which, weights=toxic, minlength=len(distinct)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64) if distinct.dtype == np.uint64 else distinct), pa.array(bad), pa.array(total - bad)], ["key", "toxic", "ordinary"])
+def discounted(count: Column, expected: Column, doubt: float) -> Column:
+    """What is left of a count; ``expected``: what the shared counts let expect."""
+    return F.greatest(count - F.greatest(F.lit(DISCOUNT), expected + doubt * F.sqrt(expected + 1)), F.lit(0.0))
 
 
-COUNTS = "key bigint, toxic bigint, ordinary bigint"
-
-
-def count_words(train: DataFrame) -> DataFrame:
-    """Occurrences of each word hash in toxic and ordinary rows of (toxic, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, toxic, size = [], [], 0
-            for block in tb.blocks(batch.column(1), lower=True):
-                starts, ends, firsts = block.words(tb.WORDLIKE)
-                own, owner = once(block.hashes(starts, ends), tb.owners(firsts))
-                keys.append(own)
-                toxic.append(flags[block.lo : block.hi][owner])
-                size += len(own)
-                if size >= GATHER:
-                    yield _counted(np.concatenate(keys), np.concatenate(toxic))
-                    keys, toxic, size = [], [], 0
-            if keys:
-                yield _counted(np.concatenate(keys), np.concatenate(toxic))
+def step(df: DataFrame, name: str) -> DataFrame:
+    """Written and read again; what it took to get there is let go."""
+    out = scratch.keep(df, name)
+    scratch.release(df.sparkSession)
+    return out
 
-    return train.select("toxic", "text").mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
+def count_expressions(train: DataFrame, words: bool) -> DataFrame:
+    """In how many toxic and ordinary rows of (toxic, text) each word (``second``; ``first`` is null) or each pair of words is."""
 
-def count_pairs(train: DataFrame, words: np.ndarray) -> DataFrame:
-    """Occurrences of each pair of word indices."""
-    shared = train.sparkSession.sparkContext.broadcast(words)
+    def counted(first: np.ndarray, second: np.ndarray, keys: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
+        at, which = np.unique(keys, return_index=True, return_inverse=True)[1:]
+        total = np.bincount(which, minlength=len(at))
+        bad = np.bincount(which, weights=toxic, minlength=len(at)).astype(np.int64)
+        pair = [] if words else [pa.array(first[at].view(np.int64))]
+        return pa.RecordBatch.from_arrays([*pair, pa.array(second[at].view(np.int64)), pa.array(bad), pa.array(total - bad)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, toxic, size = [], [], 0
+            parts, size = [], 0
             for block in tb.blocks(batch.column(1), lower=True):
                 starts, ends, firsts = block.words(tb.WORDLIKE)
-                k, owner = indexed(shared.value, block.hashes(starts, ends)), tb.owners(firsts)
-                same = owner[1:] == owner[:-1]
-                own, owner = once((k[:-1] << 32 | k[1:])[same], owner[1:][same])
-                keys.append(own)
-                toxic.append(flags[block.lo : block.hi][owner])
-                size += len(own)
+                h, owner = block.hashes(starts, ends), tb.owners(firsts)
+                if words:
+                    first, second, keys = h, h, h
+                else:
+                    same = owner[1:] == owner[:-1]
+                    first, second, owner = h[:-1][same], h[1:][same], owner[1:][same]
+                    keys = paired(first, second)
+                at = np.unique(tb.mixed(keys ^ tb.mixed(owner.astype(np.uint64))), return_index=True)[1]
+                parts.append((first[at], second[at], keys[at], flags[block.lo : block.hi][owner[at]]))
+                size += len(at)
                 if size >= GATHER:
-                    yield _counted(np.concatenate(keys), np.concatenate(toxic))
-                    keys, toxic, size = [], [], 0
-            if keys:
-                yield _counted(np.concatenate(keys), np.concatenate(toxic))
-
-    return train.select("toxic", "text").mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def fitting(table: DataFrame, least: int, most: int) -> tuple[int, int]:
-    """The smallest count from ``least`` on that at most ``most`` rows reach, and how many do."""
-    level = F.floor(F.log2(F.col("toxic") + F.col("ordinary"))).cast("int")
-    sizes = dict(table.where(F.col("toxic") + F.col("ordinary") >= least).groupBy(level).count().collect())
-    rows = sum(sizes.values())
-    for k in sorted(sizes):
-        if rows <= most:
-            break
-        least, rows = max(least, 1 << (k + 1)), rows - sizes[k]
-    return least, rows
-
-
-def columns_of(df: DataFrame) -> list[np.ndarray]:
-    table = df.toArrow()
-    return [c.combine_chunks().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64) for c in table.columns]
-
-
-def fit_counts(train: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS, most_pairs: int = MOST_BIGRAMS) -> Model:
+                    yield counted(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts, size = [], 0
+            if parts:
+                yield counted(*map(np.concatenate, zip(*parts, strict=True)))
+
+    by = ["second"] if words else ["first", "second"]
+    names = [*by, "toxic", "ordinary"]
+    out = train.select("toxic", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return out.groupBy(*by).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+CLASSES = ("toxic", "ordinary")
+
+
+def word_model(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """second; p_toxic and p_ordinary: its probability in each class; own: whether a class has mass of its own for it."""
+    after = pairs.groupBy("second").agg(F.count("*").alias("types"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"after_{c}") for c in CLASSES])
+    size, types, *sums = [int(x or 0) for x in words.agg(F.count("*"), F.lit(pairs.count()), *[F.sum(c) for c in CLASSES]).first()]
+    sums = [max(x, 1) for x in sums]
+    df = words.join(after, "second", "left").fillna(0)
+    for c, x in zip(CLASSES, sums, strict=True):
+        share = F.lit(x / sum(sums))
+        in_texts = discounted(F.col(c), share * (F.col("toxic") + F.col("ordinary")), DOUBT)
+        in_contexts = discounted(F.col(f"after_{c}"), share * (F.col("after_toxic") + F.col("after_ordinary")), DOUBT)
+        df = df.withColumn(f"own_{c}", F.least(in_texts, in_contexts) / F.lit(x))
+    df = scratch.keep(df.select("second", "types", *[f"own_{c}" for c in CLASSES]), "word-model")
+    rest = 1 - max(x or 0 for x in df.agg(*[F.sum(f"own_{c}") for c in CLASSES]).first())
+    shared = rest * (F.col("types") + 1) / F.lit(types + size + 1)
+    return df.select("second", *[(F.col(f"own_{c}") + shared).alias(f"p_{c}") for c in CLASSES], (F.col("own_toxic") + F.col("own_ordinary") > 0).alias("own"))
+
+
+def log_ratio(toxic: Column, ordinary: Column) -> Column:
+    return F.log(toxic) - F.log(ordinary)
+
+
+def pair_model(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """first, second, delta: what a pair adds to its second word's ratio; pairs without mass of their own add nothing."""
+    seen = pairs.groupBy("first").agg(*[F.sum(c).alias(f"seen_{c}") for c in CLASSES])
+    # No count up to PAIR_DOUBT is more than its discount.
+    df = pairs.where((F.col("toxic") + F.col("ordinary") >= LEAST_PAIRS) & (F.greatest(*CLASSES) > PAIR_DOUBT)).join(seen, "first")
+    at_least = {c: F.greatest(F.col(f"seen_{c}"), F.lit(0.5)) for c in CLASSES}
+    for c in CLASSES:
+        expected = at_least[c] / (at_least["toxic"] + at_least["ordinary"]) * (F.col("toxic") + F.col("ordinary"))
+        df = df.withColumn(f"left_{c}", discounted(F.col(c), expected, PAIR_DOUBT) / F.greatest(F.col(f"seen_{c}"), F.lit(1)))
+    df = scratch.keep(df.where(F.col("left_toxic") + F.col("left_ordinary") > 0).select("first", "second", *[f"left_{c}" for c in CLASSES]), "pair-model")
+    weight = df.groupBy("first").agg(F.greatest(1 - F.greatest(*[F.sum(f"left_{c}") for c in CLASSES]), F.lit(1e-6)).alias("weight"))
+    df = df.join(weight, "first").join(single, "second")
+    prob = [F.col(f"left_{c}") + F.col("weight") * F.col(f"p_{c}") for c in CLASSES]
+    return df.select("first", "second", (log_ratio(*prob) - log_ratio(F.col("p_toxic"), F.col("p_ordinary"))).alias("delta"))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, second = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(paired(first, second).view(np.int64)), batch.column(2)], ["key", "delta"])
+
+
+def fit_counts(train: DataFrame) -> Model:
     """The two models, from rows of (toxic 0/1, text)."""
-    words = scratch.keep(count_words(train), "word-counts")
-    least, _ = fitting(words, min_count, most_words)
-    frequent = F.col("toxic") + F.col("ordinary") >= least
-    key, toxic, ordinary = columns_of(words.where(frequent))
-    rare = words.where(~frequent).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("ordinary"), F.lit(0))).first()
-    key = key.astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    counts = np.stack([np.append(rare[0], toxic[order]), np.append(rare[1], ordinary[order])]).astype(float)
-
-    pairs = scratch.keep(count_pairs(train, key), "pair-counts")
-    first, second = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
-    size = len(key) + 1
-    at, types, after_toxic, after_ordinary = columns_of(pairs.groupBy(second.alias("w")).agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("ordinary") > 0).cast("int"))))
-    shared, contexts = np.zeros(size), np.zeros((2, size))
-    at = at.astype(np.int64)
-    shared[at], contexts[:, at] = types, np.stack([after_toxic, after_ordinary])
-    shared = (shared + 1) / (shared.sum() + size)
-    sums = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    share = sums / sums.sum()
-    own = np.minimum(discounted(counts, share, DOUBT), discounted(contexts, share, DOUBT)) / sums
-    single = own + (1 - own.sum(axis=1).max()) * shared
-
-    at, st, so = columns_of(pairs.groupBy(first.alias("v")).agg(F.sum("toxic"), F.sum("ordinary")))
-    seen = np.zeros((2, size))
-    seen[:, at.astype(np.int64)] = np.stack([st, so])
-    least, _ = fitting(pairs, max(2, min_count // 2), most_pairs)
-    pair, pt, po = columns_of(pairs.where(F.col("toxic") + F.col("ordinary") >= least))
-    pair = pair.astype(np.int64)
-    order = np.argsort(pair)
-    pair, got = pair[order], np.stack([pt[order], po[order]]).astype(float)
-    v, w = pair >> 32, pair & 0xFFFFFFFF
-    share = np.maximum(seen[:, v], 0.5)
-    left = discounted(got, share / share.sum(axis=0), PAIR_DOUBT) / np.maximum(seen[:, v], 1)
-    weight = np.maximum(1 - np.max([np.bincount(v, weights=x, minlength=size) for x in left], axis=0), 1e-6)
-    stored = left.any(axis=0)  # the others are what back-off gives
-    prob = (left + weight[v] * single[:, w])[:, stored]
-    log = lambda x: np.log(x[0]) - np.log(x[1])
-    return Model(key, log(single), pair[stored], log(prob).astype(np.float32))
+    words = step(count_expressions(train, True), "word-counts")
+    pairs = step(count_expressions(train, False), "pair-counts")
+    single = word_model(words, pairs)
+    of_words = single.where("own").select(F.col("second").alias("key"), log_ratio(F.col("p_toxic"), F.col("p_ordinary")).alias("delta"))
+    of_pairs = pair_model(pairs, single).mapInArrow(_keyed, "key bigint, delta double")
+    evidence = scratch.keep(of_words.unionByName(of_pairs).select("key", F.round(F.col("delta") * F.lit(float(UNIT))).cast("long").alias("delta")), "evidence")
+    at = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for k, part in evidence.groupBy(F.shiftright(at, 15).alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767)))).collect():
+        bits[4096 * k : 4096 * (k + 1)] = np.frombuffer(bytes(part), np.uint8)
+    return Model(evidence, bits)
 
 
 def totals(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns, ``total`` and ``n_words``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The ``carry`` columns, ``total`` and ``n_words``. Rows' distinct expressions meet the evidence in a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.bits)
     narrow = docs.select(*carry, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1]) + ", total double, n_words bigint, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1]) + ", __row bigint, n_words bigint, __keys array<bigint>, __times array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve = np.array(shared.value.curve)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for block in tb.blocks(batch.column(len(carry)), lower=True):
-                total, n = shared.value.totals(block)
-                score = 1 / (1 + np.exp(-np.clip(features(total, n) @ curve, -30, 30))) if len(curve) > 1 else np.zeros(len(n))
-                own = [batch.column(k).slice(block.lo, block.hi - block.lo) for k in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(n.astype(np.int64)), pa.array(score)], [*carry, "total", "n_words", "score"])
-
-    return narrow.mapInArrow(run, schema)
+                n = block.hi - block.lo
+                starts, ends, firsts = block.words(tb.WORDLIKE)
+                h, owner = block.hashes(starts, ends), tb.owners(firsts)
+                same = owner[1:] == owner[:-1]
+                keys, owner = np.concatenate([h, paired(h[:-1], h[1:])[same]]), np.concatenate([owner, owner[1:][same]])
+                there = maybe(shared.value, keys)
+                keys, owner = keys[there], owner[there]
+                order = np.lexsort((keys, owner))
+                keys, owner = keys[order], owner[order]
+                new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[new], minlength=n))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64))) for x in (keys[new], np.diff(np.append(new, len(keys))))]
+                own = [batch.column(k).slice(block.lo, n) for k in range(len(carry))]
+                n_words = np.diff(firsts) if len(starts) else np.zeros(n)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(row, row + n)), pa.array(n_words.astype(np.int64)), *lists], [*carry, "__row", "n_words", "__keys", "__times"])
+                row += n
+
+    found = scratch.keep(narrow.mapInArrow(run, schema), "expressions")
+    each = found.select("__row", F.explode(F.arrays_zip("__keys", "__times")).alias("e")).select("__row", F.col("e.__keys").alias("key"), F.col("e.__times").alias("times"))
+    sums = each.join(model.evidence, "key").groupBy("__row").agg(F.sum(F.col("times") * F.col("delta")).alias("sum"))
+    return found.join(sums, "__row", "left").select(*carry, (F.coalesce("sum", F.lit(0)) / F.lit(float(UNIT))).alias("total"), "n_words")
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -265,13 +249,13 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         marks = F.broadcast(marks)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), fold(docs[id_col]).alias("fold")).where(F.col("fold") != HELD_OUT)
     known = rows.join(marks, F.col("id") == F.col("label_id"))
-    known = scratch.keep(known.select("id", "fold", "toxic", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["fold", "toxic", "digest"]), "labelled")
+    known = step(known.select("id", "fold", "toxic", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["fold", "toxic", "digest"]), "labelled")
     model = fit_counts(known.where(F.col("fold") != CALIBRATE))
     scored = totals(known.where(F.col("fold") == CALIBRATE), model, ["id", "toxic"])
     got = scored.orderBy(F.xxhash64("id")).limit(calibration_rows).select("toxic", "total", "n_words").toArrow()
     y = got["toxic"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        model.curve = tuple(logistic(features(got["total"].to_numpy(), got["n_words"].to_numpy()), y))
+        model.curve = tuple(float(x) for x in logistic(features(got["total"].to_numpy(), got["n_words"].to_numpy()), y))
     return model
 
 
@@ -279,4 +263,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Each row's id, held_out, score, predicted (score >= 0.5), n_words and ratio_per_word."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = totals(rows, model, ["id"])
+    if len(model.curve) > 1:
+        n = F.greatest("n_words", F.lit(1))
+        at = model.curve[0] + model.curve[1] * (F.col("total") / n) + model.curve[2] * (F.col("total") / F.sqrt(n))
+        out = out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(at, F.lit(-30.0)), F.lit(30.0)))))
+    else:
+        out = out.withColumn("score", F.lit(0.0))
     return out.select(F.col("id").alias(id_col), (fold(F.col("id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", (F.col("total") / F.greatest(F.col("n_words"), F.lit(1))).alias("ratio_per_word"))

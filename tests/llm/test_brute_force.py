@@ -1,5 +1,6 @@
 """Operators against plain versions of themselves on small data."""
 
+import inspect
 import random
 import re
 
@@ -224,6 +225,18 @@ def test_toxicity_held_out(spark):
     assert right / found > 0.95 and right / sum(t for _, t in held) > 0.8
 
 
+def test_toxicity_keeps_all_expressions(spark):
+    """A toxic word counts however many other words the corpus has: no table is cut to a size."""
+    caps = {k: 100 for k in ("most_words", "most_pairs") if k in inspect.signature(toxicity.fit_counts).parameters}
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 300)}"
+    rows = [(k % 2, " ".join([*(word() for _ in range(30)), *(["vile", word()] if k % 16 == 1 else [])])) for k in range(1600)]
+    model = toxicity.fit_counts(spark.createDataFrame(rows, "toxic long, text string"), **caps)
+    probe = spark.createDataFrame([(1, "w1 w2 vile w3"), (2, "w1 w2 w3 w4")], "id long, text string")
+    got = {r.id: r.total for r in toxicity.totals(probe, model, ["id"]).collect()}
+    assert got[1] > 0.2 and abs(got[2]) < 0.1
+
+
 def test_token_counts_of_table(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
