@@ -8,7 +8,8 @@ leaves standing meet all their earlier candidates, so groups of like lines never
 length filter and the positional filter (what may still follow the shared token) come before the Jaccard test
 on whole token sets. A line that matches an earlier line (by doc_id, then place in the text) is removed.
 
-Cases: null and empty texts have no lines to compare; lines of fewer than MIN_WORDS words are never removed.
+Cases: null and empty texts have no lines to compare; lines of fewer than ``min_words`` words are never
+removed, and of the others those of fewer than SHINGLE words match lines of the same words only.
 Rows that repeat a doc_id count as one document, whose lines don't remove themselves; a null doc_id comes
 before all others. Ties in similarity don't matter, as any match removes. An empty table gives an empty
 result. Lines of any length are compared whole. Extra columns are ignored, or kept by ``dedup``.
@@ -51,16 +52,16 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc_of(docs[id_col]).alias("doc"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
 
 
-def tokens(line: Column, width: int = SHINGLE) -> Column:
-    """Hashes of the line's distinct shingles; NULL for a line of too few words."""
+def tokens(line: Column, min_words: int = MIN_WORDS, width: int = SHINGLE) -> Column:
+    """Hashes of the line's distinct shingles, or of all its words if they don't make one; NULL for a line of too few words."""
     words = F.filter(F.split(F.lower(line), "[\\x09-\\x0D\\x20]+"), lambda x: x != "")
     hashed = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(width)])))
-    return let(words, lambda w: F.when(F.size(w) >= max(width, MIN_WORDS), hashed(w)))
+    return let(words, lambda w: F.when(F.size(w) >= max(width, min_words), hashed(w)).when(F.size(w) >= max(1, min_words), F.array(F.xxhash64(w))))
 
 
-def token_sets(lines: DataFrame) -> DataFrame:
+def token_sets(lines: DataFrame, min_words: int) -> DataFrame:
     """doc, pos, t of the lines that are long enough. A generator works the tokens out once; a filter would do so twice."""
-    return lines.select("doc", "pos", F.explode(F.filter(F.array(tokens(F.col("line"))), lambda t: t.isNotNull())).alias("t"))
+    return lines.select("doc", "pos", F.explode(F.filter(F.array(tokens(F.col("line"), min_words)), lambda t: t.isNotNull())).alias("t"))
 
 
 def cell(token: Column) -> Column:
@@ -100,12 +101,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s1") + F.size("s2") - common)).select("line", "other")
 
 
-def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each line to remove: doc, pos, and the document and place of an earlier line that it matches."""
     lines = lines_of(docs, id_col, text_col)
-    table = ranks(token_sets(lines))
+    table = ranks(token_sets(lines, min_words))
     at = F.struct("doc", "pos")
-    sized = token_sets(lines).select("doc", "pos", F.explode(F.array(ordered(F.col("t"), table))).alias("sig"))
+    sized = token_sets(lines, min_words).select("doc", "pos", F.explode(F.array(ordered(F.col("t"), table))).alias("sig"))
     n = F.size("sig")
     prefix = F.slice("sig", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
     small = step(sized.select("doc", "pos", F.xxhash64("sig").alias("h"), n.alias("n"), prefix.alias("prefix")), "lines")
@@ -120,7 +121,7 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = members.select("at").distinct().select("at.doc", "at.pos", "at")
     # One line for each place: rows that repeat a doc_id count as one document.
     met_lines = lines.join(ids, ["doc", "pos"]).groupBy("doc", "pos").agg(F.first("at").alias("at"), F.first("line").alias("line"))
-    sets = step(met_lines.select("at", tokens(F.col("line")).alias("sig")), "line-sets")
+    sets = step(met_lines.select("at", tokens(F.col("line"), min_words).alias("sig")), "line-sets")
 
     to_lead = members.where((F.col("at") != F.col("lead.at")) & plausible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent))
     settled = step(verified(to_lead.select(F.col("at").alias("line"), F.col("lead.at").alias("other")).distinct(), sets, percent), "line-matches")
@@ -138,18 +139,18 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return copies.unionByName(near).select(F.col("line.doc").alias("doc"), F.col("line.pos").alias("pos"), F.nullif(F.col("other.doc"), F.lit(NO_ID)).alias("match_doc"), F.col("other.pos").alias("match_pos"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """Each row's id, n_lines, n_removed, removed (places from 0) and matched ids (``match_ids``, sorted)."""
-    gone = find_matches(docs, id_col, text_col, percent).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("match_doc")).alias("match_ids"))
+    gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("match_doc")).alias("match_ids"))
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = rows.join(gone, doc_of(F.col("id")) == F.col("doc"), "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return joined.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none("int")).alias("removed"), F.coalesce("match_ids", none("bigint")).alias("match_ids"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, the text without the lines to remove."""
-    gone = find_matches(docs, id_col, text_col, percent).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__gone"))
+    gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__gone"))
     joined = docs.join(gone, doc_of(docs[id_col]) == F.col("__doc"), "left")
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

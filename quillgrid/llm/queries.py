@@ -20,7 +20,7 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of lines), match_ids (documents with the earlier lines)."""
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quillgrid.llm import line_dedup
+from quillgrid.llm import line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +46,39 @@ def test_same_as_brute_force_on_near_lines(spark):
     assert got == {d: want.get(d, []) for d, _ in rows}
 
 
+def brute_all(rows):
+    """As ``brute``, with lines of 1 to 4 words, whose one token is all their words."""
+    seen, places, out = [], defaultdict(list), defaultdict(list)
+    for doc, text in sorted(rows):
+        for pos, line in enumerate(text.split("\n")):
+            w = [x for x in re.split(r"[\x09-\x0D\x20]+", line.lower()) if x]
+            if not w:
+                continue
+            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+            common = Counter(k for g in s for k in places[g])
+            if any(100 * o >= 75 * (len(s) + len(seen[k]) - o) for k, o in common.items()):
+                out[doc].append(pos)
+            for g in s:
+                places[g].append(len(seen))
+            seen.append(s)
+    return out
+
+
+def test_query_compares_short_lines(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute_all(rows)
+    assert sum(map(len, want.values())) > sum(map(len, brute(rows).values()))
+    for r in queries.op2_line_dedup(spark, SF).collect():
+        assert list(r.removed) == want.get(r.doc_id, [])
+
+
+def test_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Read more\n\nb"), (2, "read  MORE\n\na b c d e"), (3, "read more now\na b c d e\nb")], "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(docs, min_words=1).collect()}
+    assert got == {1: [], 2: [0], 3: [1, 2]}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=1).collect()}[3] == "read more now"
+
+
 def test_odd_rows(odd, none):
     got = {r.doc_id: r for r in line_dedup.line_report(odd).collect() if r.doc_id is not None}
     assert got[0].n_lines == 0 and got[1].n_removed == 0 and got[12].n_removed == 0
