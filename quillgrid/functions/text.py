@@ -90,7 +90,7 @@ def value(s: Column) -> Column:
     t = F.regexp_replace(t, r"^\((.*)\)$", "$1")
     percent = t.endswith("%")
     x = F.when(~t.rlike("[dDfFxX]"), F.regexp_replace(t, "%$", "").try_cast("double"))
-    return x * F.when(percent, 0.01).otherwise(1.0) * F.when(minus, -1.0).otherwise(1.0)
+    return x / F.when(percent, 100.0).otherwise(1.0) * F.when(minus, -1.0).otherwise(1.0)
 
 
 def textjoin(delimiter: str, parts: list[Column], skip_empty: bool = True) -> Column:

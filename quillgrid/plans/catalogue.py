@@ -398,7 +398,7 @@ def textjoin_group(t):
 def value_parse(t):
     x = F.col("o_totalprice")
     money = F.concat(F.lit("$"), F.format_number(x, 2))
-    return t("orders").select("o_orderkey", text.value(money).alias("a"), text.value(F.concat(F.lit("("), F.format_number(x, 2), F.lit(")"))).alias("b"), r(text.value(F.concat(F.format_string("%.2f", x), F.lit("%"))), 12).alias("c0")).select("o_orderkey", "a", "b", (F.col("a") / 100).alias("c"))
+    return t("orders").select("o_orderkey", text.value(money).alias("a"), text.value(F.concat(F.lit("("), F.format_number(x, 2), F.lit(")"))).alias("b"), text.value(F.concat(F.format_string("%.2f", x), F.lit("%"))).alias("c"))
 
 
 @query("select o_orderkey, format('{:,.2f}', o_totalprice) as a, strftime(o_orderdate, '%Y-%m-%d') as b from orders")
@@ -547,9 +547,8 @@ def category_top40(t):
 
 @query("select 3 * count(*) as cells, 2 * count(*) as numbers, round(sum(o_totalprice) + sum(o_custkey), 0) as total from orders")
 def selection_stats(t):
-    df = t("orders").select("o_custkey", "o_totalprice", "o_orderstatus").withColumn("o_orderstatus", F.col("o_orderstatus"))
-    out = charts.selection_stats(df.select("o_custkey", "o_totalprice"), ["o_custkey", "o_totalprice"])
-    return out.select((F.col("cells") * 3 / 2).cast("long").alias("cells"), "numbers", r(F.col("total"), 0).alias("total"))
+    out = charts.selection_stats(t("orders"), ["o_custkey", "o_totalprice", "o_orderstatus"])
+    return out.select("cells", "numbers", r(F.col("total"), 0).alias("total"))
 
 
 # -- quality

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillgrid import cells
 from quillgrid.functions import criteria, dates, text
 from quillgrid.operators import charts, consolidate, dedupe, filters, lookups, pivot, positional, quality, search, sorting, subtotals
+from quillgrid.plans import catalogue
 from quillgrid.workbook import paste_special
 
 MIXED = cells.MIXED.simpleString()
@@ -136,6 +137,25 @@ def test_charts(spark):
     assert [r.label for r in charts.category(df, "s", "v", "Max").collect()] == ["spike", "x"]
 
 
+def test_selection_with_text_and_blanks(spark):
+    df = spark.createDataFrame([(1, 2.5, "P"), (2, None, "7"), (None, 1.5, None)], "a long, b double, c string")
+    got = charts.selection_stats(df, ["a", "b", "c"]).first()
+    assert (got.cells, got.numbers, got.total) == (6, 5, 14.0)
+
+
+def test_selection_query_counts_text(spark):
+    orders = spark.createDataFrame([(1, 1.0, "O"), (2, 2.0, None)], "o_custkey long, o_totalprice double, o_orderstatus string")
+    f = next(c.cell_contents for c in catalogue.QUERIES["selection_stats"].__closure__ if callable(c.cell_contents))
+    assert tuple(f(lambda name: orders).first()) == (5, 4, 6.0)
+
+
+def test_value_query_parses_percent(spark, monkeypatch):
+    orders = spark.createDataFrame([(1, 12.5)], "o_orderkey long, o_totalprice double")
+    f = next(c.cell_contents for c in catalogue.QUERIES["value_parse"].__closure__ if callable(c.cell_contents))
+    monkeypatch.setattr(text, "value", lambda s: F.when(s.endswith("%"), -1.0).otherwise(12.5))
+    assert f(lambda name: orders).first().c == -1.0
+
+
 def test_quality(spark, mixed):
     rules = [quality.Rule("m", "between", (0, 5)), quality.Rule("m", "regex", ("[",)), quality.Rule("m", "one_of", ("a", "2"))]
     got = {r._row: r.violation for r in quality.violations(mixed, rules[:2]).collect()}
