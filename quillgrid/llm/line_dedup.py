@@ -1,18 +1,26 @@
 """Line dedup: an exact set-similarity join over the lines of all documents, in DataFrame operations only.
 
-A line's tokens are its distinct runs of SHINGLE words, lower-cased. Tokens are counted over the whole corpus in
-CELLS cells, and each line's tokens are ordered by rarity of their cell, then by hash: one order for all lines.
-Lines that reach the threshold share a token of their prefixes in that order. Equal lines are folded first.
-Each other line is then tested against the earliest line it shares a prefix token with; only lines that this
-leaves standing meet all their earlier candidates, so groups of like lines never cost all their pairs. The
-length filter and the positional filter (what may still follow the shared token) come before the Jaccard test
-on whole token sets. A line that matches an earlier line (by doc_id, then place in the text) is removed.
-
-Cases: null and empty texts have no lines to compare; lines of fewer than ``min_words`` words are never
-removed, and of the others those of fewer than SHINGLE words match lines of the same words only.
-Rows that repeat a doc_id count as one document, whose lines don't remove themselves; a null doc_id comes
-before all others. Ties in similarity don't matter, as any match removes. An empty table gives an empty
-result. Lines of any length are compared whole. Extra columns are ignored, or kept by ``dedup``.
+1. Lines of the same words (lower-cased, white space aside) are folded into one line class, by the words
+   themselves.
+2. A class's tokens are its distinct runs of SHINGLE words. They are counted over all classes in CELLS cells, and
+   each set is ordered by rarity of the cell, then by hash: one order for all.
+3. Two sets that reach the threshold share a token among the first ``n - ceil(threshold * n) + 1`` of each (the
+   prefix). Prefix entries whose token no other class has in its prefix are let go.
+4. Classes that share a prefix token are candidates. The length filter, the positional filter (what may still
+   follow the shared token) and a bound on the overlap from bitmaps of token parities come first, all within the
+   join; what passes is verified by the Jaccard index of the whole sets.
+5. Round one tests all classes of a token against two of them, the most copied one and the one with the smallest
+   number. What that links is one component. Round two tests every remaining pair of two components. Pairs inside
+   a component need no test, so a group of like lines costs no pairs of its own, and no link is lost.
+
+Lines that are equal or linked, directly or through others, form a group. The first line of a group (by doc_id,
+then text digest, then place) stays, the later ones are removed.
+
+Cases: null and empty texts have no lines to compare; a line without words is never removed. A line of fewer words
+than a shingle has its whole word sequence as its one token. With ``min_words`` shorter lines are left alone. Rows of
+one id and different texts are different documents, null ids included, and a null id comes before all others; rows
+alike in id and text are one document, so each gets the same result. Ties in similarity don't matter. An empty table
+gives an empty result. Lines of any length are compared whole. Extra columns are ignored, or kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -22,135 +30,197 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import components, scratch
 
-SHINGLE, PERCENT, MIN_WORDS = 5, 75, 5
+SHINGLE, PERCENT, MIN_WORDS = 5, 75, 1
 CELLS = 1 << 16
-SLICES = 4
+#: Lines with the most copies, as many as this, have their rows spread over SALTS join keys.
+HOT, SALTS = 1024, 64
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def doc_of(id_col: Column) -> Column:
     return F.coalesce(id_col.cast("long"), F.lit(NO_ID))
 
 
-def step(df: DataFrame, name: str) -> DataFrame:
-    """Written and read again; what it took to get there is let go."""
-    out = scratch.keep(df, name)
-    scratch.release(df.sparkSession)
-    return out
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """doc (NO_ID for null), mark (tells texts of one id apart), pos (from 0), words: of each line with enough words."""
+    every = docs.select(doc_of(docs[id_col]).alias("doc"), F.xxhash64(docs[text_col]).alias("mark"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
+    enough = "[^\\x09-\\x0D\\x20]" + "+[\\x09-\\x0D\\x20]+[^\\x09-\\x0D\\x20]" * (max(min_words, 1) - 1)
+    words = F.trim(F.regexp_replace(F.lower("line"), "[\\x09-\\x0D\\x20]+", " "))
+    return every.where(F.col("line").rlike(enough)).select("doc", "mark", "pos", words.alias("words"))
+
 
+def after(a: Column, k: int) -> Column:
+    """The entries of an array but the first ``k``."""
+    return F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (NO_ID for null), pos (from 0), line."""
-    return docs.select(doc_of(docs[id_col]).alias("doc"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
 
+def once(df: DataFrame, value: Column, name: str, *carry: str) -> DataFrame:
+    """``carry`` and ``value``, which a generator works out once, however often it is named later."""
+    return df.select(*carry, F.explode(F.array(value)).alias(name))
 
-def tokens(line: Column, min_words: int = MIN_WORDS, width: int = SHINGLE) -> Column:
-    """Hashes of the line's distinct shingles, or of all its words if they don't make one; NULL for a line of too few words."""
-    words = F.filter(F.split(F.lower(line), "[\\x09-\\x0D\\x20]+"), lambda x: x != "")
-    hashed = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(width)])))
-    return let(words, lambda w: F.when(F.size(w) >= max(width, min_words), hashed(w)).when(F.size(w) >= max(1, min_words), F.array(F.xxhash64(w))))
 
+def token_sets(classes: DataFrame, *carry: str) -> DataFrame:
+    """``carry`` and t, the hashes of the class's distinct shingles."""
+    hashed = once(classes, F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), "h", *carry)
+    whole = F.size("h") < SHINGLE
+    h = F.col("h")
 
-def token_sets(lines: DataFrame, min_words: int) -> DataFrame:
-    """doc, pos, t of the lines that are long enough. A generator works the tokens out once; a filter would do so twice."""
-    return lines.select("doc", "pos", F.explode(F.filter(F.array(tokens(F.col("line"), min_words)), lambda t: t.isNotNull())).alias("t"))
+    def joined(a: Column, b: Column) -> Column:
+        return F.zip_with(F.slice(a, F.lit(1), F.size(b)), b, lambda x, y: F.xxhash64(x, y))
+
+    two = once(hashed, F.when(~whole, joined(h, after(h, 1))), "two", "h", *carry)
+    four = once(two, F.when(~whole, joined(F.col("two"), after(F.col("two"), 2))), "four", "h", *carry)
+    return four.select(*carry, F.explode(F.array(F.when(whole, F.array(F.xxhash64("h"))).otherwise(F.array_distinct(joined(F.col("four"), after(h, 4)))))).alias("t"))
 
 
 def cell(token: Column) -> Column:
     return token.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def ranks(sets: DataFrame) -> bytearray:
-    """A byte for each cell, 48 to 111, that rises with how often the cell's tokens occur. Its size is fixed, whatever the corpus."""
-    counts = sets.select(F.explode("t").alias("t")).groupBy(cell(F.col("t")).alias("c")).agg(F.count("*").alias("n")).collect()
-    out = bytearray([48]) * CELLS
+def ranks(classes: DataFrame) -> list[int]:
+    """A rank from 0 to 63 for each cell that rises with what its tokens occur beyond the usual. CELLS numbers, whatever the corpus."""
+    counts = token_sets(classes).select(F.explode("t").alias("t")).groupBy(cell(F.col("t")).alias("c")).agg(F.count("*").alias("n")).collect()
+    out = [0] * CELLS
+    usual = sorted(n for _, n in counts)[len(counts) // 2] if len(counts) == CELLS else 0
     for c, n in counts:
-        out[c] = 48 + min(63, int(2 * math.log2(n + 1)))
+        beyond = n - usual - 3 * math.sqrt(usual)
+        out[c] = min(63, int(2 * math.log2(beyond + 1))) if beyond > 0 else 0
     return out
 
 
-def ordered(t: Column, table: bytearray) -> Column:
+def ordered(t: Column, table: list[int]) -> Column:
     """Tokens as longs whose natural order is rarest first. The table is a literal, so that no row carries it."""
-    rank = lambda h: F.ascii(F.substring(F.lit(table), cell(h) + 1, F.lit(1)).cast("string")).cast("long") - 48
-    return F.sort_array(F.transform(t, lambda h: F.shiftleft(rank(h), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
+    high = F.split(F.lit(",".join(str(k << 57) for k in table)), ",").cast("array<bigint>")
+    return F.sort_array(F.transform(t, lambda x: F.element_at(high, cell(x) + 1).bitwiseOR(x.bitwiseAND(F.lit((1 << 57) - 1)))))
+
+
+def prefix_size(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
 
 
-def reach(n1: Column, n2: Column, percent: int) -> Column:
-    """The least overlap of sets of these sizes that reaches the threshold."""
-    return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
+def parities(t: Column) -> list[Column]:
+    """128 bits, in two longs: each is flipped once for each token that falls on it."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("long")
+    half = lambda k: F.aggregate(t, none, lambda s, x: s.bitwiseXOR(F.when(x.bitwiseAND(F.lit(64)) == 64 * k, bit(x)).otherwise(none)))
+    return [half(0), half(1)]
 
 
-def plausible(n1: Column, i1: Column, n2: Column, i2: Column, percent: int) -> Column:
-    """Length and positional filters for two sets that share the tokens at places i1 and i2."""
+def plausible(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """The filters for two sets of sizes n with a shared token at places i (from 0): length, position, bitmaps p and q."""
+    n1, n2 = a["n"], b["n"]
     length = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    return length & (F.least(i1, i2) + F.least(n1 - i1, n2 - i2) >= reach(n1, n2, percent))
+    reach = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
+    position = F.least(a["i"], b["i"]) + F.least(n1 - a["i"], n2 - b["i"]) >= reach
+    # Tokens of one set only flip a bit each, so as many bits as differ are not in common.
+    differ = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
+    return length & position & (n1 + n2 - differ >= 2 * reach)
+
+
+def of(prefix: str) -> dict[str, Column]:
+    return {c: F.col(prefix + c) for c in ("n", "i", "p", "q")}
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (line, other) those whose token sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("at").alias("line"), F.col("sig").alias("s1")), "line").join(sets.select(F.col("at").alias("other"), F.col("sig").alias("s2")), "other")
-    common = F.size(F.array_intersect("s1", "s2"))
-    return both.where(100 * common >= percent * (F.size("s1") + F.size("s2") - common)).select("line", "other")
+    """Of distinct pairs (a, b) those whose token sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("line").alias("a"), F.col("t").alias("s")), "a").join(sets.select(F.col("line").alias("b"), F.col("t").alias("u")), "b")
+    common = F.size(F.array_intersect("s", "u"))
+    return both.where(100 * common >= percent * (F.size("s") + F.size("u") - common)).select("a", "b")
 
 
-def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each line to remove: doc, pos, and the document and place of an earlier line that it matches."""
-    lines = lines_of(docs, id_col, text_col)
-    table = ranks(token_sets(lines, min_words))
-    at = F.struct("doc", "pos")
-    sized = token_sets(lines, min_words).select("doc", "pos", F.explode(F.array(ordered(F.col("t"), table))).alias("sig"))
+def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix entries of tokens that several classes have in their prefixes (key, line, n, i, copies, p, q), and those classes' sets."""
+    table = ranks(classes)
+    sized = once(token_sets(classes, "line"), ordered(F.col("t"), table), "sig", "line")
     n = F.size("sig")
-    prefix = F.slice("sig", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
-    small = step(sized.select("doc", "pos", F.xxhash64("sig").alias("h"), n.alias("n"), prefix.alias("prefix")), "lines")
-
-    firsts = small.groupBy("h", "n").agg(F.min(at).alias("at"), F.first("prefix").alias("prefix"))
-    postings = firsts.select("at", "n", F.posexplode("prefix").alias("i", "key"))
-    w = Window.partitionBy("key")
-    entry = F.struct("at", "n", "i")
-    met = postings.withColumn("k", F.count("*").over(w)).withColumn("lead", F.min(entry).over(w)).where("k > 1").select("key", "at", "n", "i", "lead")
-    members = step(met, "line-postings")
-
-    ids = members.select("at").distinct().select("at.doc", "at.pos", "at")
-    # One line for each place: rows that repeat a doc_id count as one document.
-    met_lines = lines.join(ids, ["doc", "pos"]).groupBy("doc", "pos").agg(F.first("at").alias("at"), F.first("line").alias("line"))
-    sets = step(met_lines.select("at", tokens(F.col("line"), min_words).alias("sig")), "line-sets")
-
-    to_lead = members.where((F.col("at") != F.col("lead.at")) & plausible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent))
-    settled = step(verified(to_lead.select(F.col("at").alias("line"), F.col("lead.at").alias("other")).distinct(), sets, percent), "line-matches")
-    standing = members.join(settled.select(F.col("line").alias("at")).distinct(), "at", "left_anti").where(F.col("at") != F.col("lead.at"))
-    other = members.select("key", F.col("at").alias("other"), F.col("n").alias("n2"), F.col("i").alias("i2"))
-    rest = standing.join(other, "key").where((F.col("other") < F.col("at")) & (F.col("other") != F.col("lead.at")) & plausible(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent))
-    # Pairs carry their token sets when they are verified, so they are taken in slices, which bound the disk.
-    pairs, near = step(rest.select(F.col("at").alias("line"), "other").distinct(), "line-pairs"), settled
-    for k in range(SLICES):
-        near = near.unionByName(step(verified(pairs.where(F.pmod(F.xxhash64("line"), F.lit(SLICES)) == k), sets, percent), "line-matches"))
-    near = near.groupBy("line").agg(F.min("other").alias("other"))
-
-    every = small.select("h", "n", at.alias("line")).join(small.groupBy("h", "n").agg(F.min(at).alias("at")), ["h", "n"])
-    copies = every.where(F.col("line") != F.col("at")).select("line", F.col("at").alias("other"))
-    return copies.unionByName(near).select(F.col("line.doc").alias("doc"), F.col("line.pos").alias("pos"), F.nullif(F.col("other.doc"), F.lit(NO_ID)).alias("match_doc"), F.col("other.pos").alias("match_pos"))
+    entries = sized.select("line", n.alias("n"), F.posexplode(F.slice("sig", F.lit(1), prefix_size(n, percent))).alias("i", "key"))
+    packed = entries.select("key", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"))
+    several = packed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1")
+    shared = steps.keep(several.select("key", "line", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i")), "line-postings")
+    wanted = shared.select("line").distinct()
+    sets = token_sets(classes.join(wanted, "line"), "line", "copies")
+    sets = steps.keep(sets.select("line", "copies", "t", *[c.alias(x) for c, x in zip(parities(F.col("t")), "pq", strict=True)]), "line-sets")
+    return steps.keep(shared.join(sets.select("line", "copies", "p", "q"), "line"), "line-members"), sets
+
+
+def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFrame:
+    """(node, root) of all classes that are linked, but the roots: groups of classes."""
+    members, sets = candidates(classes, steps, percent)
+    steps.drop("line-postings")
+    entry = F.struct("line", "n", "i", "p", "q")
+    leads = members.groupBy("key").agg(F.max_by(entry, F.struct("copies", -F.col("line"))).alias("x"), F.min_by(entry, "line").alias("y"), F.count("*").alias("k"))
+    leads = steps.keep(leads, "line-leads")
+    each = members.join(leads, "key")
+    pairs = None
+    for name in "xy":
+        lead = F.col(f"{name}.line")
+        good = (F.col("line") != lead) & plausible(of(""), of(f"{name}."), percent)
+        one = each.where(good).select(F.least("line", lead).alias("a"), F.greatest("line", lead).alias("b"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    first = steps.keep(verified(pairs.distinct(), sets, percent), "line-links")
+    roots = components.components(first)
+
+    # Round two: what is not in the component that most classes of a token belong to meets all others of the token.
+    many = leads.where("k > 2").select("key", F.col("x.line").alias("x"), F.col("y.line").alias("y"))
+    named = members.join(many, "key").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    named = steps.keep(named, "line-named")
+    main = named.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    open_ = named.join(main, "key")
+    side = lambda s: open_.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("line", "n", "i", "p", "q", "root", "x", "y", "main")])
+    rest = side("l").where(F.col("l_root") != F.col("l_main"))
+    left, right = F.col("l_line"), F.col("r_line")
+    tested = left.isin(F.col("l_x"), F.col("l_y")) | right.isin(F.col("l_x"), F.col("l_y"))
+    fresh = (left < right) | (F.col("r_root") == F.col("r_main"))
+    others = rest.join(side("r"), "key").where((F.col("l_root") != F.col("r_root")) & fresh & ~tested & plausible(of("l_"), of("r_"), percent))
+    second = steps.keep(verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), sets, percent), "line-more-links")
+    groups = components.components(first.unionByName(second))
+    steps.drop("line-sets", "line-members", "line-leads", "line-named", "line-links", "line-more-links")
+    return groups
+
+
+def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each line to remove: doc, mark, pos, and the document and place of its group's first line."""
+    steps = scratch.Steps(docs.sparkSession)
+    lines = lines_of(docs, id_col, text_col, min_words)
+    place = F.struct("doc", "mark", "pos")
+    folded = lines.groupBy("words").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
+    classes = steps.keep(folded.select(F.monotonically_increasing_id().alias("line"), "words", "at", "copies"), "line-classes")
+    roots = steps.keep(find_links(classes, steps, percent), "line-groups")
+
+    of_group = classes.select(F.col("line").alias("root"), "at").join(roots.select("root").distinct(), "root").unionByName(roots.join(classes.select(F.col("line").alias("node"), "at"), "node").select("root", "at"))
+    starts = of_group.groupBy("root").agg(F.min("at").alias("start"))
+    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(starts, "root").select(F.col("node").alias("line"), "start")
+    known = classes.join(grouped, "line", "left").select("words", "at", "copies", F.coalesce("start", "at").alias("start"))
+    alone = known.where((F.col("copies") == 1) & (F.col("at") != F.col("start"))).select("at", "start")
+    repeated = steps.keep(known.where("copies > 1").select(F.sha2("words", 256).alias("digest"), F.xxhash64("words").alias("h"), "copies", "start"), "line-copies")
+    alone = steps.keep(alone, "line-alone")
+    steps.drop("line-classes", "line-groups")
+
+    hot = [r[0] for r in repeated.orderBy(F.desc("copies"), "h").limit(HOT).select("h").collect()]
+    is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = repeated.select("digest", "start", F.explode(salts).alias("salt"))
+    every = lines.select(place.alias("at"), F.sha2("words", 256).alias("digest"), F.xxhash64("words").alias("h"))
+    every = every.select("at", "digest", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    copies = every.join(salted, ["digest", "salt"]).where(F.col("at") != F.col("start")).select("at", "start")
+    return copies.unionByName(alone).select("at.*", F.nullif(F.col("start.doc"), F.lit(NO_ID)).alias("match_doc"), F.col("start.pos").alias("match_pos"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each row's id, n_lines, n_removed, removed (places from 0) and matched ids (``match_ids``, sorted)."""
-    gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("match_doc")).alias("match_ids"))
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    joined = rows.join(gone, doc_of(F.col("id")) == F.col("doc"), "left")
+    """Each row's id, n_lines, n_removed, removed (places from 0) and the ids of its removed lines' group starts (``match_ids``, sorted)."""
+    gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy("doc", "mark").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("match_doc")).alias("match_ids"))
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("row_mark"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    joined = rows.join(gone, (doc_of(F.col("id")) == F.col("doc")) & (F.col("row_mark") == F.col("mark")), "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return joined.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none("int")).alias("removed"), F.coalesce("match_ids", none("bigint")).alias("match_ids"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, the text without the lines to remove."""
-    gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__gone"))
-    joined = docs.join(gone, doc_of(docs[id_col]) == F.col("__doc"), "left")
+    gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("pos").alias("__gone"))
+    joined = docs.join(gone, (doc_of(docs[id_col]) == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left")
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

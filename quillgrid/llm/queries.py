@@ -19,8 +19,9 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (places of lines), match_ids (documents with the earlier lines)."""
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), min_words=1)
+    """doc_id, n_lines, n_removed, removed (places of lines) and match_ids (documents of the lines that stay in their stead), both comma-joined."""
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_lines", "n_removed", *[F.array_join(c, ",").alias(c) for c in ("removed", "match_ids")])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,13 +102,6 @@ def discounted(count: Column, expected: Column, doubt: float) -> Column:
     return F.greatest(count - F.greatest(F.lit(DISCOUNT), expected + doubt * F.sqrt(expected + 1)), F.lit(0.0))
 
 
-def step(df: DataFrame, name: str) -> DataFrame:
-    """Written and read again; what it took to get there is let go."""
-    out = scratch.keep(df, name)
-    scratch.release(df.sparkSession)
-    return out
-
-
 def count_expressions(train: DataFrame, words: bool) -> DataFrame:
     """In how many toxic and ordinary rows of (toxic, text) each word (``second``; ``first`` is null) or each pair of words is."""
 
@@ -195,8 +188,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_counts(train: DataFrame) -> Model:
     """The two models, from rows of (toxic 0/1, text)."""
-    words = step(count_expressions(train, True), "word-counts")
-    pairs = step(count_expressions(train, False), "pair-counts")
+    words = scratch.keep(count_expressions(train, True), "word-counts")
+    pairs = scratch.keep(count_expressions(train, False), "pair-counts")
     single = word_model(words, pairs)
     of_words = single.where("own").select(F.col("second").alias("key"), log_ratio(F.col("p_toxic"), F.col("p_ordinary")).alias("delta"))
     of_pairs = pair_model(pairs, single).mapInArrow(_keyed, "key bigint, delta double")
@@ -249,7 +242,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         marks = F.broadcast(marks)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), fold(docs[id_col]).alias("fold")).where(F.col("fold") != HELD_OUT)
     known = rows.join(marks, F.col("id") == F.col("label_id"))
-    known = step(known.select("id", "fold", "toxic", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["fold", "toxic", "digest"]), "labelled")
+    known = scratch.keep(known.select("id", "fold", "toxic", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["fold", "toxic", "digest"]), "labelled")
     model = fit_counts(known.where(F.col("fold") != CALIBRATE))
     scored = totals(known.where(F.col("fold") == CALIBRATE), model, ["id", "toxic"])
     got = scored.orderBy(F.xxhash64("id")).limit(calibration_rows).select("toxic", "total", "n_words").toArrow()

@@ -9,28 +9,47 @@ from quillgrid.llm import line_dedup, queries
 SF = "/root/testdata/sf0.001"
 
 
-def brute(rows):
-    seen, places, out = [], defaultdict(list), defaultdict(list)
-    for doc, text in sorted(rows):
+def brute(rows, min_words=1):
+    """Places to remove of each document: all but the first line of each group of lines that are linked, over all pairs with a token in common."""
+    seen, places, at, up, later = [], defaultdict(list), [], [], set()
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for d, (_, text) in enumerate(rows):
         for pos, line in enumerate(text.split("\n")):
             w = [x for x in re.split(r"[\x09-\x0D\x20]+", line.lower()) if x]
-            if len(w) < 5:
+            if len(w) < min_words:
                 continue
-            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-            common = Counter(k for g in s for k in places[g])
-            if any(100 * o >= 75 * (len(s) + len(seen[k]) - o) for k, o in common.items()):
-                out[doc].append(pos)
+            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+            up.append(len(up))
+            at.append((d, pos))
+            for k, o in Counter(k for g in s for k in places[g]).items():
+                if 100 * o >= 75 * (len(s) + len(seen[k]) - o):
+                    later.add(len(seen))
+                    a, b = root(k), root(len(seen))
+                    up[max(a, b)] = min(a, b)
             for g in s:
                 places[g].append(len(seen))
             seen.append(s)
-    return out
+    gone = {k for k in range(len(seen)) if root(k) != k}
+    assert later <= gone
+    return [[p for k, (e, p) in enumerate(at) if e == d and k in gone] for d in range(len(rows))]
+
+
+def in_order(rows):
+    """Rows (id, text) in the order of documents: by id, nulls first."""
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 
 
 def test_same_as_brute_force_on_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    for r in line_dedup.line_report(docs).collect():
-        assert list(r.removed) == want.get(r.doc_id, []) and r.n_removed == len(r.removed) and r.n_lines >= r.n_removed
+    rows = in_order([(r.doc_id, r.text) for r in docs.collect()])
+    want = dict(zip([d for d, _ in rows], brute(rows), strict=True))
+    for r in queries.op2_line_dedup(spark, SF).collect():
+        assert r.removed == ",".join(map(str, want[r.doc_id])) and r.n_removed == len(want[r.doc_id]) and r.n_lines >= r.n_removed
 
 
 def test_same_as_brute_force_on_near_lines(spark):
@@ -41,45 +60,44 @@ def test_same_as_brute_force_on_near_lines(spark):
             line = [f"w{rng.randint(0, 60)}" for _ in range(rng.choice([6, 15, 40]))]
         line = [w if rng.random() > 0.04 else f"w{rng.randint(0, 60)}" for w in line]
         rows.append((d, " ".join(line) + "\nshort line\n" + " ".join(rng.sample(line, len(line)))))
-    want = brute(rows)
     got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == {d: want.get(d, []) for d, _ in rows}
-
-
-def brute_all(rows):
-    """As ``brute``, with lines of 1 to 4 words, whose one token is all their words."""
-    seen, places, out = [], defaultdict(list), defaultdict(list)
-    for doc, text in sorted(rows):
-        for pos, line in enumerate(text.split("\n")):
-            w = [x for x in re.split(r"[\x09-\x0D\x20]+", line.lower()) if x]
-            if not w:
-                continue
-            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
-            common = Counter(k for g in s for k in places[g])
-            if any(100 * o >= 75 * (len(s) + len(seen[k]) - o) for k, o in common.items()):
-                out[doc].append(pos)
-            for g in s:
-                places[g].append(len(seen))
-            seen.append(s)
-    return out
+    assert got == dict(enumerate(brute(rows)))
+
+
+def test_star_without_its_centre(spark):
+    """Variants of one long line that mostly don't link with each other, some that do, and two that link all of a part."""
+    rng, base, rows = random.Random(9), [f"b{k}" for k in range(40)], []
+    for d in range(80):
+        line = list(base)
+        for k in rng.sample(range(40), rng.choice([1, 1, 2])):
+            line[k] = f"x{d}y{k}"
+        rows.append((d, " ".join(line)))
+    rows += [(80, " ".join(base)), (81, " ".join(base[:38]))]
+    rows = [*rows[:40], *((d + 100, t) for d, t in rows[40:])]
+    got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(zip([d for d, _ in rows], brute(rows), strict=True))
 
 
-def test_query_compares_short_lines(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = brute_all(rows)
-    assert sum(map(len, want.values())) > sum(map(len, brute(rows).values()))
-    for r in queries.op2_line_dedup(spark, SF).collect():
-        assert list(r.removed) == want.get(r.doc_id, [])
+def test_rows_that_share_an_id(spark):
+    """Rows of one id, or of none, with other texts are other documents; rows alike in both get the same result."""
+    one, two = "one two three four five six\nread more", "alpha beta gamma delta epsilon\nother six seven eight nine ten\nread more"
+    rows = [(7, one + "\nread more"), (7, two), (None, "read more\nown words of a row"), (None, "its own other words\nown words of a row"), (9, one), (9, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in line_dedup.dedup(docs).collect())
+    lines = Counter(x for _, _, t in kept for x in t.split("\n") if x)
+    assert all(lines[x] == 1 for x in (*one.split("\n"), *two.split("\n"), "own words of a row", "its own other words"))
+    assert [t for _, d, t in kept if d == 9] == ["", ""]
 
 
 def test_short_lines(spark):
     docs = spark.createDataFrame([(1, "Read more\n\nb"), (2, "read  MORE\n\na b c d e"), (3, "read more now\na b c d e\nb")], "doc_id long, text string")
-    got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(docs, min_words=1).collect()}
+    got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(docs).collect()}
     assert got == {1: [], 2: [0], 3: [1, 2]}
-    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=1).collect()}[3] == "read more now"
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}[3] == "read more now"
 
 
 def test_odd_rows(odd, none):
+    assert line_dedup.line_report(odd, min_words=5).where("doc_id = 6").first().n_removed == 0
     got = {r.doc_id: r for r in line_dedup.line_report(odd).collect() if r.doc_id is not None}
     assert got[0].n_lines == 0 and got[1].n_removed == 0 and got[12].n_removed == 0
     assert all(got[k].n_removed == 1 and list(got[k].match_ids) == [None] or got[k].n_removed == 1 for k in (9, 10, 11))  # the row without an id comes first
@@ -87,7 +105,7 @@ def test_odd_rows(odd, none):
     kept = line_dedup.dedup(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
     texts = {r.doc_id: r.text for r in kept.collect()}
-    assert texts[9] == texts[10] == "" and texts[6] == "line\nline\nline\nother words here" and texts[0] is None
+    assert texts[9] == texts[10] == "" and texts[6] == "line\nother words here" and texts[0] is None
     assert line_dedup.dedup(none).count() == 0
 
 
