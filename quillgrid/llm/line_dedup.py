@@ -176,7 +176,7 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
     fresh = (left < right) | (F.col("r_root") == F.col("r_main"))
     others = rest.join(side("r"), "key").where((F.col("l_root") != F.col("r_root")) & fresh & ~tested & plausible(of("l_"), of("r_"), percent))
     second = steps.keep(verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), sets, percent), "line-more-links")
-    groups = components.components(first.unionByName(second))
+    groups = roots if second.isEmpty() else components.components(first.unionByName(second))
     steps.drop("line-sets", "line-members", "line-leads", "line-named", "line-links", "line-more-links")
     return groups
 
