@@ -10,8 +10,8 @@
    follow the shared token) and a bound on the overlap from bitmaps of token parities come first, all within the
    join; what passes is verified by the Jaccard index of the whole sets.
 5. Round one tests all classes of a token against two of them, the most copied one and the one with the smallest
-   number. What that links is one component. Round two tests every remaining pair of two components. Pairs inside
-   a component need no test, so a group of like lines costs no pairs of its own, and no link is lost.
+   number. Round two tests every remaining pair of a token, but those that round one linked with one and the same
+   class: they are in one group anyway. So a group of like lines costs no pairs of its own, and no link is lost.
 
 Lines that are equal or linked, directly or through others, form a group. The first line of a group (by doc_id,
 then text digest, then place) stays, the later ones are removed.
@@ -26,6 +26,7 @@ gives an empty result. Lines of any length are compared whole. Extra columns are
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,17 +45,10 @@ def doc_of(id_col: Column) -> Column:
     return F.coalesce(id_col.cast("long"), F.lit(NO_ID))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc (NO_ID for null), mark (tells texts of one id apart), pos (from 0), words: of each line with enough words."""
-    every = docs.select(doc_of(docs[id_col]).alias("doc"), F.xxhash64(docs[text_col]).alias("mark"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
-    enough = "[^\\x09-\\x0D\\x20]" + "+[\\x09-\\x0D\\x20]+[^\\x09-\\x0D\\x20]" * (max(min_words, 1) - 1)
-    words = F.trim(F.regexp_replace(F.lower("line"), "[\\x09-\\x0D\\x20]+", " "))
-    return every.where(F.col("line").rlike(enough)).select("doc", "mark", "pos", words.alias("words"))
-
-
-def after(a: Column, k: int) -> Column:
-    """The entries of an array but the first ``k``."""
-    return F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
+def spaced(line: Column) -> Column:
+    """The line with one space between words and none at its ends. Regular lines, known by plain searches, are left as they are."""
+    odd = reduce(lambda a, b: a | b, [line.contains(c) for c in ("  ", "\t", "\x0b", "\x0c", "\r")]) | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.trim(F.regexp_replace(line, "[\\x09-\\x0D\\x20]+", " "))).otherwise(line)
 
 
 def once(df: DataFrame, value: Column, name: str, *carry: str) -> DataFrame:
@@ -62,27 +56,37 @@ def once(df: DataFrame, value: Column, name: str, *carry: str) -> DataFrame:
     return df.select(*carry, F.explode(F.array(value)).alias(name))
 
 
-def token_sets(classes: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` and t, the hashes of the class's distinct shingles."""
-    hashed = once(classes, F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), "h", *carry)
-    whole = F.size("h") < SHINGLE
-    h = F.col("h")
-
-    def joined(a: Column, b: Column) -> Column:
-        return F.zip_with(F.slice(a, F.lit(1), F.size(b)), b, lambda x, y: F.xxhash64(x, y))
-
-    two = once(hashed, F.when(~whole, joined(h, after(h, 1))), "two", "h", *carry)
-    four = once(two, F.when(~whole, joined(F.col("two"), after(F.col("two"), 2))), "four", "h", *carry)
-    return four.select(*carry, F.explode(F.array(F.when(whole, F.array(F.xxhash64("h"))).otherwise(F.array_distinct(joined(F.col("four"), after(h, 4)))))).alias("t"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """doc (NO_ID for null), mark (tells texts of one id apart), pos (from 0), words: of each line with enough words."""
+    every = docs.select(doc_of(docs[id_col]).alias("doc"), F.xxhash64(docs[text_col]).alias("mark"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
+    lines = once(every, spaced(F.lower("line")), "words", "doc", "mark", "pos").where("words <> ''")
+    return lines if min_words <= 1 else lines.where(F.size(F.split("words", " ")) >= min_words)
 
 
 def cell(token: Column) -> Column:
     return token.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
+def token_sets(classes: DataFrame, *carry: str) -> DataFrame:
+    """``carry`` and t, the hashes of the class's distinct shingles."""
+    cut = once(classes, F.split("words", " "), "w", *carry)
+    w = F.col("w")
+    runs = F.arrays_zip(*[F.slice(w, F.lit(k + 1), F.size(w) - (SHINGLE - 1)).alias(f"w{k}") for k in range(SHINGLE)])
+    hashed = F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))
+    return once(cut, F.when(F.size(w) < SHINGLE, F.array(F.xxhash64(w))).otherwise(hashed), "t", *carry)
+
+
+def token_cells(classes: DataFrame) -> DataFrame:
+    """c, the cell of each shingle of each class: rows from the start, with the hashes of ``token_sets``."""
+    cut = classes.select(F.split("words", " ").alias("w"))
+    w, k = F.col("w"), F.col("k")
+    each = cut.select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))).alias("k"))
+    return each.select(cell(F.when(F.size(w) < SHINGLE, F.xxhash64(w)).otherwise(F.xxhash64(*[F.get(w, k + j) for j in range(SHINGLE)]))).alias("c"))
+
+
 def ranks(classes: DataFrame) -> list[int]:
     """A rank from 0 to 63 for each cell that rises with what its tokens occur beyond the usual. CELLS numbers, whatever the corpus."""
-    counts = token_sets(classes).select(F.explode("t").alias("t")).groupBy(cell(F.col("t")).alias("c")).agg(F.count("*").alias("n")).collect()
+    counts = token_cells(classes).groupBy("c").agg(F.count("*").alias("n")).collect()
     out = [0] * CELLS
     usual = sorted(n for _, n in counts)[len(counts) // 2] if len(counts) == CELLS else 0
     for c, n in counts:
@@ -124,15 +128,20 @@ def of(prefix: str) -> dict[str, Column]:
     return {c: F.col(prefix + c) for c in ("n", "i", "p", "q")}
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those whose token sets reach the threshold."""
+def verified(pairs: DataFrame, classes: DataFrame, steps: scratch.Steps, percent: int, name: str) -> DataFrame:
+    """Of pairs (a, b) those whose token sets reach the threshold, written. Only lines of such pairs are cut into tokens."""
+    pairs = steps.keep(pairs.distinct(), f"{name}-pairs")
+    wanted = steps.keep(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), f"{name}-wanted")
+    sets = steps.keep(token_sets(classes.join(wanted, "line"), "line"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("line").alias("a"), F.col("t").alias("s")), "a").join(sets.select(F.col("line").alias("b"), F.col("t").alias("u")), "b")
     common = F.size(F.array_intersect("s", "u"))
-    return both.where(100 * common >= percent * (F.size("s") + F.size("u") - common)).select("a", "b")
+    out = steps.keep(both.where(100 * common >= percent * (F.size("s") + F.size("u") - common)).select("a", "b"), name)
+    steps.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-sets")
+    return out
 
 
-def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix entries of tokens that several classes have in their prefixes (key, line, n, i, copies, p, q), and those classes' sets."""
+def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFrame:
+    """Prefix entries of tokens that several classes have in their prefixes, written: key, line, n, i, copies, p, q."""
     table = ranks(classes)
     sized = once(token_sets(classes, "line"), ordered(F.col("t"), table), "sig", "line")
     n = F.size("sig")
@@ -140,44 +149,47 @@ def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> tuple[
     packed = entries.select("key", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"))
     several = packed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1")
     shared = steps.keep(several.select("key", "line", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i")), "line-postings")
-    wanted = shared.select("line").distinct()
-    sets = token_sets(classes.join(wanted, "line"), "line", "copies")
-    sets = steps.keep(sets.select("line", "copies", "t", *[c.alias(x) for c, x in zip(parities(F.col("t")), "pq", strict=True)]), "line-sets")
-    return steps.keep(shared.join(sets.select("line", "copies", "p", "q"), "line"), "line-members"), sets
+    wanted = steps.keep(shared.select("line").distinct(), "line-wanted")
+    bits = token_sets(classes.join(wanted, "line"), "line", "copies").select("line", "copies", *[c.alias(x) for c, x in zip(parities(F.col("t")), "pq", strict=True)])
+    members = steps.keep(shared.join(steps.keep(bits, "line-bits"), "line"), "line-members")
+    steps.drop("line-postings", "line-wanted", "line-bits")
+    return members
 
 
 def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFrame:
     """(node, root) of all classes that are linked, but the roots: groups of classes."""
-    members, sets = candidates(classes, steps, percent)
-    steps.drop("line-postings")
+    members = candidates(classes, steps, percent)
     entry = F.struct("line", "n", "i", "p", "q")
     leads = members.groupBy("key").agg(F.max_by(entry, F.struct("copies", -F.col("line"))).alias("x"), F.min_by(entry, "line").alias("y"), F.count("*").alias("k"))
     leads = steps.keep(leads, "line-leads")
     each = members.join(leads, "key")
-    pairs = None
+    met = []
     for name in "xy":
         lead = F.col(f"{name}.line")
         good = (F.col("line") != lead) & plausible(of(""), of(f"{name}."), percent)
-        one = each.where(good).select(F.least("line", lead).alias("a"), F.greatest("line", lead).alias("b"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    first = steps.keep(verified(pairs.distinct(), sets, percent), "line-links")
-    roots = components.components(first)
+        met.append(F.when(good, F.struct(F.least("line", lead).alias("a"), F.greatest("line", lead).alias("b"))))
+    pairs = each.select(F.explode(F.array(*met)).alias("pair")).where("pair is not null").select("pair.*")
+    first = verified(pairs, classes, steps, percent, "line-links")
+
+    # Lines with one label are linked with one line: the smallest that round one linked with them, or themselves.
+    labels = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    labels = steps.keep(labels.select(F.col("a").alias("line"), F.least("a", "b").alias("label")), "line-labels")
 
-    # Round two: what is not in the component that most classes of a token belong to meets all others of the token.
+    # Round two: what hasn't the label that most lines of a token have meets all others of the token.
     many = leads.where("k > 2").select("key", F.col("x.line").alias("x"), F.col("y.line").alias("y"))
-    named = members.join(many, "key").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    named = members.join(many, "key").join(labels, "line", "left").withColumn("label", F.coalesce("label", "line"))
     named = steps.keep(named, "line-named")
-    main = named.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    main = named.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = named.join(main, "key")
-    side = lambda s: open_.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("line", "n", "i", "p", "q", "root", "x", "y", "main")])
-    rest = side("l").where(F.col("l_root") != F.col("l_main"))
+    side = lambda s: open_.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("line", "n", "i", "p", "q", "label", "x", "y", "main")])
+    rest = side("l").where(F.col("l_label") != F.col("l_main"))
     left, right = F.col("l_line"), F.col("r_line")
     tested = left.isin(F.col("l_x"), F.col("l_y")) | right.isin(F.col("l_x"), F.col("l_y"))
-    fresh = (left < right) | (F.col("r_root") == F.col("r_main"))
-    others = rest.join(side("r"), "key").where((F.col("l_root") != F.col("r_root")) & fresh & ~tested & plausible(of("l_"), of("r_"), percent))
-    second = steps.keep(verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), sets, percent), "line-more-links")
-    groups = roots if second.isEmpty() else components.components(first.unionByName(second))
-    steps.drop("line-sets", "line-members", "line-leads", "line-named", "line-links", "line-more-links")
+    fresh = (left < right) | (F.col("r_label") == F.col("r_main"))
+    others = rest.join(side("r"), "key").where((F.col("l_label") != F.col("r_label")) & fresh & ~tested & plausible(of("l_"), of("r_"), percent))
+    second = verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")), classes, steps, percent, "line-more-links")
+    groups = components.components(first.unionByName(second))
+    steps.drop("line-members", "line-leads", "line-labels", "line-named", "line-links", "line-more-links")
     return groups
 
 
@@ -203,8 +215,8 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = repeated.select("digest", "start", F.explode(salts).alias("salt"))
-    every = lines.select(place.alias("at"), F.sha2("words", 256).alias("digest"), F.xxhash64("words").alias("h"))
-    every = every.select("at", "digest", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    hashed = lines.select(place.alias("at"), F.explode(F.array(F.struct(F.sha2("words", 256).alias("digest"), F.xxhash64("words").alias("h")))).alias("v")).select("at", "v.digest", "v.h")
+    every = hashed.select("at", "digest", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
     copies = every.join(salted, ["digest", "salt"]).where(F.col("at") != F.col("start")).select("at", "start")
     return copies.unionByName(alone).select("at.*", F.nullif(F.col("start.doc"), F.lit(NO_ID)).alias("match_doc"), F.col("start.pos").alias("match_pos"))
 
