@@ -58,7 +58,8 @@ def once(df: DataFrame, value: Column, name: str, *carry: str) -> DataFrame:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """doc (NO_ID for null), mark (tells texts of one id apart), pos (from 0), words: of each line with enough words."""
-    every = docs.select(doc_of(docs[id_col]).alias("doc"), F.xxhash64(docs[text_col]).alias("mark"), F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"))
+    marked = once(docs.select(doc_of(docs[id_col]).alias("doc"), docs[text_col].alias("text")), F.xxhash64("text"), "mark", "doc", "text")
+    every = marked.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = once(every, spaced(F.lower("line")), "words", "doc", "mark", "pos").where("words <> ''")
     return lines if min_words <= 1 else lines.where(F.size(F.split("words", " ")) >= min_words)
 
@@ -67,21 +68,24 @@ def cell(token: Column) -> Column:
     return token.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
+def word_hashes(classes: DataFrame, *carry: str) -> DataFrame:
+    """``carry`` and h, a hash of each word of the class."""
+    return once(classes, F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), "h", *carry)
+
+
 def token_sets(classes: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` and t, the hashes of the class's distinct shingles."""
-    cut = once(classes, F.split("words", " "), "w", *carry)
-    w = F.col("w")
-    runs = F.arrays_zip(*[F.slice(w, F.lit(k + 1), F.size(w) - (SHINGLE - 1)).alias(f"w{k}") for k in range(SHINGLE)])
-    hashed = F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))
-    return once(cut, F.when(F.size(w) < SHINGLE, F.array(F.xxhash64(w))).otherwise(hashed), "t", *carry)
+    """``carry`` and t, the hashes of the class's distinct shingles; of fewer words, one hash of them all."""
+    h = F.col("h")
+    first = F.slice(h, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
+    runs = F.transform(first, lambda x, k: F.xxhash64(x, *[F.get(h, k + j) for j in range(1, SHINGLE)]))
+    return once(word_hashes(classes, *carry), F.when(F.size(h) < SHINGLE, F.array(F.xxhash64(h))).otherwise(F.array_distinct(runs)), "t", *carry)
 
 
 def token_cells(classes: DataFrame) -> DataFrame:
     """c, the cell of each shingle of each class: rows from the start, with the hashes of ``token_sets``."""
-    cut = classes.select(F.split("words", " ").alias("w"))
-    w, k = F.col("w"), F.col("k")
-    each = cut.select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))).alias("k"))
-    return each.select(cell(F.when(F.size(w) < SHINGLE, F.xxhash64(w)).otherwise(F.xxhash64(*[F.get(w, k + j) for j in range(SHINGLE)]))).alias("c"))
+    h, k = F.col("h"), F.col("k")
+    each = word_hashes(classes).select("h", F.explode(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0)))).alias("k"))
+    return each.select(cell(F.when(F.size(h) < SHINGLE, F.xxhash64(h)).otherwise(F.xxhash64(*[F.get(h, k + j) for j in range(SHINGLE)]))).alias("c"))
 
 
 def ranks(classes: DataFrame) -> list[int]:
