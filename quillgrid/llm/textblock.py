@@ -7,6 +7,7 @@ text that is longer than that makes a larger one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,11 @@ WORDLIKE[0x30:0x3A] = WORDLIKE[0x41:0x5B] = WORDLIKE[0x61:0x7B] = WORDLIKE[0x80:
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Stretches of more bytes are hashed one by one.
+LONG = 256
+#: Masks of the first k bytes of a little-endian 64-bit number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
@@ -60,7 +66,11 @@ def rolling(values: np.ndarray) -> np.ndarray:
 
 
 def window(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], from the sums that ``rolling`` gives."""
+    """64-bit hashes of values[start:end], from the sums that ``rolling`` gives.
+
+    For stretches of a few words, whose values are hashes themselves: a polynomial modulo 2**64 is no hash of long
+    stretches of few different values.
+    """
     raw = (sums[end] - sums[start]) * powers(len(sums), back=True)[start]
     return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -86,10 +96,21 @@ class Block:
         return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte stretches."""
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        return window(rolling(self.data.astype(np.uint64) + np.uint64(1)), starts, ends)
+        """64-bit hashes of the byte stretches, eight bytes at a time, each step mixed; of long stretches a part of BLAKE2b."""
+        left = ends - starts
+        out = mixed(left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        for k in np.flatnonzero(left > LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        live = np.flatnonzero((left > 0) & (left <= LONG))
+        at, left, x = starts[live], left[live], out[live]
+        while len(live):
+            x = mixed(x ^ (eights[at] & MASKS[np.minimum(left, 8)]))
+            out[live] = x
+            more = left > 8
+            live, at, left, x = live[more], at[more] + 8, left[more] - 8, x[more]
+        return out
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sums over the bytes of each text."""
