@@ -4,8 +4,9 @@ Each text's SHA-256 is joined, under the tokenizer's own digest, to the counts t
 distinct texts that miss are encoded; their counts are appended to the cache, and the result is read from it.
 
 Where the tokenizer cuts texts at each single space anyway (byte-level pre-tokens, no normalizer), a Python
-worker encodes each distinct piece between such spaces once and sums: the same idea, a level below. It holds
-at most MOST_PIECES pieces, some hundred bytes each; beyond, it lets the longer ones go, which are the rarer.
+worker encodes each distinct piece between such spaces once and sums: the same idea, a level below. It keeps
+at most MOST_PIECES pieces of at most PIECE_CHARS characters each, so its memory has a bound for texts without
+spaces, too; beyond, it lets the longer ones go, which are the rarer.
 
 Cases: a null text counts as an empty one: 0 bytes, 0 tokens. Equal texts, however many, are encoded once;
 repeated rows each get a row. An empty table gives an empty result and appends nothing. Texts of any length
@@ -29,8 +30,7 @@ from . import scratch
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 #: Characters of text that are encoded in one call of the library.
 CHUNK = 1 << 18
-MOST_PIECES = 400_000
-MOST_PIECES, LASTING, AT_ONCE = 200_000, 7, 2048
+MOST_PIECES, PIECE_CHARS, LASTING, AT_ONCE = 200_000, 64, 7, 2048
 #: A space is a sure cut where what stands on either side is a letter, digit, or printable ASCII.
 CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
 UNSURE = re.compile(r"(?:^|[^\w!-~]) | (?:[^\w!-~]|\Z)")
@@ -75,16 +75,18 @@ def by_pieces(count, version: str):
                 first, *rest = text.split(" ")
                 pieces.append([first, *map(" ".__add__, rest)])
         new = list(set().union(*pieces).difference(known))
-        if len(known) + len(new) > MOST_PIECES:
+        if len(known) + sum(len(x) <= PIECE_CHARS for x in new) > MOST_PIECES:
             lasting = {p: n for p, n in known.items() if len(p) <= LASTING}
             known.clear()
             if len(lasting) <= MOST_PIECES // 2:
                 known.update(lasting)
             new = list(set().union(*pieces).difference(known))
+        own: dict[str, int] = {}
         for k in range(0, len(new), AT_ONCE):
             part = new[k : k + AT_ONCE]
-            known.update(zip(part, count(part), strict=True))
-        return [sum(map(known.__getitem__, p)) for p in pieces]
+            own.update(zip(part, count(part), strict=True))
+        known.update((p, n) for p, n in own.items() if len(p) <= PIECE_CHARS)
+        return [sum(own[x] if x in own else known[x] for x in p) for p in pieces]
 
     return run
 
@@ -155,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     if known is not None:
         misses = misses.join(known.select("digest"), "digest", "left_anti")
     distinct = misses.dropDuplicates(["digest"])
-    encode_misses(distinct, library, body, version).write.mode("append").parquet(path)
+    scratch.write(encode_misses(distinct, library, body, version), path, "append")
     counts = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version).select("digest", "n_tokens")
     if cache:  # two calls at once can both have appended a text
         counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
