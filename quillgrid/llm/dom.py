@@ -16,11 +16,11 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Fixed values of HTML: elements without content, whose content is no page text, and that open a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select option title head canvas audio video button".split())
+RAW = frozenset("script style template iframe svg textarea select option title head button".split())
 #: Parts of forms.
 CONTROLS = frozenset("input button textarea select label".split())
 #: Of these the content isn't markup, so a tag inside counts as text up to the closing tag.
-LITERAL = frozenset("script style textarea title iframe noscript".split())
+LITERAL = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: What an opening tag closes, if it is open and nothing in the second set is open inside it.
 CLOSES = {
