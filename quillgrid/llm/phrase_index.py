@@ -1,13 +1,13 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The training texts are cut into segments, runs of whole texts; each segment has a postings list (sorted word
-positions) for each of its terms, and the segments lie as rows of a table. A query is a window of consecutive
+positions) for each of its terms, all of them, and the segments lie as rows of a stored table. A query is a window of consecutive
 benchmark words: in each segment the postings of its rarest term, moved back by the term's offset, are the
 candidates, and they are intersected with the offset-adjusted lists of the other terms, rarest first. With
 ``slop`` 0 that gives exact phrases; a greater slop lets each term stand so many words off its place.
 
-The benchmark is sent to the executors in blocks of at most BENCH_BYTES of text, each searched against the
-whole index, so nothing that is broadcast grows without bound.
+The benchmark is sent to the executors in blocks of about BENCH_BYTES of text, one after another, each searched
+against the whole stored index, so neither the driver nor a broadcast holds more than a block of it.
 
 Cases: null and empty texts, of documents or items, have no words: they match nothing. An item of fewer words
 than a window is one window. Repeated documents each get a row; items that repeat an id count once. An item
@@ -39,25 +39,14 @@ class Segment:
         self.terms, self.starts, self.positions, self.firsts = terms, starts, positions, firsts
 
     @classmethod
-    def of(cls, block: tb.Block, vocabulary: np.ndarray | None = None) -> Segment:
-        """From a lower-cased block; with a sorted vocabulary only its terms are posted."""
+    def of(cls, block: tb.Block) -> Segment:
+        """From a lower-cased block."""
         starts, ends, firsts = block.words(tb.WORDLIKE)
         hashes = block.hashes(starts, ends)
-        if vocabulary is None:
-            terms, which = np.unique(hashes, return_inverse=True)
-            where = np.arange(len(hashes))
-        else:
-            which = np.searchsorted(vocabulary, hashes)
-            which[which == len(vocabulary)] = 0
-            where = np.flatnonzero(vocabulary[which] == hashes) if len(vocabulary) else np.zeros(0, np.int64)
-            which, terms = which[where], vocabulary
-        which = which.astype(np.uint16 if len(terms) < 65_536 else np.int64)
-        order = np.argsort(which, kind="stable")
-        counts = np.bincount(which, minlength=len(terms))
-        if vocabulary is not None:
-            there = counts > 0
-            terms, counts = terms[there], counts[there]
-        return cls(terms, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), where[order].astype(np.int32), firsts.astype(np.int64))
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        return cls(ordered[new], np.append(new, len(ordered)).astype(np.int64), order.astype(np.int32), firsts.astype(np.int64))
 
     def row(self) -> list[bytes]:
         return [self.terms.astype("<u8").tobytes(), self.starts.astype("<i4").tobytes(), self.positions.astype("<i4").tobytes(), self.firsts.astype("<i4").tobytes()]
@@ -165,18 +154,17 @@ def bench_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
         yield Windows([r[0] for r in rows], [r[1] for r in rows], length)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The stored index: a row for each segment, with the ids of its texts. ``vocabulary``: post only these terms (all texts keep their word counts)."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index: a row for each segment, with the ids of its texts."""
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0)
             for block in tb.blocks(batch.column(1), lower=True):
-                row = Segment.of(block, shared.value).row()
+                row = Segment.of(block).row()
                 own = ids.slice(block.lo, block.hi - block.lo)
                 listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
                 yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), listed, *(pa.array([x], pa.binary()) for x in row)], ["segment", "ids", "terms", "starts", "positions", "firsts"])
@@ -214,32 +202,22 @@ def covered_words(spans: Column) -> Column:
 
 def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = WINDOW, slop: int = 0) -> DataFrame:
     """A row for each document: id, n_words, n_hit, items (sorted ids, as strings) and spans of hit words."""
-    parts = list(bench_blocks(bench, item_col, item_text_col, length)) or [Windows([], [], length)]
-    vocabulary = parts[0].vocabulary
-    for p in parts[1:]:
-        vocabulary = np.union1d(vocabulary, p.vocabulary)
-    index = build_index(docs, id_col, text_col, vocabulary if len(vocabulary) <= 4_000_000 else None)
-    found = None
-    for p in parts:
-        one = search_index(index, p, slop)
-        found = one if found is None else found.unionByName(one)
-    if len(parts) > 1:
-        found = found.groupBy("segment", "number").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-        found = found.withColumn("n_hit", covered_words(F.col("spans")))
+    index = build_index(docs, id_col, text_col)
+    windows = bench_blocks(bench, item_col, item_text_col, length)
+    found = search_index(index, next(windows, None) or Windows([], [], length), slop)
+    for more in windows:
+        # Of all blocks but the last, only matches are carried on, from a written table.
+        matched = scratch.keep(found.where("n_hit > 0").select("segment", "number", "items", "spans"), "matches")
+        both = search_index(index, more, slop).join(matched.withColumnsRenamed({"items": "more_items", "spans": "more_spans"}), ["segment", "number"], "left")
+        none = lambda c: F.coalesce(F.col(f"more_{c}"), F.array().cast(index_kinds[c]))
+        index_kinds = {f.name: f.dataType for f in found.schema}
+        found = both.withColumn("items", F.array_sort(F.array_union("items", none("items")))).withColumn("spans", F.concat("spans", none("spans"))).withColumn("n_hit", covered_words(F.col("spans"))).drop("more_items", "more_spans")
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")
 
 
 def remove(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = WINDOW, slop: int = 0) -> DataFrame:
-    """The rows without a match, with all their columns. Segments are indexed and searched in flight, so no text is moved."""
-    at, out = docs.columns.index(text_col), docs
-    for windows in bench_blocks(bench, item_col, item_text_col, length):
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [matches(Segment.of(block, shared.value.vocabulary), shared.value, slop)[0] == 0 for block in tb.blocks(batch.column(at), lower=True)]
-                if clean:
-                    yield batch.filter(pa.array(np.concatenate(clean)))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    """The rows without a match, with all their columns: rows find their match in the index by their text's digest."""
+    digest = F.unhex(F.sha2(docs[text_col], 256))
+    found = find_contamination(docs.select(digest.alias("id"), docs[text_col].alias("text")), bench, "id", "text", item_col, item_text_col, length, slop)
+    bad = scratch.keep(found.where("n_hit > 0").select(F.col("id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, digest == F.col("__bad"), "left_anti")
