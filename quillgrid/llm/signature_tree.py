@@ -15,8 +15,6 @@ BITS = 4096
 FAN = 8
 #: Node pairs that are tested at once.
 WAVE = 4096
-#: Blocks of up to this number of sets are compared pair by pair.
-SMALL = 12
 
 
 class Groups:
@@ -96,11 +94,6 @@ def links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None)
             groups.join(a, b)
             found.append((a, b))
 
-    if n <= SMALL:
-        for a in range(n):
-            for b in range(a + 1, n):
-                test(a, b)
-        return found
     order = neighbours(sets)
     for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
         test(a, b)
