@@ -3,9 +3,11 @@
 Two bigram models, of toxic and of ordinary documents, are counted over all training rows. An expression
 counts once for each distinct text, so neither repeats inside a text nor copies of it pass for evidence. Both
 models back off to unigrams of their class, and these to one shared distribution by continuation counts. A
-count's discount is at least DISCOUNT, and at least what the shared counts let expect in that class plus
-DOUBT standard deviations: only what goes beyond is a class's own, the rest is passed to the shared back-off.
-For single words it must go beyond both in texts and in distinct contexts, which near copies don't multiply.
+count's discount is at least DISCOUNT, and at least LIFT times what the shared counts let expect in that class
+plus DOUBT standard deviations: only what goes beyond is a class's own, the rest is passed to the shared back-off.
+It is larger than a Kneser-Ney discount from counts of counts, which leaves each class the mass of all it happens to
+hold; the README has the figures. For single words it must go beyond both in texts and in distinct contexts, which
+near copies don't multiply.
 The back-off weight of a context is also shared (the class with more mass of its own sets it), so a rare
 expression gets the same probability from both. A document's log-likelihood ratio, normalised by
 its length, goes through a logistic curve fitted on a part of the training rows that the counts leave out.
@@ -16,7 +18,8 @@ back-off, which is the same for both, so only the others (the evidence) are join
 most other expressions apart before the join.
 
 Rows are split by crc32(id as text) mod 5: remainder 0 is held out and never trained on, 1 to 3 are counted,
-4 calibrates (at most CALIBRATION_ROWS of it, the first by a hash of the id). Only the text is scored.
+4 calibrates (at most CALIBRATION_ROWS of it, the first by a hash of the id). Only the text is scored. A text in
+several of these rows is one training row, of the smallest of its folds.
 
 Cases: null and empty texts, and texts without a word, have ratio 0 and get the curve's score at 0. A row with
 a null id counts as id "". A null label is no label; a document labelled twice is toxic if any label says so.
@@ -48,7 +51,7 @@ UNIT = 1 << 32
 CALIBRATION_ROWS = 50_000
 #: Labels up to this number are broadcast to the documents; beyond it both are shuffled.
 BROADCAST_LABELS = 2_000_000
-DISCOUNT, DOUBT, PAIR_DOUBT = 0.75, 3.0, 12.0
+DISCOUNT, DOUBT, LIFT = 0.75, 2.0, 2.0
 #: Expressions that a task counts at once.
 GATHER = 2_000_000
 
@@ -97,9 +100,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w / scale
 
 
-def discounted(count: Column, expected: Column, doubt: float) -> Column:
+def discounted(count: Column, expected: Column) -> Column:
     """What is left of a count; ``expected``: what the shared counts let expect."""
-    return F.greatest(count - F.greatest(F.lit(DISCOUNT), expected + doubt * F.sqrt(expected + 1)), F.lit(0.0))
+    return F.greatest(count - F.greatest(F.lit(DISCOUNT), LIFT * expected + DOUBT * F.sqrt(expected + 1)), F.lit(0.0))
 
 
 def count_expressions(train: DataFrame, words: bool) -> DataFrame:
@@ -151,8 +154,8 @@ def word_model(words: DataFrame, pairs: DataFrame) -> DataFrame:
     df = words.join(after, "second", "left").fillna(0)
     for c, x in zip(CLASSES, sums, strict=True):
         share = F.lit(x / sum(sums))
-        in_texts = discounted(F.col(c), share * (F.col("toxic") + F.col("ordinary")), DOUBT)
-        in_contexts = discounted(F.col(f"after_{c}"), share * (F.col("after_toxic") + F.col("after_ordinary")), DOUBT)
+        in_texts = discounted(F.col(c), share * (F.col("toxic") + F.col("ordinary")))
+        in_contexts = discounted(F.col(f"after_{c}"), share * (F.col("after_toxic") + F.col("after_ordinary")))
         df = df.withColumn(f"own_{c}", F.least(in_texts, in_contexts) / F.lit(x))
     df = scratch.keep(df.select("second", "types", *[f"own_{c}" for c in CLASSES]), "word-model")
     rest = 1 - max(x or 0 for x in df.agg(*[F.sum(f"own_{c}") for c in CLASSES]).first())
@@ -167,12 +170,12 @@ def log_ratio(toxic: Column, ordinary: Column) -> Column:
 def pair_model(pairs: DataFrame, single: DataFrame) -> DataFrame:
     """first, second, delta: what a pair adds to its second word's ratio; pairs without mass of their own add nothing."""
     seen = pairs.groupBy("first").agg(*[F.sum(c).alias(f"seen_{c}") for c in CLASSES])
-    # No count up to PAIR_DOUBT is more than its discount.
-    df = pairs.where((F.col("toxic") + F.col("ordinary") >= LEAST_PAIRS) & (F.greatest(*CLASSES) > PAIR_DOUBT)).join(seen, "first")
+    # No count up to DOUBT is more than its discount.
+    df = pairs.where((F.col("toxic") + F.col("ordinary") >= LEAST_PAIRS) & (F.greatest(*CLASSES) > DOUBT)).join(seen, "first")
     at_least = {c: F.greatest(F.col(f"seen_{c}"), F.lit(0.5)) for c in CLASSES}
     for c in CLASSES:
         expected = at_least[c] / (at_least["toxic"] + at_least["ordinary"]) * (F.col("toxic") + F.col("ordinary"))
-        df = df.withColumn(f"left_{c}", discounted(F.col(c), expected, PAIR_DOUBT) / F.greatest(F.col(f"seen_{c}"), F.lit(1)))
+        df = df.withColumn(f"left_{c}", discounted(F.col(c), expected) / F.greatest(F.col(f"seen_{c}"), F.lit(1)))
     df = scratch.keep(df.where(F.col("left_toxic") + F.col("left_ordinary") > 0).select("first", "second", *[f"left_{c}" for c in CLASSES]), "pair-model")
     weight = df.groupBy("first").agg(F.greatest(1 - F.greatest(*[F.sum(f"left_{c}") for c in CLASSES]), F.lit(1e-6)).alias("weight"))
     df = df.join(weight, "first").join(single, "second")
@@ -242,7 +245,9 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         marks = F.broadcast(marks)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), fold(docs[id_col]).alias("fold")).where(F.col("fold") != HELD_OUT)
     known = rows.join(marks, F.col("id") == F.col("label_id"))
-    known = scratch.keep(known.select("id", "fold", "toxic", "text").withColumn("digest", F.xxhash64("text")).dropDuplicates(["fold", "toxic", "digest"]), "labelled")
+    # Copies count once, in the smallest of their folds; a text is toxic if any copy is.
+    texts = known.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("id"), F.min("fold").alias("fold"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    known = scratch.keep(texts.drop("digest"), "labelled")
     model = fit_counts(known.where(F.col("fold") != CALIBRATE))
     scored = totals(known.where(F.col("fold") == CALIBRATE), model, ["id", "toxic"])
     got = scored.orderBy(F.xxhash64("id")).limit(calibration_rows).select("toxic", "total", "n_words").toArrow()
