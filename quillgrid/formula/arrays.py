@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import VALUE
+from ..cells import NA, VALUE
 from ..operators import reshape
 from . import parser as p
 from .compiler import Compiler, Scalar, Sheets, V
@@ -60,7 +60,10 @@ class Arrays:
             return -self.number(node.arg)
         if isinstance(node, (p.Num, p.Bool)):
             return int(node.value)
-        raise p.FormulaError(VALUE)
+        row = Scalar(self.sheets, self.home).result(node).first()
+        if row["error"] is not None or isinstance(row["value"], str):
+            raise p.FormulaError(row["error"] or VALUE)
+        return int(row["value"] or 0)
 
     def condition(self, node) -> DataFrame:
         test = _RowTest(self.sheets, self.home)
@@ -73,10 +76,25 @@ class Arrays:
         return out.select(reshape.R, c.cast("int").alias("include"))
 
     def a_filter(self, array, include, empty=None) -> DataFrame:
-        return reshape.where(self.array(array), self.condition(include))
+        df = self.array(array)
+        kept = reshape.where(df, self.condition(include))
+        if not kept.isEmpty():
+            return kept
+        if empty is None or isinstance(empty, p.Missing):
+            return self.failed(NA)
+        return self.array(empty)
+
+    def failed(self, error: str) -> DataFrame:
+        """One cell that is an error."""
+        return self.spark.range(1).select(F.lit(0).cast("long").alias(reshape.R), F.lit(None).cast("double").alias("value"), F.lit(error).alias("error"))
 
     def a_sort(self, array, index=None, order=None, by_column=None) -> DataFrame:
-        return reshape.sort(self.array(array), self.number(index, 1), self.number(order, 1) != -1)
+        df, at, up = self.array(array), self.number(index, 1), self.number(order, 1)
+        if up not in (1, -1):
+            return self.failed(VALUE)
+        if self.number(by_column, 0):
+            return reshape.sort_columns(df, at, up == 1) if 1 <= at <= df.count() else self.failed(VALUE)
+        return reshape.sort(df, at, up == 1) if 1 <= at <= len(reshape.columns_of(df)) else self.failed(VALUE)
 
     def a_sortby(self, array, *by) -> DataFrame:
         keys = []
@@ -85,7 +103,9 @@ class Arrays:
         return reshape.sortby(self.array(array), keys)
 
     def a_unique(self, array, by_column=None, once=None) -> DataFrame:
-        return reshape.unique(self.array(array), bool(self.number(once, 0)))
+        df, single = self.array(array), bool(self.number(once, 0))
+        out = reshape.unique_columns(df, single) if self.number(by_column, 0) else reshape.unique(df, single)
+        return self.failed(NA) if single and (len(reshape.columns_of(out)) == 0 or out.isEmpty()) else out
 
     def a_take(self, array, rows=None, columns=None) -> DataFrame:
         return reshape.take(self.array(array), self.number(rows), self.number(columns))
@@ -105,11 +125,15 @@ class Arrays:
     def a_torow(self, array, ignore=None, by_column=None) -> DataFrame:
         return reshape.transpose(self.a_tocol(array, ignore, by_column))
 
+    def pad(self, node):
+        """The constant that fills a shape up, or None for #N/A."""
+        return None if node is None or isinstance(node, p.Missing) else Scalar(self.sheets, self.home).literal(node)
+
     def a_wraprows(self, vector, n, pad=None) -> DataFrame:
-        return reshape.wraprows(self.array(vector), self.number(n))
+        return reshape.padded(reshape.wraprows(self.array(vector), self.number(n)), self.pad(pad))
 
     def a_wrapcols(self, vector, n, pad=None) -> DataFrame:
-        return reshape.wrapcols(self.array(vector), self.number(n))
+        return reshape.padded(reshape.wrapcols(self.array(vector), self.number(n)), self.pad(pad))
 
     def a_chooserows(self, array, *at) -> DataFrame:
         return reshape.chooserows(self.array(array), *[self.number(x) for x in at])
@@ -124,4 +148,4 @@ class Arrays:
         return reshape.randarray(self.spark, self.number(rows, 1), self.number(columns, 1), self.number(low, 0), self.number(high, 1), bool(self.number(whole, 0)), self.number(seed, 0))
 
     def a_arraytotext(self, array, verbose=None) -> DataFrame:
-        return reshape.arraytotext(self.array(array)).select(F.lit(0).cast("long").alias(reshape.R), "text")
+        return reshape.arraytotext(self.array(array), bool(self.number(verbose, 0))).select(F.lit(0).cast("long").alias(reshape.R), "text")

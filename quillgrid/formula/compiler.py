@@ -85,6 +85,9 @@ class Sheets:
 
 
 MOST_INDIRECT = 16
+MOST_HOLIDAYS = 3_000_000
+#: Criteria other than plain equality that a column of criteria may hold, each distinct one once.
+MOST_CRITERIA = 1_000
 AGGREGATES = {"SUM", "COUNT", "AVERAGE", "MIN", "MAX", "MEDIAN", "STDEV.P", "STDEV.S", "VAR.P", "VAR.S", "PERCENTILE.INC", "PERCENTILE", "QUARTILE.INC", "QUARTILE", "LARGE", "SMALL", "MODE", "MODE.SNGL", "RANK", "RANK.EQ", "STDEV", "VAR", "STDEVP", "VARP"}
 CRITERIA = {"SUMIF", "COUNTIF", "AVERAGEIF", "SUMIFS", "COUNTIFS", "AVERAGEIFS"}
 LOOKUPS = {"VLOOKUP", "HLOOKUP", "MATCH", "INDEX", "XLOOKUP"}
@@ -99,6 +102,13 @@ class Compiler:
 
     # -- trees
 
+    def settled(self, node) -> V:
+        """The value of a whole formula; a bad reference, or the error of an argument worked out beforehand, is its value."""
+        try:
+            return clean(self.value(node))
+        except KeyError as e:
+            return V(F.lit(None).cast("double"), "number", F.lit(e.args[0] if e.args and e.args[0] in cells.ERRORS else REF))
+
     def value(self, node) -> V:
         if isinstance(node, p.Num):
             return V(F.lit(node.value), "number")
@@ -309,18 +319,25 @@ class Compiler:
 
     def f_search(self, needle, s, start=None) -> V:
         v = self.value(s)
-        at = text.search(str(self.literal(needle)), v.text(), int(self.literal(start)) if start is not None else 1)
-        return V(at.cast("double"), "number", first_error(v.err, F.when(at.isNull(), VALUE)))
+        first = self.value(start).number() if start is not None else V(F.lit(1.0), "number")
+        n = self.value(needle)
+        at = text.search(needle.value if isinstance(needle, p.Str) else n.text(), v.text(), first.filled())
+        return V(at.cast("double"), "number", first_error(n.err, v.err, first.err, F.when(at.isNull(), VALUE)))
 
     def f_textjoin(self, delimiter, skip, *args) -> V:
-        vs = [self.value(a) for a in args]
-        return V(text.textjoin(str(self.literal(delimiter)), [v.text() for v in vs], bool(self.literal(skip))), "text", first_error(*[v.err for v in vs]))
+        vs = self.texts(args)
+        out = text.textjoin(str(self.literal(delimiter)), [v.col for v in vs], bool(self.literal(skip))) if vs else F.lit("")
+        return V(out, "text", first_error(*[v.err for v in vs], F.when(F.char_length(out) > text.REPT_LIMIT, VALUE)))
 
     def f_concat(self, *args) -> V:
-        vs = [self.value(a) for a in args]
-        return V(F.concat(*[v.text() for v in vs]), "text", first_error(*[v.err for v in vs]))
+        vs = self.texts(args)
+        out = F.concat(*[v.col for v in vs]) if vs else F.lit("")
+        return V(out, "text", first_error(*[v.err for v in vs], F.when(F.char_length(out) > text.REPT_LIMIT, VALUE)))
 
-    f_concatenate = f_concat
+    def f_concatenate(self, *args) -> V:
+        if any(isinstance(a, p.Range) and a.first != a.last for a in args):
+            return V(F.lit(None).cast("string"), "text", F.lit(VALUE))
+        return self.f_concat(*args)
 
     def f_datedif(self, a, b, unit) -> V:
         x, y = self.value(a).number(), self.value(b).number()
@@ -336,9 +353,24 @@ class Compiler:
             return V(F.lit(None).cast("double"), "number", F.lit(NUM))
         return V(dates.weekday(cells.from_serial(v.filled()), k).cast("double"), "number", v.err)
 
-    def f_networkdays(self, a, b, *_) -> V:
+    def f_networkdays(self, a, b, holidays=None) -> V:
         x, y = self.value(a).number(), self.value(b).number()
-        return V(dates.networkdays(cells.from_serial(x.filled()), cells.from_serial(y.filled())).cast("double"), "number", first_error(x.err, y.err))
+        days = self.holidays(holidays) if holidays is not None else []
+        return V(dates.networkdays(cells.from_serial(x.filled()), cells.from_serial(y.filled()), days).cast("double"), "number", first_error(x.err, y.err))
+
+    def holidays(self, node) -> list[str]:
+        """The distinct days of a range or value; every day from 1900 to 9999 fits into fewer than MOST_HOLIDAYS."""
+        if isinstance(node, p.Ref):
+            node = p.Range(node, node, node.sheet)
+        if not isinstance(node, p.Range):
+            row = Scalar(self.sheets, self.home_of_cells).result(node).select(cells.from_serial(F.col("value").cast("double")).cast("string")).first()
+            return [row[0]] if row[0] else []
+        if not self.fixed(node):
+            raise p.FormulaError("holidays must not depend on the row")
+        df, columns = self.slice(node)
+        kind = cells.kinds(df)
+        each = df.select(F.explode(F.array(*[cells.numbers(F.col(c), kind[c]) for c in columns])).alias("x")).where("x is not null")
+        return [r[0] for r in each.select(cells.from_serial(F.col("x")).cast("string").alias("d")).distinct().limit(MOST_HOLIDAYS).collect()]
 
     def f_indirect(self, where, style=None) -> V:
         """The cell that a text names, worked out when the plan is made; at most MOST_INDIRECT deep."""
@@ -366,12 +398,52 @@ class Compiler:
         return V(cells.serial(F.current_timestamp().cast("timestamp_ntz")), "number")
 
     def literal(self, node):
-        """The Python value of an argument that must be known when the plan is made."""
+        """The Python value of an argument that must be known when the plan is made: a constant, or a formula over
+        fixed cells, which costs a small job of its own. Its error is raised as a KeyError, as a bad reference is."""
         if isinstance(node, (p.Num, p.Str, p.Bool)):
             return node.value
-        if isinstance(node, p.Unary) and node.op == "-":
-            return -self.literal(node.arg)
-        raise p.FormulaError("this argument must be a constant")
+        if isinstance(node, p.Unary) and node.op == "-" and isinstance(node.arg, p.Num):
+            return -node.arg.value
+        if not all(self.fixed(r) for r in p.references(node)):
+            raise p.FormulaError("this argument must not depend on the row")
+        frames = {k: f for k, f in self.sheets.frames.items() if k != "\0probe"}
+        row = Scalar(Sheets(frames, self.sheets.row), self.home_of_cells).result(node).first()
+        if row["error"] is not None:
+            raise KeyError(row["error"])
+        return 0.0 if row["value"] is None else row["value"]
+
+    def fixed(self, ref) -> bool:
+        """Whether a reference means the same cells for each row."""
+        return True
+
+    def texts(self, args: tuple) -> list[V]:
+        """The texts of arguments; a range is walked column by column."""
+        out = []
+        for a in args:
+            if isinstance(a, p.Range) and a.first != a.last:
+                out += self.walked(a)
+            else:
+                v = self.value(a)
+                out.append(V(v.text(), "text", v.err))
+        return out
+
+    def walked(self, rng: p.Range) -> list[V]:
+        """One value, whose column is an array of texts, or one for each cell."""
+        df, columns = self.slice(rng)
+        kind = cells.kinds(df)
+        entry = F.array(*[F.struct(F.lit(j).alias("c"), F.col(self.sheets.row).alias("r"), cells.shown(F.col(c), kind[c]).alias("s"), cells.errors(F.col(c), kind[c]).alias("e")) for j, c in enumerate(columns)])
+        flat = df.select(F.explode(entry).alias("v"))
+        # A text of more characters than a cell may hold is an error, so no more cells with text than that are gathered.
+        size = flat.agg(F.sum(F.char_length("v.s")).alias("n"), F.min_by("v.e", F.when(F.col("v.e").isNotNull(), F.struct("v.c", "v.r"))).alias("e")).first()
+        if size["e"] is not None or (size["n"] or 0) > text.REPT_LIMIT:
+            raise KeyError(size["e"] or VALUE)
+        low, high = self.span(rng)[2:]
+        if low is None:
+            low, high = (x or 0 for x in df.agg(F.min(self.sheets.row), F.max(self.sheets.row)).first())
+        got = {(r["c"], r["r"]): r["s"] for r in flat.where(F.col("v.s") != "").select("v.*").collect()}
+        if len(columns) * (high - low + 1) > text.REPT_LIMIT:  # so many cells can't all count: the empty ones are left out
+            return [V(F.lit(got[k]), "text") for k in sorted(got)]
+        return [V(F.lit(got.get((c, r), "")), "text") for c in range(len(columns)) for r in range(low, high + 1)]
 
     def cell(self, ref: p.Ref) -> V:
         raise NotImplementedError
@@ -477,10 +549,7 @@ class Scalar(Compiler):
         return F.col(f"_a{self.n}")
 
     def result(self, node) -> DataFrame:
-        try:
-            v = clean(self.value(node))
-        except KeyError:
-            v = V(F.lit(None).cast("double"), "number", F.lit(REF))
+        v = self.settled(node)
         spark = next(iter(self.sheets.frames.values())).sparkSession
         frames = [self.sheets.frames[s].agg(*columns) for s, columns in self.pending.items()] + self.frames
         one = reduce(lambda a, b: a.crossJoin(b), frames) if frames else spark.range(1)  # each has one row
@@ -530,10 +599,10 @@ class Scalar(Compiler):
             out = self.add_frame(counted.select(F.when(F.col("there") == 1, F.col("better") + 1)))
             return V(out.cast("double"), "number", first_error(v.err, F.when(out.isNull(), NA)))
         single = self.one_column(args)
-        if single and name not in ("LARGE", "SMALL", "MODE.SNGL"):
+        if single and name not in ("LARGE", "SMALL", "MODE.SNGL", "MEDIAN", "PERCENTILE.INC", "QUARTILE.INC"):
             sheet, x, e = single
             got, err = self.folded(name, x, parameter)
-            bad = self.add(sheet, F.first(e, ignorenulls=True)) if e is not None else None
+            bad = self.add(sheet, F.min_by(e, F.when(e.isNotNull(), F.col(self.sheets.row)))) if e is not None else None
             return V(self.add(sheet, got).cast("double"), "number", first_error(bad, self.add(sheet, err) if err is not None else None))
         df, _ = self.numbers(args)
         bad = self.add_frame(df.agg(F.min_by("e", F.when(F.col("e").isNotNull(), F.col("place"))).alias("e")))
@@ -544,6 +613,12 @@ class Scalar(Compiler):
         if name == "MODE.SNGL":
             out = self.add_frame(self.mode_of(df))
             return V(out, "number", first_error(bad, F.when(out.isNull(), NA)))
+        if name in ("MEDIAN", "PERCENTILE.INC", "QUARTILE.INC"):
+            k = 0.5 if name == "MEDIAN" else parameter if name == "PERCENTILE.INC" else int(parameter) / 4
+            if not 0 <= k <= 1:
+                return V(F.lit(None).cast("double"), "number", first_error(bad, F.lit(NUM)))
+            out = self.add_frame(stats.quantiles(df, "x", {"q": k}).select("q"))
+            return V(out, "number", first_error(bad, F.when(out.isNull(), NUM)))
         got, err = self.folded(name, F.col("x"), parameter)
         return V(self.add_frame(df.agg(got.alias("v"))).cast("double"), "number", first_error(bad, self.add_frame(df.agg(err.alias("v"))) if err is not None else None))
 
@@ -575,12 +650,6 @@ class Scalar(Compiler):
             return stats.average(x)
         if name in ("MIN", "MAX"):
             return (stats.low if name == "MIN" else stats.high)(x), None
-        if name == "MEDIAN":
-            return stats.median(x)
-        if name == "PERCENTILE.INC":
-            return stats.percentile(x, parameter)
-        if name == "QUARTILE.INC":
-            return stats.quartile(x, parameter) if 0 <= parameter < 5 else stats.percentile(x, -1)
         return stats.spread(name, x)
 
     def conditional(self, name: str, args: tuple) -> V:
@@ -608,10 +677,12 @@ class Scalar(Compiler):
             return V(self.add(sheets[0], F.count(F.when(test, 1))).cast("double"), "number")
         _, own, _, _ = self.span(target)
         x = F.when(test, cells.numbers(F.col(own[0]), kind[own[0]]))
+        e = F.when(test, cells.errors(F.col(own[0]), kind[own[0]]))
+        bad = self.add(sheets[0], F.min_by(e, F.when(e.isNotNull(), F.col(self.sheets.row)))) if cells.is_mixed(kind[own[0]]) else None
         if base == "SUMIF":
-            return V(self.add(sheets[0], F.coalesce(F.sum(x), F.lit(0.0))), "number")
+            return V(self.add(sheets[0], F.coalesce(F.sum(x), F.lit(0.0))), "number", bad)
         out = self.add(sheets[0], F.avg(x))
-        return V(out, "number", F.when(out.isNull(), DIV0))
+        return V(out, "number", first_error(bad, F.when(out.isNull(), DIV0)))
 
     def lookup(self, name: str, args: tuple) -> V:
         """Over a one-row frame of the probe, by the joins that fill down uses."""
@@ -637,7 +708,7 @@ class Filled(Compiler):
         return f"_f{self.n}"
 
     def result(self, node, out: str) -> DataFrame:
-        v = clean(self.value(node))
+        v = self.settled(node)
         kept = self.sheets.frames[self.home].columns
         err = F.lit(None).cast("string") if v.err is None else v.err
         return self.df.select(*kept, v.col.alias(out), err.alias(f"{out}_error"))
@@ -699,6 +770,14 @@ class Filled(Compiler):
             return V(out, "number", err)
         raise p.FormulaError(f"{name} can't be filled down over these ranges")
 
+    def walked(self, rng: p.Range) -> list[V]:
+        if self.fixed(rng):
+            return super().walked(rng)
+        if rng.first.row != rng.last.row:
+            raise p.FormulaError("a range of several rows that moves with the row has no text form")
+        vs = [self.cell(p.Ref(c, rng.first.row, rng.first.pin_col, rng.first.pin_row, rng.sheet)) for c in range(rng.first.col, rng.last.col + 1)]
+        return [V(v.text(), "text", v.err) for v in vs]
+
     def fixed(self, r) -> bool:
         if isinstance(r, p.Ref):
             return r.pin_row or bool(r.sheet and r.sheet != self.home)
@@ -719,8 +798,7 @@ class Filled(Compiler):
             total, count = self.fresh(), self.fresh()
             zeros, ones = self.fresh(), self.fresh()
             self.df = self.df.withColumn(zeros, F.when(inside, F.coalesce(F.col(x), F.lit(0.0))).otherwise(0.0)).withColumn(ones, F.when(inside & F.col(x).isNotNull(), 1).otherwise(0))
-            self.df = positional.running_total(self.df, [F.col(self.sheets.row)], zeros, total)
-            self.df = positional.running_total(self.df, [F.col(self.sheets.row)], ones, count)
+            self.df = positional.running_totals(self.df, self.sheets.row, {total: zeros, count: ones})
             if name == "AVERAGE":
                 return V(F.try_divide(F.col(total), F.col(count)), "number", F.when(F.col(count) == 0, DIV0))
             return V(F.col(total if name == "SUM" else count).cast("double"), "number")
@@ -743,38 +821,50 @@ class Filled(Compiler):
         else:
             target, pairs = (args[2] if len(args) > 2 else args[0]) if name != "COUNTIF" else None, args[:2]
         ranges, wanted = pairs[::2], pairs[1::2]
-        if all(isinstance(w, (p.Num, p.Str, p.Bool)) for w in wanted):
+        if all(self.fixed(r) for w in wanted for r in p.references(w)):
             return self.constant(p.Call(name, args))
         sheets, _, a, b = self.span(ranges[0])
         source = self.sheets.frames[sheets[0]]
         kind = cells.kinds(source)
         if a is not None:
             source = source.where(F.col(self.sheets.row).between(a, b))
-        keys, probes = [], []
+        columns, probes, errors = [], [], []
         for rng, want in zip(ranges, wanted, strict=True):
             (_, (column,), _, _) = self.span(rng)
-            if isinstance(want, (p.Num, p.Str, p.Bool)):
-                source = source.where(criteria.matches(F.col(column), kind[column], want.value))
+            if all(self.fixed(r) for r in p.references(want)):
+                source = source.where(criteria.matches(F.col(column), kind[column], self.literal(want)))
                 continue
             v = self.value(want)
-            if v.kind == "text":
-                keys.append(F.lower(F.col(column)))
-                probes.append(F.lower(v.col))
-            else:
-                keys.append(F.col(column).cast("double"))
-                probes.append(v.number().col)
-        x = F.lit(1.0) if target is None else cells.numbers(F.col(self.span(target)[1][0]), kind[self.span(target)[1][0]])
-        names = [self.fresh() for _ in keys]
-        total, count = self.fresh(), self.fresh()
-        grouped = source.groupBy(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.sum(x).alias(total), F.count(x).alias(count))
-        test = reduce(lambda s, t: s & t, [q == F.col(n) for q, n in zip(probes, names, strict=True)])
-        self.df = self.df.join(grouped, test, "left")
-        n = F.coalesce(F.col(count), F.lit(0))
+            columns.append(column)
+            errors.append(v.err)
+            probes.append(criteria.wanted(v.text() if v.kind == "text" else v.filled() if v.kind == "number" else v.number().filled(), v.kind))
+        own = None if target is None else self.span(target)[1][0]
+        x = F.lit(1.0) if own is None else cells.numbers(F.col(own), kind[own])
+        e = F.lit(None).cast("string") if own is None else cells.errors(F.col(own), kind[own])
+        folded = [F.sum(x).alias("total"), F.count(x).alias("n"), F.min_by(e, F.when(e.isNotNull(), F.col(self.sheets.row))).alias("bad")]
+        names = [self.fresh() for _ in columns]
+        got, there = self.fresh(), self.fresh()
+        self.df = self.df.withColumns(dict(zip(names, probes, strict=True)))
+        # Plain equality, in any number, meets the grouped source in a join.
+        keys = [criteria.equal_key(F.col(c), kind[c]).alias(n) for c, n in zip(columns, names, strict=True)]
+        plain = source.groupBy(*keys).agg(*folded).select(*names, F.struct("total", "n", "bad").alias(got))
+        # Others are parsed, each distinct combination once, and all are summed in one pass over the source.
+        simple = reduce(lambda s, t: s & t, [criteria.is_equality(F.col(n)) for n in names])
+        others = self.df.where(~simple).select(*names).distinct().limit(MOST_CRITERIA + 1).collect()
+        if len(others) > MOST_CRITERIA:
+            raise p.FormulaError(f"more than {MOST_CRITERIA} distinct criteria with operators or wildcards")
+        if others:
+            tests = [reduce(lambda s, t: s & t, [criteria.matches(F.col(c), kind[c], criteria.spelled(w)) for c, w in zip(columns, row, strict=True)]) for row in others]
+            sums = [F.struct(*[F.lit(w).alias(n) for n, w in zip(names, row, strict=True)], F.struct(F.sum(F.when(t, x)).alias("total"), F.count(F.when(t, x)).alias("n"), F.min_by(F.when(t, e), F.when(t & e.isNotNull(), F.col(self.sheets.row))).alias("bad")).alias(got)) for row, t in zip(others, tests, strict=True)]
+            plain = plain.where(reduce(lambda s, t: s & t, [F.col(n).isNotNull() for n in names])).unionByName(source.agg(F.array(*sums).alias("v")).select(F.explode("v").alias("v")).select("v.*"))
+        self.df = self.df.join(plain.withColumn(there, F.lit(1)), names, "left")
+        n, total = F.coalesce(F.col(got)["n"], F.lit(0)), F.col(got)["total"]
+        err = first_error(*errors, None if name.startswith("COUNT") else F.col(got)["bad"])
         if name.startswith("COUNT"):
-            return V(n.cast("double"), "number")
+            return V(n.cast("double"), "number", err)
         if name.startswith("SUM"):
-            return V(F.coalesce(F.col(total), F.lit(0.0)), "number")
-        return V(F.try_divide(F.col(total), n), "number", F.when(n == 0, DIV0))
+            return V(F.coalesce(total, F.lit(0.0)), "number", err)
+        return V(F.try_divide(total, n), "number", first_error(err, F.when(n == 0, DIV0)))
 
     def lookup(self, name: str, args: tuple) -> V:
         if name == "INDEX":
@@ -852,13 +942,20 @@ class Filled(Compiler):
         if at < 0 or at > len(columns):
             return V(F.lit(None).cast("double"), "number", F.lit(VALUE if at < 0 else REF))
         v = self.value(row).number()
-        first = self.span(rng)[2] or 0
+        first, last = self.span(rng)[2] or 0, self.span(rng)[3]
+        single = last is not None and first == last
+        if column is None and single and len(columns) > 1:  # over one row, the number counts columns
+            return self.indexed(rng, p.Num(1.0), row)
+        whole = (at == 0 or column is None) and len(columns) > 1
         key, got, there = self.fresh(), self.fresh(), self.fresh()
         name = columns[max(at, 1) - 1]
         one = table.select((F.col(self.sheets.row) - first + 1).cast("double").alias(key), F.col(name).alias(got), F.lit(True).alias(there))
-        self.df = self.df.join(one, v.filled() == F.col(key), "left")
+        at_row = F.floor(v.filled())
+        self.df = self.df.join(one, F.when(at_row == 0, 1.0).otherwise(at_row) == F.col(key), "left")
         out = self.typed(F.col(got), cells.kinds(table)[name])
-        bad = F.when(v.filled() < 0, VALUE).when(F.col(there).isNull(), REF)
+        # A whole axis is a value only if it is one cell.
+        bad = F.when(at_row < 0, VALUE).when((at_row == 0) & F.lit(not single), VALUE).when(F.col(there).isNull(), REF)
+        bad = F.when(F.lit(whole) & F.col(there).isNotNull(), VALUE).otherwise(bad)
         return V(out.col, out.kind, first_error(v.err, bad, out.err))
 
 

@@ -69,6 +69,36 @@ def edited(formula: str, home: str, sheet: str, axis: str, at: int, count: int,
     return _each(formula, change)
 
 
+def permuted(formula: str, home: str, sheet: str, to: dict[int, int]) -> str:
+    """After the columns of ``sheet`` changed places. A range follows where its columns stay side by side, else it keeps its place."""
+
+    def change(own, ends):
+        if (own or home).lower() != sheet.lower():
+            return ends
+        if len(ends) == 1:
+            (pc, c, pr, r), = ends
+            return [(pc, to.get(c, c), pr, r)]
+        low, high = sorted(e[1] for e in ends)
+        new = sorted(to.get(c, c) for c in range(low, high + 1))
+        if new[-1] - new[0] != high - low:
+            return ends
+        return [(pc, new[0] if c == low else new[-1], pr, r) for pc, c, pr, r in ends]
+
+    return _each(formula, change)
+
+
+def cut_to(formula: str, home: str, sheet: str, box: tuple[int, int, int, int], down: int, right: int) -> str:
+    """After the cells of ``box`` (rows, columns, ends included) were cut and put elsewhere: references wholly inside follow."""
+
+    def change(own, ends):
+        inside = all(box[0] <= r <= box[1] and box[2] <= c <= box[3] for _, c, _, r in ends)
+        if (own or home).lower() != sheet.lower() or not inside:
+            return ends
+        return [(pc, c + right, pr, r + down) for pc, c, pr, r in ends]
+
+    return _each(formula, change)
+
+
 def renamed(formula: str, old: str, new: str) -> str:
     """After a sheet was renamed."""
     quoted = new if re.fullmatch(r"[A-Za-z_][\w.]*", new) else "'" + new.replace("'", "''") + "'"

@@ -69,3 +69,38 @@ def matches(c: Column, kind: T.DataType, criterion: object) -> Column:
     order = {"<": folded < low, "<=": folded <= low, ">": folded > low, ">=": folded >= low}[op]
     below = number.isNotNull() if op in ("<", "<=") else false
     return F.coalesce(order, false) | F.coalesce(below, false)
+
+
+# -- criteria that a column holds
+
+NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def wanted(c: Column, kind: str) -> Column:
+    """A criterion in one spelling: ``n:`` and a number, ``b:`` and a boolean, ``t:`` and a text in lower case, or ``o:`` and what needs parsing."""
+    number = lambda x: F.concat(F.lit("n:"), F.when(x == 0, 0.0).otherwise(x).cast("string"))
+    if kind != "text":
+        return number(c)
+    bare = F.lower(F.regexp_replace(c, "^=", ""))
+    special = F.regexp_replace(c, "^=", "").rlike("^[<>=]|[*?~]") | (bare == "")
+    return F.when(special, F.concat(F.lit("o:"), F.lower(c))).when(bare.rlike(NUMERIC), number(bare.try_cast("double"))).when(F.trim(bare).isin("true", "false"), F.concat(F.lit("b:"), F.trim(bare))).otherwise(F.concat(F.lit("t:"), bare))
+
+
+def is_equality(spelling: Column) -> Column:
+    return ~spelling.startswith("o:")
+
+
+def equal_key(c: Column, kind: T.DataType) -> Column:
+    """The spelling of the criterion that a cell equals; NULL for empty cells and errors."""
+    k = cells.kind_of(kind)
+    number = lambda x: F.concat(F.lit("n:"), F.when(x == 0, 0.0).otherwise(x).cast("string"))
+    truth = lambda x: F.concat(F.lit("b:"), x.cast("string"))
+    if k == "mixed":
+        return F.when(c["tag"] == cells.NUMBER, number(c["num"])).when(c["tag"] == cells.BOOL, truth(c["num"] != 0)).when(c["tag"] == cells.TEXT, F.concat(F.lit("t:"), F.lower(c["str"])))
+    return truth(c) if k == "bool" else F.concat(F.lit("t:"), F.lower(c)) if k == "text" else number(cells.numbers(c, kind))
+
+
+def spelled(spelling: str) -> object:
+    """The criterion behind a spelling, as ``matches`` takes it."""
+    kind, body = spelling[:2], spelling[2:]
+    return float(body) if kind == "n:" else body == "true" if kind == "b:" else body

@@ -75,8 +75,16 @@ def date_text(x: Column, code: str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+#: Fraction codes aren't modelled; their numbers are shown plain.
+FRACTION = re.compile(r"[0#?]\s*/\s*[0-9#?]")
+
+
 def number_text(x: Column, code: str) -> Column:
     """A number (not negative where the section is for negatives) by one section."""
+    if FRACTION.search(re.sub(r'"[^"]*"|\\.', "", code)):
+        from ..cells import number_text as plain
+
+        return plain(x)
     pieces = [m.groups() for m in PIECE.finditer(code)]
     digits = "".join(p[4] or "" for p in pieces)
     if not digits and not any(p[5] for p in pieces):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cells import DIV0, NA, NUM
@@ -42,18 +44,28 @@ def average(x: Column) -> tuple[Column, Column]:
     return F.avg(x), F.when(F.count(x) == 0, DIV0)
 
 
-def median(x: Column) -> tuple[Column, Column]:
-    return F.median(x), F.when(F.count(x) == 0, NUM)
-
-
-def percentile(x: Column, k: float) -> tuple[Column, Column]:
-    if not 0 <= k <= 1:
-        return F.max(F.lit(None).cast("double")), F.max(F.lit(NUM))
-    return F.percentile(x, F.lit(k)), F.when(F.count(x) == 0, NUM)
+def quantiles(df: DataFrame, x: str, ks: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """``by`` and, for each name, the exact quantile (0 to 1) of the numbers in ``x``, between neighbours in proportion.
 
-
-def quartile(x: Column, q: float) -> tuple[Column, Column]:
-    return percentile(x, int(q) / 4)
+    Distinct values are counted and cut into blocks of the value range; only the blocks that hold a sought rank are
+    sorted, so no buffer holds a group's values. A group without numbers has no row; without ``by`` there is one row.
+    """
+    from ..operators.positional import with_blocks
+
+    real = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*by, F.col(x).cast("double").alias("_v"))
+    counted = with_blocks(real, F.col("_v")).groupBy(*by, "_block", "_v").agg(F.count("*").alias("_n"))
+    blocks = counted.groupBy(*by, "_block").agg(F.sum("_n").alias("_size"))
+    group = Window.partitionBy(*by)
+    blocks = blocks.withColumn("_before", F.sum("_size").over(group.orderBy("_block")) - F.col("_size")).withColumn("_all", F.sum("_size").over(group))
+    ranks = {name: (F.floor((F.col("_all") - 1) * F.lit(k)), F.ceil((F.col("_all") - 1) * F.lit(k))) for name, k in ks.items()}
+    holds = lambda low, size: reduce(lambda a, b: a | b, [(low <= r) & (r < low + size) for pair in ranks.values() for r in pair])
+    sought = counted.join(blocks.where(holds(F.col("_before"), F.col("_size"))), [*by, "_block"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_block").orderBy("_v"))
+    placed = sought.withColumn("_upto", upto).withColumn("_low", F.col("_upto") - F.col("_n"))
+    at = lambda r: F.max(F.when((F.col("_low") <= r) & (r < F.col("_upto")), F.col("_v")))
+    found = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *[at(r).alias(f"_{side}_{name}") for name, pair in ranks.items() for side, r in zip("ab", pair, strict=True)])
+    part = lambda k: (F.col("_all") - 1) * F.lit(k) - F.floor((F.col("_all") - 1) * F.lit(k))
+    return found.select(*by, *[(F.col(f"_a_{name}") + part(k) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name) for name, k in ks.items()])
 
 
 def kth(df: DataFrame, x: Column, k: int, largest: bool = True) -> DataFrame:

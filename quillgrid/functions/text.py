@@ -77,10 +77,25 @@ def has_glob(pattern: str) -> bool:
     return re.search(r"(?<!~)[*?]|~[*?~]", pattern) is not None
 
 
-def search(needle: str, s: Column, start: int = 1) -> Column:
+def glob_pattern(needle: Column) -> Column:
+    """``glob_regex`` of a column."""
+    # Escaped wildcards and escapes are set aside under private characters while the rest is translated.
+    out = needle
+    for k, c in enumerate("*?~"):
+        out = F.replace(out, F.lit("~" + c), F.lit(chr(0xE000 + k)))
+    out = F.regexp_replace(out, r"([\\.\[\]{}()+^$|#&-])", r"\\$1")
+    out = F.replace(F.replace(out, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    for k, c in enumerate((r"\*", r"\?", "~")):
+        out = F.replace(out, F.lit(chr(0xE000 + k)), F.lit(c))
+    return out
+
+
+def search(needle: str | Column, s: Column, start: int | Column = 1) -> Column:
     """Place of the first match from ``start`` on, case ignored, with wildcards; NULL for none."""
-    at = F.regexp_instr(F.substring(s, F.lit(start), F.char_length(s)), F.lit("(?is)" + glob_regex(needle)))
-    return F.when(at > 0, at + (start - 1))
+    pattern = F.lit("(?is)" + glob_regex(needle)) if isinstance(needle, str) else F.concat(F.lit("(?is)"), glob_pattern(needle))
+    first = F.lit(start) if isinstance(start, int) else F.floor(start).cast("int")
+    at = F.regexp_instr(F.substring(s, F.greatest(first, F.lit(1)), F.char_length(s)), pattern)
+    return F.when((at > 0) & (first >= 1), at + (first - 1))
 
 
 def value(s: Column) -> Column:

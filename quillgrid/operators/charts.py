@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import cells
+
 CATEGORY_LIMIT = 40
 
 
@@ -63,7 +65,8 @@ def category(df: DataFrame, label: str, value: str | None, function: str = "Sum"
 
 def selection_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row over the selected cells: cells, numbers, total, least, greatest, mean."""
-    xs = F.array(*[F.col(c).try_cast("double") for c in columns])
+    kind = cells.kinds(df)
+    xs = F.array(*[cells.numbers(F.col(c), kind[c]) for c in columns])
     filled = F.array(*[F.col(c).isNotNull() for c in columns])
     one = df.select(F.size(F.filter(filled, lambda b: b)).alias("c"), F.filter(xs, lambda x: x.isNotNull()).alias("x"))
     per = one.select("c", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("s"), F.array_min("x").alias("lo"), F.array_max("x").alias("hi"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import cells
 from ..cells import NA
 from ..functions.text import glob_regex, has_glob
 
@@ -25,6 +26,29 @@ def _folded(df: DataFrame, key: str) -> Column:
     return F.lower(F.col(key)) if df.schema[key].dataType.simpleString() == "string" else F.col(key)
 
 
+def _collated(df: DataFrame, key: str) -> Column:
+    """A key in the order of lookups, numbers before text (case ignored) before booleans, as a struct.
+
+    ``b`` is a number that rises with the order, by which keys are cut into blocks: in texts, the first characters.
+    """
+    kind = df.schema[key].dataType
+    k, c = cells.kind_of(kind), F.col(key)
+
+    def made(rank: int, number: Column, text: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), number.cast("double").alias("b"), text.cast("string").alias("text"))
+
+    def words(s: Column) -> Column:
+        low = F.lower(s)
+        head = F.rpad(F.hex(F.substring(F.encode(low, "UTF-8"), 1, 6)), 12, "0")
+        return made(1, F.lit(1e300) * (1 + F.conv(head, 16, 10).cast("double") / float(1 << 48)), low)
+
+    nothing = F.lit(None).cast("string")
+    truth = lambda x: made(2, F.lit(1.5e308) + x.cast("double"), F.when(x, "true").otherwise("false"))
+    if k == "mixed":
+        return F.when(c["tag"] == cells.NUMBER, made(0, c["num"], nothing)).when(c["tag"] == cells.TEXT, words(c["str"])).when(c["tag"] == cells.BOOL, truth(c["num"] != 0))
+    return words(c) if k == "text" else truth(c) if k == "bool" else made(0, cells.numbers(c, kind), nothing)
+
+
 def exact(probes: DataFrame, key: str, table: DataFrame, table_key: str, returns: list[str], row: str = "_row", last: bool = False, if_missing: dict | None = None) -> DataFrame:
     """``probes`` with the ``returns`` of the first (or last) table row of equal key, case ignored; ``error`` is #N/A for none."""
     pick = F.max_by if last else F.min_by
@@ -57,12 +81,12 @@ def approximate(probes: DataFrame, key: str, table: DataFrame, table_key: str, r
     outside it, so neither side is broadcast or seen whole by one task.
     """
     pick = F.min_by if up else F.max_by
-    one = table.where(F.col(table_key).isNotNull()).groupBy(F.col(table_key).cast("double").alias("_key")).agg(pick(F.struct(*[F.col(r) for r in returns], F.col(row).alias("_at")), row).alias("_v"))
+    one = table.where(F.col(table_key).isNotNull()).groupBy(_collated(table, table_key).alias("_key")).agg(pick(F.struct(*[F.col(r) for r in returns], F.col(row).alias("_at")), row).alias("_v"))
     from .positional import with_blocks
 
-    both = probes.select(F.struct(*[F.col(c) for c in probes.columns]).alias("_p"), F.col(key).cast("double").alias("_key"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"))
+    both = probes.select(F.struct(*[F.col(c) for c in probes.columns]).alias("_p"), F.when(F.col(key).isNotNull(), _collated(probes, key)).alias("_key"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"))
     keys = one.select(F.lit(None).cast(both.schema["_p"].dataType).alias("_p"), "_key", "_v")
-    blocked = with_blocks(both.unionByName(keys), F.col("_key"))
+    blocked = with_blocks(both.unionByName(keys), F.col("_key.b"))
     order = F.col("_key").desc() if up else F.col("_key").asc()
     side = F.col("_v").isNull().cast("int").asc()  # at equal keys the table's row comes before the probes
     w = Window.partitionBy("_block").orderBy(order, side).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,8 @@ small row a block, and the rest happens inside blocks in parallel.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,33 @@ def with_blocks(df: DataFrame, key: Column, out: str = "_block", blocks: int | N
     n = blocks or max(BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(key.cast("double"), [k / n for k in range(1, n)], 10_000)).first()[0]
     cuts = sorted({c for c in cuts or [] if c == c})
-    level = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key.cast("double"))) if cuts else F.lit(0)
-    return df.withColumn(out, F.coalesce(level, F.lit(0)))
+    return df.withColumn(out, F.coalesce(_below(cuts, key.cast("double")), F.lit(0)))
+
+
+def _below(cuts: list[float], x: Column) -> Column:
+    """How many of the sorted cuts are below ``x``: a look at every step-th cut, then at the cuts of one step."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    every = F.array(*[F.lit(c) for c in cuts])
+    coarse = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[step - 1 :: step]]), lambda c: c < x))
+    return coarse * step + F.size(F.filter(F.slice(every, coarse * step + 1, F.lit(step)), lambda c: c < x))
+
+
+#: Rows of a block where places are known.
+BLOCK_ROWS = 1 << 17
+
+
+def running_totals(df: DataFrame, row: str, sums: dict[str, str], size: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with running sums (name -> column) along ``row``, places from 0 without gaps. Blocks are cut by place alone."""
+    blocked = df.withColumn("_block", F.floor(F.col(row) / F.lit(size)))
+    totals = blocked.groupBy("_block").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_block", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums])
+    w = Window.partitionBy("_block").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    inside = blocked.withColumns({f"_in_{name}": F.sum(c).over(w) for name, c in sums.items()})
+    joined = inside.join(offsets, "_block")
+    return joined.select(*df.columns, *[(F.col(f"_in_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums])
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, out: str, descending: bool | None = None) -> DataFrame:
@@ -64,7 +91,13 @@ def moving(df: DataFrame, row: str, columns: dict[str, tuple[str, str, int, int]
     w = Window.partitionBy("_block").orderBy(row)
     for name, (function, column, a, b) in columns.items():
         over = w.rowsBetween(a, b)
-        value = F.first(column).over(w.rowsBetween(a, a)) if function == "value" else getattr(F, function)(column).over(over)
+        if function == "median":
+            near = F.sort_array(F.collect_list(column).over(over))
+            spread = spread.withColumn(name, near)
+            n = F.size(name)
+            value = F.when(n > 0, (F.get(name, F.floor((n - 1) / 2).cast("int")) + F.get(name, F.floor(n / 2).cast("int"))) / 2)
+        else:
+            value = F.first(column).over(w.rowsBetween(a, a)) if function == "value" else getattr(F, function)(column).over(over)
         spread = spread.withColumn(name, value)
     return spread.where(F.col("_block") == F.floor(r / F.lit(size))).drop("_block")
 

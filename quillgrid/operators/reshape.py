@@ -91,7 +91,28 @@ def sort(df: DataFrame, index: int = 1, ascending: bool = True) -> DataFrame:
     """Rows by one column in SORT's collation; ties keep their order. The result's places are its order."""
     column = columns_of(df)[index - 1]
     order = [*sorting.array_order(df, column, ascending), F.col(R).asc()]
-    return _ranked(df, order)
+    return ranked(df, order)
+
+
+def sort_columns(df: DataFrame, index: int = 1, ascending: bool = True) -> DataFrame:
+    """Columns by one row (from 1) in SORT's collation; ties keep their order. The row is one small frame of its own."""
+    names, row = columns_of(df), df.where(F.col(R) == index - 1)
+    keys = sort(transpose(row).withColumn("_name", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(R) + 1).cast("int"))), 1, ascending)
+    return df.select(R, *[F.col(k["_name"]) for k in keys.orderBy(R).select("_name").collect()])
+
+
+def unique_columns(df: DataFrame, exactly_once: bool = False) -> DataFrame:
+    """Distinct columns in order of first appearance: pairs of columns are compared in one pass."""
+    names, kind = columns_of(df), cells.kinds(df)
+    fold = lambda c: F.lower(F.col(c)) if cells.kind_of(kind[c]) == "text" else F.col(c).cast("double") if cells.kind_of(kind[c]) != "mixed" else F.col(c)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if fold(a) is not None and (cells.kind_of(kind[a]) in ("text", "mixed")) == (cells.kind_of(kind[b]) in ("text", "mixed")) and (cells.kind_of(kind[a]) == "mixed") == (cells.kind_of(kind[b]) == "mixed")]
+    row = df.agg(F.lit(1), *[F.min(fold(a).eqNullSafe(fold(b)).cast("int")) for a, b in pairs]).first()
+    first = {n: n for n in names}
+    for (a, b), same in zip(pairs, row[1:], strict=True):
+        if same != 0 and first[b] == b:
+            first[b] = first[a]
+    kept = [n for n in names if first[n] == n and not (exactly_once and list(first.values()).count(n) > 1)]
+    return df.select(R, *kept)
 
 
 def sortby(df: DataFrame, keys: list[tuple[DataFrame, bool]]) -> DataFrame:
@@ -101,10 +122,10 @@ def sortby(df: DataFrame, keys: list[tuple[DataFrame, bool]]) -> DataFrame:
         name = f"_by{k}"
         out = out.join(other.select(R, F.col(columns_of(other)[0]).alias(name)), R)
         order += sorting.array_order(out, name, up)
-    return _ranked(out, [*order, F.col(R).asc()]).select(R, *columns_of(df))
+    return ranked(out, [*order, F.col(R).asc()]).select(R, *columns_of(df))
 
 
-def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` renumbered along any order: a range sort, counted in parts, so no task sees all rows."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if df.sparkSession.conf.get("spark.sql.shuffle.partitions") != "1" else df.coalesce(1).sortWithinPartitions(*order)
     # The part number and the place inside it are one long that rises along the order; ranking those longs is numeric.
@@ -174,6 +195,17 @@ def wrapcols(df: DataFrame, height: int) -> DataFrame:
     return df.groupBy((F.col(R) % height).alias(R)).agg(*[F.max(F.when(F.floor(F.col(R) / height) == j, F.col(c))).alias(f"c{j}") for j in range(width)], (F.lit(width) - F.count("*")).cast("long").alias("pad"))
 
 
+def padded(df: DataFrame, pad: float | str | bool | None = None) -> DataFrame:
+    """A wrapped vector with ``pad`` in the cells past its end; None leaves them empty, with #N/A in ``error``."""
+    if pad is None:
+        return df.withColumn("error", F.when(F.col("pad") > 0, cells.NA))
+    names = [c for c in columns_of(df) if c != "pad"]
+    past = lambda k: F.lit(k) >= F.lit(len(names)) - F.col("pad")
+    fill = lambda c: F.lit(pad).cast(df.schema[c].dataType) if not isinstance(pad, str) else F.lit(pad)
+    plain = lambda c: cells.shown(F.col(c), df.schema[c].dataType) if isinstance(pad, str) and df.schema[c].dataType.simpleString() != "string" else F.col(c)
+    return df.select(R, *[F.when(past(k), fill(c)).otherwise(plain(c)).alias(c) for k, c in enumerate(names)])
+
+
 def chooserows(df: DataFrame, *at: int) -> DataFrame:
     """Rows by number from 1 (negative: from the end), in the order and as often as asked."""
     n = df.count()
@@ -205,11 +237,12 @@ def randarray(spark, rows: int, columns: int = 1, low: float = 0.0, high: float
     return spark.range(rows).select(F.col("id").alias(R), *[one(j).alias(f"c{j}") for j in range(columns)])
 
 
-def arraytotext(df: DataFrame) -> DataFrame:
-    """One row: cells parted by ``, `` and rows by ``;``."""
+def arraytotext(df: DataFrame, verbose: bool = False) -> DataFrame:
+    """One row: cells parted by ``, `` and rows by ``;``, and, ``verbose``, in braces."""
     kind, names = cells.kinds(df), columns_of(df)
     row = F.concat_ws(", ", *[cells.shown(F.col(c), kind[c]) for c in names])
-    return df.select(F.struct(R, row.alias("s")).alias("v")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["s"]), ";").alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["s"]), ";")
+    return df.select(F.struct(R, row.alias("s")).alias("v")).agg((F.concat(F.lit("{"), joined, F.lit("}")) if verbose else joined).alias("text"))
 
 
 def transpose(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,11 @@ def rowed(df: DataFrame, key: str) -> DataFrame:
     return positional.numbered(df, [F.col(key)], "_row")
 
 
+def loose(df: DataFrame) -> DataFrame:
+    """Rows numbered in the files' order, with gaps: enough where a formula reads its own row only."""
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
 # -- pivot
 
 FLAGS = pivot.PivotSpec(["l_returnflag", "l_linestatus"], [("l_extendedprice", "sum", 2), ("l_discount", "average", 2), ("l_quantity", "count", None), ("l_quantity", "min", None), ("l_quantity", "max", None), ("l_quantity", "stddev", None)])
@@ -123,8 +129,13 @@ def hide_rows(t):
 # -- criteria
 
 def _scalar(t, name: str, key: str, formulas: dict[str, str], tables: dict[str, str] | None = None) -> DataFrame:
-    """Scalar formulas over a table (its columns A, B, ... in order) side by side."""
-    frames = {name: rowed(t(name), key)} | {k: rowed(t(k), v) for k, v in (tables or {}).items()}
+    """Scalar formulas over a table (its columns A, B, ... in order) side by side.
+
+    Formulas over whole columns need no places without gaps, so rows are only numbered in the files' order.
+    """
+    loose = lambda n: t(n).withColumn("_row", F.monotonically_increasing_id())
+    whole = not any(re.search(r"[A-Z]+\$?\d", f) for f in formulas.values())
+    frames = {name: loose(name) if whole else rowed(t(name), key)} | {k: rowed(t(k), v) for k, v in (tables or {}).items()}
     sheets, out = compiler.Sheets(frames), None
     for alias, formula in formulas.items():
         one = compiler.evaluate(formula, sheets, name).select(F.coalesce(F.col("value").cast("string"), F.col("error")).alias(alias)) if alias.startswith("t_") else compiler.evaluate(formula, sheets, name).select(F.col("value").cast("double").alias(alias))
@@ -154,7 +165,7 @@ def countifs_ge_ne(t):
 
 @query("select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey), 2) as x from orders")
 def sumif_per_group(t):
-    df = rowed(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+    df = loose(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     out = compiler.fill_down("=SUMIF(B:B,B1,C:C)", compiler.Sheets({"orders": df}), "orders", "x")
     return out.select("o_orderkey", r(F.col("x")).alias("x"))
 
@@ -167,14 +178,11 @@ def criteria_text_order(t):
 
 # -- sort, limit
 
-@query("""select row_number() over (order by case when s is null then 1 else 0 end, s desc, o_totalprice, o_orderkey) as place, o_orderkey from (select o_orderkey, o_totalprice, lower(nullif(o_orderstatus, 'P')) as s from orders) order by 1 limit 50""")
+@query("""select row_number() over (order by case when s is null then 1 else 0 end, s desc, o_totalprice, o_orderkey) - 1 as place, o_orderkey from (select o_orderkey, o_totalprice, lower(nullif(o_orderstatus, 'P')) as s from orders)""")
 def sort_multikey_nulls_last(t):
-    df = t("orders").withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("P")))
-    top = sorting.sort(df, [("o_orderstatus", False), ("o_totalprice", True)], "o_orderkey").limit(50)
-    from pyspark.sql import Window
-
-    order = sorting.view_order(top, [("o_orderstatus", False), ("o_totalprice", True)], "o_orderkey")
-    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "o_orderkey")
+    df = t("orders").select("o_orderkey", "o_totalprice", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus"))
+    order = sorting.view_order(df, [("o_orderstatus", False), ("o_totalprice", True)], "o_orderkey")
+    return reshape.ranked(df.withColumn(reshape.R, F.lit(0)), order).select(F.col(reshape.R).alias("place"), "o_orderkey")
 
 
 @query("select (select o_totalprice from orders order by 1 desc limit 1 offset 9) as a, (select o_totalprice from orders order by 1 limit 1 offset 4) as b")
@@ -189,7 +197,7 @@ def take_sorted(t):
 
 @query("select p_partkey, cast(rank() over (order by p_retailprice desc) as double) as x from part")
 def rank_eq_desc(t):
-    df = rowed(t("part"), "p_partkey")
+    df = loose(t("part"))
     out = compiler.fill_down("=RANK.EQ(F1,F:F)", compiler.Sheets({"part": df}), "part", "x")
     return out.select("p_partkey", "x")
 
@@ -242,13 +250,13 @@ def subtotal_interleaved(t):
 
 
 @query("""with x as (select year(o_orderdate) as y, o_orderpriority as rk, o_orderstatus as ck, cast(sum(cast(o_totalprice as decimal(38,2))) as double) as v from orders where not (year(o_orderdate) = 1996 and o_orderstatus = 'P') group by 1, 2, 3)
-select rk, ck, round(sum(v), 2) as value, count(*) as contributors, coalesce((select string_agg(cast(y2 as varchar), ',' order by y2) from (select distinct year(o_orderdate) as y2 from orders where year(o_orderdate) between 1995 and 1998) where y2 not in (select y from x as z where z.rk = x.rk and z.ck = x.ck)), '') as missing
-from x where y between 1995 and 1998 group by rk, ck""")
+select rk, ck, round(sum(v), 2) as value, count(*) as contributors, coalesce((select string_agg(cast(y2 as varchar), ',' order by y2) from range(1995, 2002) as r(y2) where y2 not in (select y from x as z where z.rk = x.rk and z.ck = x.ck)), '') as missing
+from x group by rk, ck""")
 def consolidate_by_region_year(t):
     df = t("orders").where(~((F.year("o_orderdate") == 1996) & (F.col("o_orderstatus") == "P")))
-    sums = df.where(F.year("o_orderdate").between(1995, 1998)).groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("rk"), F.col("o_orderstatus").alias("ck")).agg(F.sum(F.col("o_totalprice").cast("decimal(38,2)")).cast("double").alias("value"))
+    sums = df.groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("rk"), F.col("o_orderstatus").alias("ck")).agg(F.sum(F.col("o_totalprice").cast("decimal(38,2)")).cast("double").alias("value"))
     long = sums.select(F.col("y").cast("string").alias("source"), (F.col("y") - 1995).alias("source_at"), "rk", F.lit(0).alias("row_at"), "ck", F.lit(0).alias("col_at"), "value")
-    out = consolidate.consolidate(long, ["1995", "1996", "1997", "1998"])
+    out = consolidate.consolidate(long, [str(y) for y in range(1995, 2002)])
     return out.select("rk", "ck", r(F.col("value")).alias("value"), "contributors", "missing")
 
 
@@ -256,7 +264,7 @@ def consolidate_by_region_year(t):
 
 @query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
 def vlookup_exact(t):
-    df = rowed(t("customer"), "c_custkey")
+    df = loose(t("customer"))
     nation = rowed(t("nation"), "n_nationkey")
     out = compiler.fill_down("=VLOOKUP(C1,nation!$A$1:$B$25,2,FALSE)", compiler.Sheets({"customer": df, "nation": nation}), "customer", "n_name")
     return out.select("c_custkey", "n_name")
@@ -271,14 +279,14 @@ def _bands(spark):
 
 @query(f"select o_orderkey, b.name from orders asof join {BANDS} on o_totalprice >= b.k")
 def vlookup_approx(t):
-    df = rowed(t("orders"), "o_orderkey")
+    df = loose(t("orders"))
     sheets = compiler.Sheets({"orders": df, "bands": _bands(df.sparkSession)})
     return compiler.fill_down("=VLOOKUP(D1,bands!$A$1:$B$4,2)", sheets, "orders", "name").select("o_orderkey", "name")
 
 
 @query(f"select o_orderkey, coalesce((select name from {BANDS} where b.k >= o_totalprice order by b.k limit 1), 'none') as name from orders")
 def xlookup_next_larger(t):
-    df = rowed(t("orders"), "o_orderkey")
+    df = loose(t("orders"))
     sheets = compiler.Sheets({"orders": df, "bands": _bands(df.sparkSession)})
     return compiler.fill_down('=XLOOKUP(D1,bands!$A$1:$A$4,bands!$B$1:$B$4,"none",1)', sheets, "orders", "name").select("o_orderkey", "name")
 
@@ -290,19 +298,19 @@ def xlookup_last_match(t):
 
 @query("select s_suppkey, cast(n_nationkey + 1 as double) as place, n_name from supplier join nation on s_nationkey = n_nationkey")
 def index_match(t):
-    df = rowed(t("supplier"), "s_suppkey")
+    df = loose(t("supplier"))
     sheets = compiler.Sheets({"supplier": df, "nation": rowed(t("nation"), "n_nationkey")})
     placed = compiler.fill_down("=MATCH(C1,nation!A:A,0)", sheets, "supplier", "place")
     named = compiler.fill_down("=INDEX(nation!B:B,MATCH(C1,nation!A:A,0))", sheets, "supplier", "n_name")
     return placed.select("s_suppkey", "place").join(named.select("s_suppkey", "n_name"), "s_suppkey")
 
 
-@query(f"select o_orderkey, cast((select count(*) from {BANDS} where b.k >= o_totalprice) as double) as place from orders where o_totalprice <= 300000")
+@query(f"select o_orderkey, cast(nullif((select count(*) from {BANDS} where b.k >= o_totalprice), 0) as double) as place, case when o_totalprice > 300000 then '#N/A' end as error from orders")
 def match_desc(t):
-    df = rowed(t("orders").where("o_totalprice <= 300000"), "o_orderkey")
+    df = loose(t("orders"))
     bands = _bands(df.sparkSession).withColumn("_row", 3 - F.col("_row"))
     out = compiler.fill_down("=MATCH(D1,bands!A:A,-1)", compiler.Sheets({"orders": df, "bands": bands}), "orders", "place")
-    return out.select("o_orderkey", "place")
+    return out.select("o_orderkey", "place", F.col("place_error").alias("error"))
 
 
 @query("select 'red*' as pattern, (select min(p_partkey) from part where lower(p_name) like 'red%') as match_row union all select '*widget', (select min(p_partkey) from part where lower(p_name) like '%widget')")
@@ -316,8 +324,11 @@ def match_wildcard(t):
 
 @query("select l_returnflag, median(l_quantity) as median, round(quantile_cont(l_extendedprice, 0.9), 4) as p90, round(quantile_cont(l_extendedprice, 0.25), 4) as q1, round(stddev_pop(l_quantity), 6) as sd_p, round(stddev_samp(l_quantity), 6) as sd_s, round(var_pop(l_quantity), 6) as var_p, round(var_samp(l_quantity), 6) as var_s from lineitem group by 1")
 def spread_by_flag(t):
-    q, p = F.col("l_quantity"), F.col("l_extendedprice")
-    return t("lineitem").groupBy("l_returnflag").agg(stats.median(q)[0].alias("median"), r(stats.percentile(p, 0.9)[0], 4).alias("p90"), r(stats.quartile(p, 1)[0], 4).alias("q1"), *[r(stats.spread(n, q)[0], 6).alias(a) for n, a in (("STDEV.P", "sd_p"), ("STDEV.S", "sd_s"), ("VAR.P", "var_p"), ("VAR.S", "var_s"))])
+    df, q = t("lineitem"), F.col("l_quantity")
+    spreads = df.groupBy("l_returnflag").agg(*[r(stats.spread(n, q)[0], 6).alias(a) for n, a in (("STDEV.P", "sd_p"), ("STDEV.S", "sd_s"), ("VAR.P", "var_p"), ("VAR.S", "var_s"))])
+    prices = stats.quantiles(df, "l_extendedprice", {"p90": 0.9, "q1": 0.25}, ["l_returnflag"])
+    middle = stats.quantiles(df, "l_quantity", {"median": 0.5}, ["l_returnflag"])
+    return spreads.join(prices, "l_returnflag").join(middle, "l_returnflag").withColumns({"p90": r(F.col("p90"), 4), "q1": r(F.col("q1"), 4)})
 
 
 @query("select (select median(o_totalprice) from orders) as a, (select round(quantile_cont(o_totalprice, 0.9), 4) from orders) as b, (select round(quantile_cont(o_totalprice, 0.75), 4) from orders) as c, (select round(stddev_samp(o_totalprice), 4) from orders) as d, (select round(var_pop(o_custkey), 4) from orders) as e")
@@ -334,7 +345,7 @@ def mode_sngl_first_seen(t):
 
 @query("select o_orderkey, case when o_totalprice < 0 then -floor(-o_totalprice * 0.1 * 10 + 0.5) / 10 else floor(o_totalprice * 0.1 * 10 + 0.5) / 10 end as a, floor(o_totalprice / 250) * 250 as b, ceil(o_totalprice / 250) * 250 as c from orders")
 def round_floor_ceiling(t):
-    df = rowed(t("orders"), "o_orderkey")
+    df = loose(t("orders"))
     sheets = compiler.Sheets({"s": df})
     out = compiler.fill_down("=ROUND(D1*0.1,1)", sheets, "s", "a")
     out = compiler.fill_down("=FLOOR(D1,250)", compiler.Sheets({"s": out.drop("a_error")}), "s", "b")
@@ -344,21 +355,21 @@ def round_floor_ceiling(t):
 
 @query("select event_id, coalesce(round(value / nullif(user_id % 5, 0), 6), -1.0) as a, case when user_id % 5 = 0 then '#DIV/0!' end as b from events")
 def iferror_div0(t):
-    df = rowed(t("events").select("event_id", "value", (F.col("user_id") % 5).alias("m")), "event_id")
+    df = loose(t("events").select("event_id", "value", (F.col("user_id") % 5).alias("m")))
     good = compiler.fill_down("=IFERROR(ROUND(B1/C1,6),-1)", compiler.Sheets({"s": df}), "s", "a").drop("a_error")
     return compiler.fill_down("=B1/C1", compiler.Sheets({"s": good}), "s", "q").select("event_id", "a", F.col("q_error").alias("b"))
 
 
 @query("select event_id, case when value - 50 >= 0 then round(sqrt(value - 50), 6) end as a, case when value - 50 < 0 then '#NUM!' end as e from events")
 def sqrt_domain(t):
-    df = rowed(t("events").select("event_id", (F.col("value") - 50).alias("v")), "event_id")
+    df = loose(t("events").select("event_id", (F.col("value") - 50).alias("v")))
     out = compiler.fill_down("=SQRT(B1)", compiler.Sheets({"s": df}), "s", "a")
     return out.select("event_id", r(F.col("a"), 6).alias("a"), F.col("a_error").alias("e"))
 
 
 @query("select p_partkey, case when p_size > 25 and p_type <> 'PROMO' then 'big' when p_size > 10 or p_type = 'PROMO' then 'mid' else 'small' end as x from part")
 def nested_if(t):
-    df = rowed(t("part"), "p_partkey")
+    df = loose(t("part"))
     return compiler.fill_down('=IF(AND(E1>25,NOT(D1="promo")),"big",IF(OR(E1>10,D1="PROMO"),"mid","small"))', compiler.Sheets({"s": df}), "s", "x").select("p_partkey", "x")
 
 
@@ -424,10 +435,18 @@ def datedif_units(t):
     return t("orders").select("o_orderkey", *[dates.datedif(d, e, u).cast("long").alias(n) for u, n in (("D", "days"), ("M", "months"), ("Y", "years"))])
 
 
-@query("select o_orderkey, (select count(*) from range(0, date_diff('day', d, d + interval 30 day) + 1) as r(i) where isodow(d + cast(i as integer)) < 6 and d + cast(i as integer) <> date '1997-12-25') as n from (select o_orderkey, cast(o_orderdate as date) as d from orders where year(o_orderdate) = 1997)")
+#: Weekdays up to and with a date, counted from Monday 1899-01-02.
+_WEEKDAYS = "(date_diff('day', date '1899-01-02', {0}) // 7 * 5 + least(5, date_diff('day', date '1899-01-02', {0}) % 7 + 1))"
+
+
+@query(f"""select o_orderkey, cast({_WEEKDAYS.format("(d + 30)")} - {_WEEKDAYS.format("(d - 1)")} - (date '1997-12-25' between d and d + 30)::int - (date '1998-01-01' between d and d + 30)::int as double) as n,
+cast(-({_WEEKDAYS.format("d")} - {_WEEKDAYS.format("(d - 8)")}) as double) as back from (select o_orderkey, cast(o_orderdate as date) as d from orders)""")
 def networkdays(t):
-    d = F.col("o_orderdate").cast("date")
-    return t("orders").where(F.year("o_orderdate") == 1997).select("o_orderkey", dates.networkdays(d, F.date_add(d, 30), ["1997-12-25", "1997-12-25"]).cast("long").alias("n"))
+    """Holidays are a range; one is given twice and one is a Saturday."""
+    df = loose(t("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")))
+    days = df.sparkSession.createDataFrame([(0, "1997-12-25"), (1, "1997-12-25"), (2, "1998-01-01"), (3, "1998-01-03")], "_row long, day string").withColumn("day", F.col("day").cast("date"))
+    out = compiler.fill_down("=NETWORKDAYS(B1,B1+30,holidays!$A$1:$A$4)", compiler.Sheets({"s": df, "holidays": days}), "s", "n").drop("n_error")
+    return compiler.fill_down("=NETWORKDAYS(B1,B1-7)", compiler.Sheets({"s": out, "holidays": days}), "s", "back").select("o_orderkey", "n", "back")
 
 
 @query("select o_orderkey, dayofweek(o_orderdate) + 1 as a, isodow(o_orderdate) as b, isodow(o_orderdate) - 1 as c from orders")
@@ -446,11 +465,11 @@ def serial_roundtrip(t):
 
 # -- windows
 
-@query("select o_orderkey, cast(round(sum(cast(o_totalprice as decimal(38,2))) over (order by o_orderkey rows unbounded preceding), 0) as double) as x from orders")
+@query("select o_orderkey, cast(sum(cast(o_totalprice as decimal(38,2))) over (order by o_orderkey rows unbounded preceding) as double) as x from orders")
 def running_total(t):
     df = rowed(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
     out = compiler.fill_down("=SUM($B$1:B1)", compiler.Sheets({"s": df}), "s", "x")
-    return out.select("o_orderkey", F.round(r(F.col("x"), 2).cast("decimal(38,2)"), 0).cast("double").alias("x"))
+    return out.select("o_orderkey", r(F.col("x"), 2).alias("x"))
 
 
 @query("select event_id, round(avg(value) over (order by event_id rows between current row and 2 following), 6) as x from events")
@@ -489,7 +508,7 @@ def tocol_ignore(t):
     return reshape.tocol(reshape.from_sheet(df, ["a", "b"]), 1)
 
 
-@query("select cast(n_nationkey // 4 as bigint) as _r, max(n_name) filter (where n_nationkey % 4 = 0) as c0, max(n_name) filter (where n_nationkey % 4 = 1) as c1, max(n_name) filter (where n_nationkey % 4 = 2) as c2, max(n_name) filter (where n_nationkey % 4 = 3) as c3, 4 - count(*) as pad from nation group by 1")
+@query("select cast(n_nationkey // 4 as bigint) as _r, max(n_name) filter (where n_nationkey % 4 = 0) as c0, max(n_name) filter (where n_nationkey % 4 = 1) as c1, max(n_name) filter (where n_nationkey % 4 = 2) as c2, max(n_name) filter (where n_nationkey % 4 = 3) as c3, 4 - count(*) as pad, case when count(*) < 4 then '#N/A' end as error from nation group by 1")
 def wraprows(t):
     return _array(t, {"nation": ("n_nationkey", ["n_name"])}, "nation", "=WRAPROWS(A:A,4)")
 
@@ -545,10 +564,10 @@ def category_top40(t):
     return charts.category(t("part"), "p_name", "p_retailprice", "Mean").select("label", r(F.col("value"), 6).alias("value"))
 
 
-@query("select 3 * count(*) as cells, 2 * count(*) as numbers, round(sum(o_totalprice) + sum(o_custkey), 0) as total from orders")
+@query("select 3 * count(*) as cells, 2 * count(*) as numbers, round(sum(o_totalprice) + sum(o_custkey), 0) as total, least(min(o_totalprice), min(o_custkey)) as least, greatest(max(o_totalprice), max(o_custkey)) as greatest from orders")
 def selection_stats(t):
     out = charts.selection_stats(t("orders"), ["o_custkey", "o_totalprice", "o_orderstatus"])
-    return out.select("cells", "numbers", r(F.col("total"), 0).alias("total"))
+    return out.select("cells", "numbers", r(F.col("total"), 0).alias("total"), "least", "greatest")
 
 
 # -- quality

@@ -80,23 +80,24 @@ def write_parquet(df: DataFrame, path: str, dates: list[str] = ()) -> None:
 
 
 def write_ipc(df: DataFrame, path: str, dates: list[str] = ()) -> None:
-    """One Arrow file, batch by batch through the driver, which holds one partition at a time."""
+    """One Arrow file. Executors make the batches; the driver passes their bytes on, a partition at a time."""
     import pyarrow as pa
-
-    out = typed_for_export(df, dates)
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    out = typed_for_export(df, dates)
     schema = to_arrow_schema(out.schema)
+
+    def packed(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["body"])
+
     with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
-        rows, size = [], 0
-        for r in out.toLocalIterator():
-            rows.append(r.asDict())
-            size += 1
-            if size == ROW_GROUP:
-                writer.write_batch(pa.RecordBatch.from_pylist(rows, schema))
-                rows, size = [], 0
-        if rows:
-            writer.write_batch(pa.RecordBatch.from_pylist(rows, schema))
+        for r in out.mapInArrow(packed, "body binary").toLocalIterator():
+            for batch in pa.ipc.open_stream(bytes(r.body)):
+                writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema))
 
 
 def compact(view: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from .formula import parser as p
 
 ROW = "_row"
 UNDO_STEPS = 500
+#: Cells that a copy may hold.
+MOST_CELLS = 100_000
 #: Fixed values of goal seek: steps, tolerance, and where it counts as diverged.
 SEEK_STEPS, SEEK_TOLERANCE, SEEK_LIMIT = 100, 1e-6, 1e12
 
@@ -102,13 +104,21 @@ class Sheet:
         return (cells.NUMBER, float(e.value), None, None) if isinstance(e.value, (int, float)) else (cells.TEXT, None, str(e.value), None)
 
 
+@dataclass
+class Snapshot:
+    """The sheets and names before or after a structural step. Frames are plans, so a snapshot holds no rows."""
+
+    sheets: dict[str, Sheet]
+    names: dict[str, str]
+
+
 class Workbook:
     def __init__(self, frames: dict[str, DataFrame]):
         self.sheets = {k: Sheet(k, f if ROW in f.columns else with_row(f)) for k, f in frames.items()}
         self.names: dict[str, str] = {}
         self.graph = graph.Graph()
         self.pivots: list = []
-        self.done: list[dict[tuple[str, int, int], tuple[Edit | None, Edit | None]]] = []
+        self.done: list[dict[tuple[str, int, int], tuple[Edit | None, Edit | None]] | tuple[Snapshot, Snapshot]] = []
         self.undone: list = []
 
     # -- formulas
@@ -173,21 +183,22 @@ class Workbook:
         return [*changed, *[c for c in order if c not in changed]]
 
     def undo(self) -> bool:
-        if not self.done:
-            return False
-        step = self.done.pop()
-        self._set({c: a for c, (a, _) in step.items()})
-        self.undone.append(step)
-        self._recalculate(list(step))
-        return True
+        return self._step(self.done, self.undone, 0)
 
     def redo(self) -> bool:
-        if not self.undone:
+        return self._step(self.undone, self.done, 1)
+
+    def _step(self, here: list, there: list, side: int) -> bool:
+        """Take the last step of one list back (side 0) or on (side 1), and put it on the other list."""
+        if not here:
             return False
-        step = self.undone.pop()
-        self._set({c: b for c, (_, b) in step.items()})
-        self.done.append(step)
-        self._recalculate(list(step))
+        step = here.pop()
+        there.append(step)
+        if isinstance(step, tuple):
+            self._restore(step[side])
+        else:
+            self._set({c: both[side] for c, both in step.items()})
+            self._recalculate(list(step))
         return True
 
     def trace(self, sheet: str, at: str) -> tuple[list[graph.Box], list[graph.Cell]]:
@@ -258,26 +269,136 @@ class Workbook:
 
     # -- structure
 
+    def _snapshot(self) -> Snapshot:
+        sheets = {k: replace(s, edits={c: replace(e) for c, e in s.edits.items()}, spills=dict(s.spills), merges=list(s.merges)) for k, s in self.sheets.items()}
+        return Snapshot(sheets, dict(self.names))
+
+    def _restore(self, at: Snapshot) -> None:
+        self.sheets = {k: replace(s, edits={c: replace(e) for c, e in s.edits.items()}, spills=dict(s.spills), merges=list(s.merges)) for k, s in at.sheets.items()}
+        self.names = dict(at.names)
+        self._rewrite(lambda f, home: f)
+
+    def _structural(self, sheet: str, change) -> None:
+        """One step of undo: ``change`` works on the sheet, and undo puts the state before it back."""
+        if self.sheets[sheet].locked:
+            raise PermissionError(f"sheet {sheet} is protected")
+        before = self._snapshot()
+        change(self.sheets[sheet])
+        self.done = [*self.done, (before, self._snapshot())][-UNDO_STEPS:]
+        self.undone = []
+
+    def _shift(self, s: Sheet, axis: str, at: int, count: int, delete: bool) -> None:
+        """Edits, merges, spills and formulas after rows or columns came or went. What lay on them wholly is gone; a merge that loses a part shrinks."""
+        k = 0 if axis == "row" else 1
+        place = lambda x: x - count if delete and x >= at + count else x + count if not delete and x >= at else x
+        gone = lambda x: delete and at <= x < at + count
+        moved = lambda cell: tuple(place(x) if j == k else x for j, x in enumerate(cell))
+        s.edits = {moved(c): e for c, e in s.edits.items() if not gone(c[k])}
+        s.spills = {moved(c): size for c, size in s.spills.items() if not gone(c[k])}
+        merges = []
+        for box in s.merges:
+            low, high = box[2 * k], box[2 * k + 1]
+            new = (min(at, low) if gone(low) else place(low), at - 1 if gone(high) else place(high))
+            if new[0] <= new[1]:
+                whole = (*new, *box[2:]) if k == 0 else (*box[:2], *new)
+                if whole[0] < whole[1] or whole[2] < whole[3]:
+                    merges.append(whole)
+        s.merges = merges
+        self._rewrite(lambda f, home: rewrite.edited(f, home or s.name, s.name, axis, at, count, delete))
+
     def insert_rows(self, sheet: str, at: int, count: int = 1) -> None:
-        """Empty rows at a place; edits and formulas move with their rows."""
-        s = self.sheets[sheet]
-        kept = s.base.withColumn(ROW, F.when(F.col(ROW) >= at, F.col(ROW) + count).otherwise(F.col(ROW)))
-        blank = s.base.sparkSession.range(at, at + count).select(*[F.col("id").alias(ROW) if c == ROW else F.lit(None).cast(s.base.schema[c].dataType).alias(c) for c in s.base.columns])
-        s.base = kept.unionByName(blank)
-        s.edits = {(r + count if r >= at else r, c): e for (r, c), e in s.edits.items()}
-        self._rewrite(lambda f, home: rewrite.edited(f, home or sheet, sheet, "row", at, count))
+        """Empty rows at a place; edits, formulas, merges and spills move with their rows."""
+
+        def change(s: Sheet) -> None:
+            kept = s.base.withColumn(ROW, F.when(F.col(ROW) >= at, F.col(ROW) + count).otherwise(F.col(ROW)))
+            blank = s.base.sparkSession.range(at, at + count).select(*[F.col("id").alias(ROW) if c == ROW else F.lit(None).cast(s.base.schema[c].dataType).alias(c) for c in s.base.columns])
+            s.base = kept.unionByName(blank)
+            self._shift(s, "row", at, count, False)
+
+        self._structural(sheet, change)
 
     def delete_rows(self, sheet: str, at: int, count: int = 1) -> None:
-        s = self.sheets[sheet]
-        s.base = s.base.where(~F.col(ROW).between(at, at + count - 1)).withColumn(ROW, F.when(F.col(ROW) >= at + count, F.col(ROW) - count).otherwise(F.col(ROW)))
-        s.edits = {(r - count if r >= at + count else r, c): e for (r, c), e in s.edits.items() if not at <= r < at + count}
-        self._rewrite(lambda f, home: rewrite.edited(f, home or sheet, sheet, "row", at, count, True))
+        def change(s: Sheet) -> None:
+            s.base = s.base.where(~F.col(ROW).between(at, at + count - 1)).withColumn(ROW, F.when(F.col(ROW) >= at + count, F.col(ROW) - count).otherwise(F.col(ROW)))
+            self._shift(s, "row", at, count, True)
+
+        self._structural(sheet, change)
+
+    def insert_columns(self, sheet: str, at: int, names: list[str]) -> None:
+        """Empty text columns at a place; edits, formulas, merges and spills move with their columns."""
+
+        def change(s: Sheet) -> None:
+            own = s.columns()
+            if set(names) & set(own):
+                raise ValueError("there are columns of these names")
+            fresh = [F.lit(None).cast("string").alias(n) for n in names]
+            s.base = s.base.select(ROW, *[F.col(f"`{c}`") for c in own[:at]], *fresh, *[F.col(f"`{c}`") for c in own[at:]])
+            self._shift(s, "column", at, len(names), False)
+
+        self._structural(sheet, change)
+
+    def delete_columns(self, sheet: str, at: int, count: int = 1) -> None:
+        def change(s: Sheet) -> None:
+            own = s.columns()
+            s.base = s.base.select(ROW, *[F.col(f"`{c}`") for c in own[:at] + own[at + count :]])
+            self._shift(s, "column", at, count, True)
+
+        self._structural(sheet, change)
 
     def move_columns(self, sheet: str, order: list[str]) -> None:
-        s = self.sheets[sheet]
-        if sorted(order) != sorted(s.columns()):
-            raise ValueError("the same columns, in another order, are asked for")
-        s.base = s.base.select(*([ROW] if ROW in s.base.columns else []), *order)
+        """The columns in another order; edits, formulas, spills and merges of one column go with them."""
+
+        def change(s: Sheet) -> None:
+            own = s.columns()
+            if sorted(order) != sorted(own):
+                raise ValueError("the same columns, in another order, are asked for")
+            to = {k: order.index(c) for k, c in enumerate(own)}
+            if any(m[2] != m[3] and [to[c] for c in range(m[2], m[3] + 1) if c in to] != [to[m[2]] + k for k in range(m[3] - m[2] + 1)] for m in s.merges if m[2] in to):
+                raise ValueError("a merge would be torn apart")
+            s.base = s.base.select(*([ROW] if ROW in s.base.columns else []), *[F.col(f"`{c}`") for c in order])
+            s.edits = {(r, to.get(c, c)): e for (r, c), e in s.edits.items()}
+            s.spills = {(r, to.get(c, c)): size for (r, c), size in s.spills.items()}
+            s.merges = [(a, b, to.get(c, c), to.get(c, c) + d - c) for a, b, c, d in s.merges]
+            self._rewrite(lambda f, home: rewrite.permuted(f, home or sheet, sheet, to))
+
+        self._structural(sheet, change)
+
+    def copy_block(self, sheet: str, area: str, to: str, cut: bool = False) -> None:
+        """Copy (or cut) the cells of an area, at most MOST_CELLS, to another place of the sheet.
+
+        Copied formulas move their relative references; cut ones keep theirs, and formulas that name cut cells follow.
+        """
+        rng, first = p.parse(area), p.cell(to)
+        rng = rng if isinstance(rng, p.Range) else p.Range(rng, rng)
+        rows, columns = range(rng.first.row, rng.last.row + 1), range(rng.first.col, rng.last.col + 1)
+        if len(rows) * len(columns) > MOST_CELLS:
+            raise ValueError(f"more than {MOST_CELLS} cells")
+        down, right = first.row - rng.first.row, first.col - rng.first.col
+
+        def change(s: Sheet) -> None:
+            names, kind, view = s.columns(), cells.kinds(s.base), s.view()
+            shown = {r[ROW]: r for r in view.where(F.col(ROW).between(rows[0], rows[-1])).select(ROW, *[F.col(f"`{names[c]}`") if cells.kind_of(cells.kinds(view)[names[c]]) != "date" else cells.serial(F.col(f"`{names[c]}`")).alias(names[c]) for c in columns if c < len(names)]).collect()}
+            put: dict[tuple[int, int], Edit] = {}
+            for r in rows:
+                for c in columns:
+                    own = s.edits.get((r, c))
+                    if own and own.formula:
+                        put[r + down, c + right] = Edit(formula=own.formula if cut else rewrite.filled(own.formula, down, right))
+                        continue
+                    v = shown[r][names[c]] if c < len(names) and r in shown else own.value if own else None
+                    if isinstance(v, tuple):
+                        v = {cells.NUMBER: v["num"], cells.TEXT: v["str"], cells.BOOL: v["num"] == 1}.get(v["tag"])
+                    put[r + down, c + right] = Edit(float(v) if isinstance(v, int) and not isinstance(v, bool) else v)
+            if cut:
+                s.edits.update({(r, c): Edit() for r in rows for c in columns})
+            s.edits.update(put)
+            if cut:
+                self._rewrite(lambda f, home: rewrite.cut_to(f, home or sheet, sheet, (rows[0], rows[-1], columns[0], columns[-1]), down, right))
+            else:
+                self._rewrite(lambda f, home: f)
+            self._recalculate([(sheet, r, c) for r, c in {*put, *((r, c) for r in rows for c in columns)}])
+
+        self._structural(sheet, change)
 
     # -- goal seek
 
