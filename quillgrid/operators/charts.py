@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import cells
@@ -64,9 +64,15 @@ def category(df: DataFrame, label: str, value: str | None, function: str = "Sum"
 
 
 def selection_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row over the selected cells: cells, numbers, total, least, greatest, mean."""
+    """One row over the selected cells: cells, numbers, total, least, greatest, mean. Booleans are 1 and 0; text is no number."""
     kind = cells.kinds(df)
-    xs = F.array(*[cells.numbers(F.col(c), kind[c]) for c in columns])
+
+    def number(c: str) -> Column:
+        k, x = cells.kind_of(kind[c]), F.col(c)
+        x = F.when(x["tag"].isin(cells.NUMBER, cells.BOOL), x["num"]) if k == "mixed" else x.cast("int").cast("double") if k == "bool" else cells.numbers(x, kind[c])
+        return F.when(~F.isnan(x), x)
+
+    xs = F.array(*[number(c) for c in columns])
     filled = F.array(*[F.col(c).isNotNull() for c in columns])
     one = df.select(F.size(F.filter(filled, lambda b: b)).alias("c"), F.filter(xs, lambda x: x.isNotNull()).alias("x"))
     per = one.select("c", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("s"), F.array_min("x").alias("lo"), F.array_max("x").alias("hi"))

@@ -6,16 +6,20 @@ import codecs
 import csv as pycsv
 import io
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import cells
 
 PREFIX = 131_072
 PREVIEW = 100
+#: The most fields of a record that a sheet takes.
+MOST_FIELDS = 16_384
 #: Delimiters tried, and byte order marks.
 DELIMITERS = (",", ";", "\t", "|")
 MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
@@ -128,33 +132,70 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read(spark: SparkSession, path: str, dialect: Dialect | None = None, max_rows: int | None = None, multiline: bool = True, columns: list[str] | None = None) -> DataFrame:
+def has_line_ends_in_quotes(spark: SparkSession, path: str, d: Dialect) -> bool:
+    """Whether a line has an odd number of quotes: then some field holds a line end, and files can't be cut at any line."""
+    lines = spark.read.option("encoding", d.encoding).text(path) if d.encoding == "utf-8" else spark.read.csv(path, schema="value string", sep="\u0001", quote="", encoding=d.encoding)
+    odd = (F.char_length("value") - F.char_length(F.replace("value", F.lit(d.quote), F.lit("")))) % 2 == 1
+    return not lines.where(odd).limit(1).isEmpty()
+
+
+def read(spark: SparkSession, path: str, dialect: Dialect | None = None, max_rows: int | None = None, multiline: bool | None = None, columns: list[str] | None = None) -> DataFrame:
     """A sheet: ``_row`` and a column for each field, typed where all its cells are of one kind, else mixed.
 
-    Files without line ends in quotes can be read with ``multiline=False``, which splits them over the cluster.
+    Files of a folder follow one another by name; each may have the header. Files are cut over the cluster unless
+    a field holds a line end (found by a pass over the lines; ``multiline`` says so beforehand). No field is lost: a
+    record with more fields than the first ones gets columns of its own.
     """
     d = dialect or sniff(spark, path)
+    if multiline is None:
+        multiline = has_line_ends_in_quotes(spark, path, d)
     rows = preview(prefix(spark, path), d)
     width = max((len(r) for r in rows), default=1)
-    names = columns or (unique_names([*rows[0], *[""] * (width - len(rows[0]))]) if d.header and rows else unique_names([""] * width))
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    raw = spark.read.csv(path, schema=schema, sep=d.delimiter, quote=d.quote, escape=d.quote, encoding=d.encoding, header=False, multiLine=multiline, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    from ..operators.positional import numbered
-
-    marked = raw.withColumn("_at", F.monotonically_increasing_id())
-    placed = numbered(marked, [F.col("_at")], "_row").drop("_at")
-    skip = d.skip_rows + int(d.header)
-    placed = placed.where(F.col("_row") >= skip).withColumn("_row", F.col("_row") - skip)
+
+    def raw(width: int, extra: str = "") -> DataFrame:
+        schema = ", ".join(f"c{k} string" for k in range(width)) + extra
+        return spark.read.csv(path, schema=schema, sep=d.delimiter, quote=d.quote, escape=d.quote, encoding=d.encoding, header=False, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="_odd", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+
+    # Records of another width come back whole; the most delimiters in one bounds the width.
+    marks = F.char_length("_odd") - F.char_length(F.replace("_odd", F.lit(d.delimiter), F.lit("")))
+    # All fields are asked for, as the parser checks the width of what it is asked for only.
+    most = raw(width, ", _odd string").agg(F.max(marks), *[F.count(f"c{k}") for k in range(width)]).first()[0]
+    wide = max(width, (most or 0) + 1)
+    if wide > MOST_FIELDS:
+        raise ValueError(f"a record of {wide} fields")
+    found = raw(wide).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    head = [*rows[0], *[""] * (wide - len(rows[0]))] if d.header and rows else [""] * wide
+    names = [*columns, *unique_names([*columns, *[""] * (wide - len(columns))])[len(columns) :]] if columns else unique_names(head)
+
+    # The splits of the files in order, each with its rows: as many as there are splits, whatever the rows.
+    splits = found.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    by_file, in_order = Window.partitionBy("_file").orderBy("_start"), Window.orderBy("_file", "_start")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("_file", "_start", "_low", before(by_file).alias("_in_file"), before(in_order).alias("_before"))
+    placed = found.join(offsets, ["_file", "_start"]).withColumn("_here", F.col("_at") - F.col("_low") + F.col("_in_file")).withColumn("_all", F.col("_at") - F.col("_low") + F.col("_before"))
+    first = offsets.agg(F.min("_file")).first()[0]
+    same = reduce(lambda x, y: x & y, [F.coalesce(F.trim(f"c{k}"), F.lit("")) == F.lit(n.strip()) for k, n in enumerate(head)])
+    lead = (F.col("_here") < d.skip_rows) | ((F.col("_here") == d.skip_rows) & ((F.col("_file") == first) | same) if d.header else F.lit(False))
+    skipped = placed.where(lead).groupBy("_file").agg(F.count("*").alias("_gone")).select("_file", F.coalesce(F.sum("_gone").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_gone"))
+    # A file without lead rows has as many gone before it as the file before it.
+    files = splits.select("_file").distinct().join(skipped, "_file", "left").select("_file", F.coalesce(F.last("_gone", ignorenulls=True).over(Window.orderBy("_file")), F.lit(0)).alias("_gone"))
+    kept = placed.where(~lead).join(F.broadcast(files), "_file").withColumn("_row", (F.col("_all") - F.col("_gone")).cast("long"))
+    kept = kept.select("_row", *[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
     if max_rows is not None:
-        placed = placed.where(F.col("_row") < max_rows)
-    return typed(placed, names)
+        kept = kept.where(F.col("_row") < max_rows)
+    return typed(kept, names, width)
 
 
-def typed(df: DataFrame, names: list[str]) -> DataFrame:
-    """Text fields as cells: one pass finds each column's kinds, and a column of one kind gets its native type."""
+def typed(df: DataFrame, names: list[str], sure: int | None = None) -> DataFrame:
+    """Text fields as cells: one pass finds each column's kinds, and a column of one kind gets its native type.
+
+    Of the columns past ``sure``, which a quoted delimiter may have suggested, those after the last one with a cell are left out.
+    """
     mixed = df.select("_row", *[cells.field(F.col(f"`{n}`")).alias(n) for n in names])
     tags = mixed.agg(*[F.collect_set(F.col(f"`{n}`")["tag"]).alias(f"k{j}") for j, n in enumerate(names)]).first()
     out = ["_row"]
+    full = [j for j in range(len(names)) if tags[j] and set(tags[j]) != {None}]
+    names = names[: max([sure if sure is not None else len(names), *(j + 1 for j in full)])]
     for j, n in enumerate(names):
         c, kinds = F.col(f"`{n}`"), set(tags[j])
         if kinds <= {cells.NUMBER}:
@@ -168,13 +209,28 @@ def typed(df: DataFrame, names: list[str]) -> DataFrame:
     return mixed.select(*out)
 
 
-def export(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", row: str = "_row", single: bool = False) -> None:
-    """As CSV in row order, quoted only where needed; ``single``: one part file."""
+def export(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", row: str = "_row", single: bool = False, line_end: str = "\n") -> None:
+    """As CSV in row order, quoted only where needed; ``single``: one part file.
+
+    It is written beside ``path`` and renamed when it is whole, so a reader never sees a part of it.
+    """
     kind = cells.kinds(df)
     shown = [cells.shown(F.col(f"`{c}`"), kind[c]).alias(c) for c in df.columns if c != row]
     ordered = df.orderBy(row) if row in df.columns else df
     out = ordered.select(*shown)
-    (out.coalesce(1) if single else out).write.csv(path, header=header, sep=delimiter, escape='"', emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    if line_end not in ("\n", "\r\n", "\r"):
+        raise ValueError("no line end")
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    try:
+        (out.coalesce(1) if single else out).write.csv(beside.toString(), header=header, sep=delimiter, escape='"', emptyValue="", lineSep=line_end, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        if not fs.rename(beside, target):
+            raise OSError(f"couldn't rename to {path}")
+    finally:
+        fs.delete(beside, True)
 
 
 def to_tsv(rows: list[list[object]]) -> str:

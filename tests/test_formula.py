@@ -49,7 +49,7 @@ def test_filled_down(sheets, formula, want):
 
 
 ARRAYS = [
-    ("=FILTER(A1:B5,A1:A5>30)", [(40.0, "delta"), (50.0, "echo")]), ("=SORT(A1:B5,1,-1)", [(50.0, "echo"), (40.0, "delta"), (30.0, "charlie"), (20.0, "bravo"), (10.0, "alpha")]), ("=SORTBY(B1:B5,D1:D5)", [("echo",), ("delta",), ("charlie",), ("bravo",), ("alpha",)]), ("=TAKE(A1:A5,-2)", [(40.0,), (50.0,)]), ("=DROP(A1:B5,3,1)", [("delta",), ("echo",)]), ("=UNIQUE(VSTACK(A1:A2,A1:A3))", None), ("=CHOOSECOLS(A1:D5,-1,1)", None), ("=SEQUENCE(2,2,5,5)", [(5.0, 10.0), (15.0, 20.0)]), ("=WRAPROWS(A1:A5,2)", [(10.0, 20.0, 0), (30.0, 40.0, 0), (50.0, None, 1)]), ("=TOCOL(A1:A2)", [(10.0,), (20.0,)]), ("=ARRAYTOTEXT(A1:B2)", [("10, alpha;20, bravo",)]), ("=CHOOSEROWS(A1:A5,1,-1,1)", [(10.0,), (50.0,), (10.0,)]),
+    ("=FILTER(A1:B5,A1:A5>30)", [(40.0, "delta"), (50.0, "echo")]), ("=SORT(A1:B5,1,-1)", [(50.0, "echo"), (40.0, "delta"), (30.0, "charlie"), (20.0, "bravo"), (10.0, "alpha")]), ("=SORTBY(B1:B5,D1:D5)", [("echo",), ("delta",), ("charlie",), ("bravo",), ("alpha",)]), ("=TAKE(A1:A5,-2)", [(40.0,), (50.0,)]), ("=DROP(A1:B5,3,1)", [("delta",), ("echo",)]), ("=UNIQUE(VSTACK(A1:A2,A1:A3))", None), ("=CHOOSECOLS(A1:D5,-1,1)", None), ("=SEQUENCE(2,2,5,5)", [(5.0, 10.0), (15.0, 20.0)]), ("=WRAPROWS(A1:A5,2)", [(10.0, 20.0, 0, None), (30.0, 40.0, 0, None), (50.0, None, 1, "#N/A")]), ("=TOCOL(A1:A2)", [(10.0,), (20.0,)]), ("=ARRAYTOTEXT(A1:B2)", [("10, alpha;20, bravo",)]), ("=CHOOSEROWS(A1:A5,1,-1,1)", [(10.0,), (50.0,), (10.0,)]),
 ]
 
 
