@@ -100,6 +100,20 @@ all_ as (select doc_id, any_value(n_words) as n_words, any_value(base.word_chars
 judged as (select *, n_words < {repetition.MIN_WORDS} or 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words as base_failed from all_)
 select *, not base_failed and 100 * dup_line_chars <= {repetition.LINE_LIMIT} * word_chars and {" and ".join(f"ngram_percent_{n} <= {repetition.NGRAM_LIMITS[n]}" for n in _GRAMS)} as kept from judged"""
 
+_OP2 = f"""with recursive d as (select doc_id, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, pos, regexp_extract_all(lower(line), {SPACED}) as w from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d) where regexp_matches(line, {SPACED})),
+c as (select w, row_number() over () as k, struct_pack(d := min(doc_id), p := arg_min(pos, struct_pack(d := doc_id, p := pos))) as at from l group by w),
+s as (select distinct k, w[i:i + {line_dedup.SHINGLE} - 1] as g from c, lateral (select unnest(range(1, greatest(len(w) - {line_dedup.SHINGLE} + 2, 2))) as i) as r),
+n as (select k, count(*) as n from s group by 1),
+o as (select x.k as a, y.k as b, count(*) as o from s as x join s as y on x.g = y.g and x.k <> y.k group by 1, 2),
+e as (select a, b from o join n as p on p.k = a join n as q on q.k = b where 100 * o >= {line_dedup.PERCENT} * (p.n + q.n - o)),
+reach as (select distinct a, a as b from e union select reach.a, e.b from reach join e on e.a = reach.b),
+first_ as (select reach.a as k, min(c.at) as start from reach join c on c.k = reach.b group by 1),
+gone as (select doc_id, pos, coalesce(first_.start, c.at) as start from l join c on c.w = l.w left join first_ on first_.k = c.k where struct_pack(d := doc_id, p := pos) <> coalesce(first_.start, c.at)),
+ids as (select doc_id, string_agg(m, ',' order by m) as match_ids from (select distinct doc_id, start.d as m from gone) group by 1)
+select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, coalesce(g.n, 0) as n_removed, coalesce(g.removed, '') as removed, coalesce(match_ids, '') as match_ids
+from d left join (select doc_id, count(*) as n, string_agg(pos, ',' order by pos) as removed from gone group by 1) as g using (doc_id) left join ids using (doc_id)"""
+
 _OP5 = f"""with d as (select doc_id, regexp_extract_all({LOWERED}, {LETTERS}) as w from documents),
 b as (select item_id, regexp_extract_all({LOWERED}, {LETTERS}) as w from benchmark),
 bw as (select distinct item_id, least(len(w), {phrase_index.WINDOW}) as n, w[i:i + {phrase_index.WINDOW} - 1] as g from b, lateral (select unnest(range(1, greatest(len(w) - {phrase_index.WINDOW} + 2, 2))) as i) as r where len(w) > 0),
@@ -125,4 +139,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(length(body) + case when before = role then length('<|im_next|>') else length('<|im_start|>') + length(head) + 1 end + case when after = role then 0 else length('<|im_end|>') + 1 end) as bigint) as formatted_chars from e group by 1"""
 
 #: op3 and op10 order by hashes that DuckDB lacks, op4 and op8 are models, op6 a tokenizer: these are tested against brute force, round trips or held-out rows.
-ORACLE_SQL = {"op1_repetition": _OP1, "op5_decontamination": _OP5, "op7_jaccard": _OP7, "op9_chat": _OP9}
+ORACLE_SQL = {"op1_repetition": _OP1, "op2_line_dedup": _OP2, "op5_decontamination": _OP5, "op7_jaccard": _OP7, "op9_chat": _OP9}
