@@ -10,8 +10,8 @@
    follow the shared token) and a bound on the overlap from bitmaps of token parities come first, all within the
    join; what passes is verified by the Jaccard index of the whole sets.
 5. Round one tests all classes of a token against two of them, the most copied one and the one with the smallest
-   number. Round two tests every remaining pair of a token, but those that round one linked with one and the same
-   class: they are in one group anyway. So a group of like lines costs no pairs of its own, and no link is lost.
+   number. What that links is one component. Round two tests every remaining pair of two components. Pairs inside
+   a component need no test, so a group of like lines costs no pairs of its own, and no link is lost.
 
 Lines that are equal or linked, directly or through others, form a group. The first line of a group (by doc_id,
 then text digest, then place) stays, the later ones are removed.
@@ -41,6 +41,11 @@ HOT, SALTS = 1024, 64
 NO_ID = -(1 << 63)
 
 
+def digest(words: str = "words") -> list[Column]:
+    """128 bits of a line's words, as h and g, by which copies find their class."""
+    return [F.xxhash64(words).alias("h"), F.xxhash64(F.lit("second"), F.col(words)).alias("g")]
+
+
 def doc_of(id_col: Column) -> Column:
     return F.coalesce(id_col.cast("long"), F.lit(NO_ID))
 
@@ -175,9 +180,7 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
     pairs = each.select(F.explode(F.array(*met)).alias("pair")).where("pair is not null").select("pair.*")
     first = verified(pairs, classes, steps, percent, "line-links")
 
-    # Lines with one label are linked with one line: the smallest that round one linked with them, or themselves.
-    labels = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-    labels = steps.keep(labels.select(F.col("a").alias("line"), F.least("a", "b").alias("label")), "line-labels")
+    labels = components.components(first).select(F.col("node").alias("line"), F.col("root").alias("label"))
 
     # Round two: what hasn't the label that most lines of a token have meets all others of the token.
     many = leads.where("k > 2").select("key", F.col("x.line").alias("x"), F.col("y.line").alias("y"))
@@ -192,8 +195,16 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
     fresh = (left < right) | (F.col("r_label") == F.col("r_main"))
     others = rest.join(side("r"), "key").where((F.col("l_label") != F.col("r_label")) & fresh & ~tested & plausible(of("l_"), of("r_"), percent))
     second = verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")), classes, steps, percent, "line-more-links")
-    groups = components.components(first.unionByName(second))
-    steps.drop("line-members", "line-leads", "line-labels", "line-named", "line-links", "line-more-links")
+    # Round two joins whole components of round one: only their representatives need another run.
+    up = lambda c: F.coalesce(F.col(f"label_{c}"), F.col(c)).alias(c)
+    named_links = second
+    for c in "ab":
+        named_links = named_links.join(labels.select(F.col("line").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    above = components.components(named_links.select(up("a"), up("b"))).select(F.col("node").alias("label"), F.col("root").alias("top"))
+    below = labels.join(above, "label", "left").select(F.col("line").alias("node"), F.coalesce("top", "label").alias("root"))
+    alone = above.join(labels.select(F.col("line").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("root"))
+    groups = steps.keep(below.unionByName(alone), "line-groups")
+    steps.drop("line-members", "line-leads", "line-named", "line-links", "line-more-links")
     return groups
 
 
@@ -204,31 +215,31 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct("doc", "mark", "pos")
     folded = lines.groupBy("words").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
     classes = steps.keep(folded.select(F.monotonically_increasing_id().alias("line"), "words", "at", "copies"), "line-classes")
-    roots = steps.keep(find_links(classes, steps, percent), "line-groups")
+    roots = find_links(classes, steps, percent)
 
     of_group = classes.select(F.col("line").alias("root"), "at").join(roots.select("root").distinct(), "root").unionByName(roots.join(classes.select(F.col("line").alias("node"), "at"), "node").select("root", "at"))
     starts = of_group.groupBy("root").agg(F.min("at").alias("start"))
     grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(starts, "root").select(F.col("node").alias("line"), "start")
     known = classes.join(grouped, "line", "left").select("words", "at", "copies", F.coalesce("start", "at").alias("start"))
     alone = known.where((F.col("copies") == 1) & (F.col("at") != F.col("start"))).select("at", "start")
-    repeated = steps.keep(known.where("copies > 1").select(F.sha2("words", 256).alias("digest"), F.xxhash64("words").alias("h"), "copies", "start"), "line-copies")
+    repeated = steps.keep(known.where("copies > 1").select(*digest(), "copies", "start"), "line-copies")
     alone = steps.keep(alone, "line-alone")
     steps.drop("line-classes", "line-groups")
 
     hot = [r[0] for r in repeated.orderBy(F.desc("copies"), "h").limit(HOT).select("h").collect()]
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = repeated.select("digest", "start", F.explode(salts).alias("salt"))
-    hashed = lines.select(place.alias("at"), F.explode(F.array(F.struct(F.sha2("words", 256).alias("digest"), F.xxhash64("words").alias("h")))).alias("v")).select("at", "v.digest", "v.h")
-    every = hashed.select("at", "digest", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
-    copies = every.join(salted, ["digest", "salt"]).where(F.col("at") != F.col("start")).select("at", "start")
+    salted = repeated.select("h", "g", "start", F.explode(salts).alias("salt"))
+    hashed = lines.select(place.alias("at"), F.explode(F.array(F.struct(*digest()))).alias("v")).select("at", "v.h", "v.g")
+    every = hashed.select("at", "h", "g", F.when(is_hot, F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    copies = every.join(salted, ["h", "g", "salt"]).where(F.col("at") != F.col("start")).select("at", "start")
     return copies.unionByName(alone).select("at.*", F.nullif(F.col("start.doc"), F.lit(NO_ID)).alias("match_doc"), F.col("start.pos").alias("match_pos"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """Each row's id, n_lines, n_removed, removed (places from 0) and the ids of its removed lines' group starts (``match_ids``, sorted)."""
     gone = find_matches(docs, id_col, text_col, percent, min_words).groupBy("doc", "mark").agg(F.sort_array(F.collect_set("pos")).alias("removed"), F.sort_array(F.collect_set("match_doc")).alias("match_ids"))
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("row_mark"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("row_mark"), F.coalesce(F.octet_length(docs[text_col]) - F.octet_length(F.replace(docs[text_col], F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = rows.join(gone, (doc_of(F.col("id")) == F.col("doc")) & (F.col("row_mark") == F.col("mark")), "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return joined.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none("int")).alias("removed"), F.coalesce("match_ids", none("bigint")).alias("match_ids"))
