@@ -549,11 +549,16 @@ class Scalar(Compiler):
         return F.col(f"_a{self.n}")
 
     def result(self, node) -> DataFrame:
-        v = self.settled(node)
+        return self.results([node]).select(F.col("v0").alias("value"), F.col("e0").alias("error"))
+
+    def results(self, nodes: list) -> DataFrame:
+        """Several formulas in one row: v0, e0, v1, e1, ...; what they take from one sheet is one pass over it."""
+        vs = [self.settled(node) for node in nodes]
         spark = next(iter(self.sheets.frames.values())).sparkSession
         frames = [self.sheets.frames[s].agg(*columns) for s, columns in self.pending.items()] + self.frames
         one = reduce(lambda a, b: a.crossJoin(b), frames) if frames else spark.range(1)  # each has one row
-        return one.select(v.col.alias("value"), (F.lit(None).cast("string") if v.err is None else v.err).alias("error"))
+        parts = [(v.col.alias(f"v{k}"), (F.lit(None).cast("string") if v.err is None else v.err).alias(f"e{k}")) for k, v in enumerate(vs)]
+        return one.select(*[c for pair in parts for c in pair])
 
     def cell(self, ref: p.Ref) -> V:
         (sheet,), columns, row, _ = self.span(ref)

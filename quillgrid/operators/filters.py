@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import cells
@@ -98,3 +98,31 @@ def collapse(df: DataFrame, groups: list[tuple[int, int, int, bool]], to_level:
     if any(not 1 <= level <= 8 for _, _, level, _ in groups):
         raise ValueError("an outline level is 1 to 8")
     return hide(df, [(a, b) for a, b, level, shut in groups if (shut if to_level is None else level >= to_level)], row)
+
+
+# -- ranks among visible rows
+
+#: Rows of a block whose visible rows are counted together.
+BLOCK = 1 << 17
+
+
+def rank_visible(visible: DataFrame, at: int, row: str = "_row") -> int:
+    """How many visible rows stand before the row ``at``."""
+    return visible.where(F.col(row) < at).count()
+
+
+def first_visible(visible: DataFrame, at: int, row: str = "_row") -> int | None:
+    """The first visible row from ``at`` on."""
+    return visible.where(F.col(row) >= at).agg(F.min(row)).first()[0]
+
+
+def nth_visible(visible: DataFrame, n: int, row: str = "_row", block: int = BLOCK) -> int | None:
+    """The visible row with ``n`` visible ones before it: blocks are counted, and only the one that holds it is sorted."""
+    counts = visible.groupBy(F.floor(F.col(row) / F.lit(block)).alias("_block")).agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_block")))
+    found = upto.where(F.col("_upto") > n).orderBy("_block").limit(1).first()
+    if n < 0 or found is None:
+        return None
+    inside = visible.where(F.col(row).between(found["_block"] * block, (found["_block"] + 1) * block - 1))
+    rows = inside.select(row).orderBy(row).limit(n - (found["_upto"] - found["_n"]) + 1)
+    return rows.agg(F.max(row)).first()[0]

@@ -14,12 +14,13 @@ from .. import cells
 from ..cells import NA
 from ..functions.text import glob_regex, has_glob
 
-#: Table rows up to which a table is broadcast.
-SMALL = 500_000
+#: Rows, and bytes of them as JSON, up to which a table is broadcast.
+SMALL, SMALL_BYTES = 500_000, 64 << 20
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    n, size = df.limit(SMALL + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if n <= SMALL and (size or 0) <= SMALL_BYTES else df
 
 
 def _folded(df: DataFrame, key: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_RUNS = 65_536
+STRIDE = 256
 
 
 class TooManyRuns(ValueError):
@@ -74,7 +75,8 @@ class Order:
 def displayed(df: DataFrame, order: Order, row: str = "_row", out: str = "display_row") -> DataFrame:
     """``df`` with each row's place on display; deleted rows are gone, fresh ones are empty.
 
-    The runs, at most MOST_RUNS, are one sorted array in the plan; a row finds its run by its place in it.
+    The runs, at most MOST_RUNS, are one sorted array that all rows see. A row looks at every STRIDE-th start, then at
+    the runs of one stride.
     """
     spark, at, table = df.sparkSession, 0, []
     for first, n in order.runs:
@@ -82,8 +84,11 @@ def displayed(df: DataFrame, order: Order, row: str = "_row", out: str = "displa
         at += n
     runs = spark.createDataFrame(sorted(table), "_first long, _n long, _at long")
     packed = runs.agg(F.array_sort(F.collect_list(F.struct("_first", "_n", "_at"))).alias("_runs"))
+    packed = packed.withColumn("_starts", F.transform(F.filter("_runs", lambda r, k: k % STRIDE == 0), lambda r: r["_first"]))
     fresh = spark.range(order.height, order.height + order.fresh).select(*[F.col("id").alias(row) if c == row else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
-    own = F.element_at(F.filter("_runs", lambda r: (r["_first"] <= F.col(row)) & (F.col(row) < r["_first"] + r["_n"])), 1)
     joined = df.unionByName(fresh).join(F.broadcast(packed))
-    placed = joined.withColumn("_run", F.when(F.size(F.filter("_runs", lambda r: (r["_first"] <= F.col(row)) & (F.col(row) < r["_first"] + r["_n"]))) > 0, own))
-    return placed.where("_run is not null").withColumn(out, F.col("_run")["_at"] + F.col(row) - F.col("_run")["_first"]).drop("_run", "_runs")
+    stride = F.greatest(F.size(F.filter("_starts", lambda s: s <= F.col(row))) - 1, F.lit(0))
+    near = joined.withColumn("_near", F.filter(F.slice("_runs", stride * STRIDE + 1, F.lit(STRIDE)), lambda r: r["_first"] <= F.col(row)))
+    placed = near.withColumn("_run", F.get("_near", F.size("_near") - 1))
+    inside = placed.where(F.col(row) < F.col("_run")["_first"] + F.col("_run")["_n"])
+    return inside.withColumn(out, F.col("_run")["_at"] + F.col(row) - F.col("_run")["_first"]).drop("_run", "_runs", "_starts", "_near")

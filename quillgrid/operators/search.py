@@ -81,6 +81,26 @@ def replace_all(df: DataFrame, query: Query, replacement: str, columns: list[str
     return out, edits
 
 
+def replace_one(df: DataFrame, query: Query, replacement: str, columns: list[str], at: int, column: str, row: str = "_row") -> tuple[DataFrame, DataFrame]:
+    """As ``replace_all``, in one cell."""
+    if column not in columns:
+        raise KeyError(column)
+    _, edits = replace_all(df.where(F.col(row) == at), query, replacement, [column], row)
+    return df.withColumn(column, F.when(F.col(row) == at, rewritten(F.col(column), query, replacement)).otherwise(F.col(column))), edits
+
+
+def replace_formulas(edits: dict, query: Query, replacement: str, protected=lambda cell: False) -> dict:
+    """New formula texts of the cells whose formula matches, by cell; protected cells are passed over."""
+    flags = 0 if query.case else re.IGNORECASE
+    pattern = re.compile(query.pattern().removeprefix("(?i)").replace(r"\z", r"\Z"), flags)
+    new = re.sub(r"\$(\d)", r"\\\1", replacement) if query.regex else replacement.replace("\\", "\\\\")
+    out = {}
+    for cell, e in edits.items():
+        if e.formula and not protected(cell) and (text := pattern.sub(new, e.formula)) != e.formula:
+            out[cell] = text
+    return out
+
+
 def suggestions(df: DataFrame, column: str, prefix: str, row: str = "_row", around: int = 0, scan: int = 20_000, most: int = 8) -> list[str]:
     """Autocomplete: distinct texts near a row that begin with the prefix, case ignored."""
     near = df.where(F.col(row).between(around - scan, around + scan)).select(column).where(F.lower(column).startswith(prefix.lower())).distinct()

@@ -10,6 +10,8 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from html import escape
+from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -241,3 +243,54 @@ def to_tsv(rows: list[list[object]]) -> str:
 
 def from_tsv(text: str) -> list[list[str]]:
     return [r for r in pycsv.reader(io.StringIO(text), delimiter="\t")]
+
+
+class _Cells(HTMLParser):
+    """Rows and cells of the first table of a page, or, without one, its lines."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[list[str]] = []
+        self.loose, self.inside, self.done = "", False, False
+
+    def handle_starttag(self, tag, attrs):
+        if self.done:
+            return
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th"):
+            self.rows = self.rows or [[]]
+            self.rows[-1].append("")
+            self.inside = True
+        elif tag == "br":
+            self.handle_data("\n")
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th"):
+            self.inside = False
+        elif tag == "table" and self.rows:
+            self.done = True
+        elif tag in ("p", "div"):
+            self.handle_data("\n")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.rows[-1][-1] += data
+        elif not self.done:
+            self.loose += data
+
+
+def to_html(rows: list[list[object]]) -> str:
+    """Clipboard HTML: a table of the cells."""
+    cell = lambda v: "<td>" + escape("" if v is None else str(v)).replace("\n", "<br>") + "</td>"
+    return "<table>" + "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows) + "</table>"
+
+
+def from_html(page: str) -> list[list[str]]:
+    """The cells of clipboard HTML: of its first table, else its lines as rows of one cell."""
+    found = _Cells()
+    found.feed(page)
+    found.close()
+    if found.rows:
+        return [[c.strip(" \t\r\n\xa0") for c in r] for r in found.rows]
+    return [[x.strip()] for x in found.loose.split("\n") if x.strip()]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,33 @@ def edits_from_json(rows: list) -> dict:
     from ..workbook import Edit
 
     return {(r, c): Edit(v, f, e) for r, c, v, f, e in rows}
+
+
+class Autosave:
+    """A copy of the unsaved state beside the sidecar, written at most every ``every`` seconds, for recovery after a crash."""
+
+    def __init__(self, spark: SparkSession, path: str, base: DataFrame, every: float = 30.0, clock=time.monotonic):
+        self.spark, self.path, self.base, self.every, self.clock = spark, path + ".autosave", base, every, clock
+        self.last: float | None = None
+
+    def note(self, content: Callable[[], dict]) -> bool:
+        """After an edit: writes the state if the last copy is old enough. ``content`` is only asked for then."""
+        now = self.clock()
+        if self.last is not None and now - self.last < self.every:
+            return False
+        save(self.spark, self.path, self.base, content())
+        self.last = now
+        return True
+
+    def recover(self) -> dict | None:
+        """The state of a session that ended without saving, or None. A copy that belongs to other data is left alone."""
+        try:
+            return load(self.spark, self.path, self.base)
+        except StaleSidecar:
+            return None
+
+    def saved(self) -> None:
+        """After a real save the copy goes."""
+        fs, p = _fs(self.spark, self.path)
+        fs.delete(p, False)
+        self.last = None

@@ -17,6 +17,9 @@ ROW = "_row"
 UNDO_STEPS = 500
 #: Cells that a copy may hold.
 MOST_CELLS = 100_000
+ALLOWANCES = {"rows", "columns", "merges"}
+#: Formulas that one job works out at most.
+AT_ONCE = 50
 #: Fixed values of goal seek: steps, tolerance, and where it counts as diverged.
 SEEK_STEPS, SEEK_TOLERANCE, SEEK_LIMIT = 100, 1e-6, 1e12
 
@@ -60,6 +63,9 @@ class Sheet:
     spills: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
     merges: list[tuple[int, int, int, int]] = field(default_factory=list)
     locked: bool = False
+    unlocked: list[tuple[int, int, int, int]] = field(default_factory=list)
+    allow: set[str] = field(default_factory=set)
+    names: dict[str, str] = field(default_factory=dict)
 
     def columns(self) -> list[str]:
         return [c for c in self.base.columns if c != ROW]
@@ -68,13 +74,13 @@ class Sheet:
         """The base with the edits over it: one broadcast join on the edited rows, none without edits."""
         if not self.edits:
             return self.base
-        names, spark = self.columns(), self.base.sparkSession
-        kind = cells.kinds(self.base)
+        spark, base = self.base.sparkSession, self._widened()
+        names, kind = [c for c in base.columns if c != ROW], cells.kinds(base)
         by_column: dict[int, list] = {}
         for (r, c), e in self.edits.items():
             if c < len(names):
                 by_column.setdefault(c, []).append((r, e))
-        out = self.base
+        out = base
         for c, entries in by_column.items():
             name = names[c]
             k = cells.kind_of(kind[name])
@@ -90,7 +96,21 @@ class Sheet:
                 over = spark.createDataFrame([(r, float(v) if sql == "double" and v is not None else v) for r, v in rows], f"_r long, _v {sql}")
                 plain = F.col(f"`{name}`").cast(sql) if k != "date" else cells.serial(F.col(f"`{name}`"))
             out = out.join(F.broadcast(over.withColumn("_there", F.lit(True))), F.col(ROW) == F.col("_r"), "left")
-            out = out.withColumn(name, F.when(F.col("_there"), F.col("_v")).otherwise(plain)).select(*self.base.columns)
+            out = out.withColumn(name, F.when(F.col("_there"), F.col("_v")).otherwise(plain)).select(*base.columns)
+        return out
+
+    def _widened(self) -> DataFrame:
+        """The base with empty columns as far as edits reach, of the kind that their edits are."""
+        own, out = self.columns(), self.base
+        taken = {c.lower() for c in own}
+        for c in range(len(own), max((c for _, c in self.edits), default=-1) + 1):
+            values = [e.value for (_, k), e in self.edits.items() if k == c and e.value is not None]
+            sql = "string" if values and all(isinstance(v, str) for v in values) else "boolean" if values and all(isinstance(v, bool) for v in values) else "double"
+            name = p.column_letters(c)
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            out = out.withColumn(name, F.lit(None).cast(sql))
         return out
 
     @staticmethod
@@ -127,7 +147,7 @@ class Workbook:
         return compiler.Sheets({k: s.view() for k, s in self.sheets.items()}, ROW)
 
     def evaluate(self, formula: str, home: str) -> DataFrame:
-        return compiler.evaluate(formula, self.frames(), home, self.names)
+        return compiler.evaluate(formula, self.frames(), home, self.names_for(home))
 
     def value(self, formula: str, home: str):
         """The value, or the error's spelling."""
@@ -135,10 +155,10 @@ class Workbook:
         return r["error"] or r["value"]
 
     def fill_down(self, formula: str, home: str, out: str, anchor: int = 0) -> DataFrame:
-        return compiler.fill_down(formula, self.frames(), home, out, anchor, self.names)
+        return compiler.fill_down(formula, self.frames(), home, out, anchor, self.names_for(home))
 
     def array(self, formula: str, home: str) -> DataFrame:
-        return arrays.Arrays(self.frames(), home, self.names).frame(formula)
+        return arrays.Arrays(self.frames(), home, self.names_for(home)).frame(formula)
 
     # -- edits
 
@@ -149,9 +169,9 @@ class Workbook:
 
     def put_many(self, edits: dict[graph.Cell, Edit]) -> list[graph.Cell]:
         """A batch is one step of undo."""
-        for s in {c[0] for c in edits}:
-            if self.sheets[s].locked:
-                raise PermissionError(f"sheet {s} is protected")
+        for c in edits:
+            if not self.may_edit(*c):
+                raise PermissionError(f"sheet {c[0]} is protected")
         before = {c: self.sheets[c[0]].edits.get((c[1], c[2])) for c in edits}
         self._set(edits)
         self.done = [*self.done, {c: (before[c], e) for c, e in edits.items()}][-UNDO_STEPS:]
@@ -165,23 +185,38 @@ class Workbook:
             else:
                 self.sheets[s].edits[r, c] = e
             if e is not None and e.formula:
-                self.graph.set((s, r, c), graph.boxes(e.formula, s, self.names, list(self.sheets)))
+                self.graph.set((s, r, c), graph.boxes(e.formula, s, self.names_for(s), list(self.sheets)))
             else:
                 self.graph.remove((s, r, c))
 
-    def _recalculate(self, changed: list[graph.Cell]) -> list[graph.Cell]:
+    def _recalculate(self, changed: list[graph.Cell], also: list[graph.Cell] = ()) -> list[graph.Cell]:
+        """Work out what depends on the changed cells, and first the formulas ``also`` themselves."""
         order, cyclic = self.graph.order(changed)
+        order = [*[c for c in also if c not in order and c not in cyclic], *order]
         for s, r, c in cyclic:
             e = self.sheets[s].edits[r, c]
             e.value, e.error = None, cells.CIRC
-        for s, r, c in order:
-            e = self.sheets[s].edits[r, c]
-            got = self.evaluate(e.formula, s).first()
-            e.value, e.error = got["value"], got["error"]
+        batch: list[graph.Cell] = []
+        waiting: set[graph.Cell] = set()
+        for cell in order:
+            if batch and (cell in waiting or cell[0] != batch[0][0] or len(batch) == AT_ONCE):
+                self._evaluate(batch)
+                batch, waiting = [], set()
+            batch.append(cell)
+            waiting.update(self.graph.dependents(cell))
+        if batch:
+            self._evaluate(batch)
         for pivot in self.pivots:
             pivot.note_edit()
         return [*changed, *[c for c in order if c not in changed]]
 
+    def _evaluate(self, batch: list[graph.Cell]) -> None:
+        """Formulas of one sheet that don't depend on one another, in one job."""
+        edits = [self.sheets[s].edits[r, c] for s, r, c in batch]
+        got = compiler.Scalar(self.frames(), batch[0][0]).results([p.parse(e.formula, self.names_for(batch[0][0])) for e in edits]).first()
+        for k, e in enumerate(edits):
+            e.value, e.error = got[2 * k], got[2 * k + 1]
+
     def undo(self) -> bool:
         return self._step(self.done, self.undone, 0)
 
@@ -226,6 +261,8 @@ class Workbook:
 
     def merge(self, sheet: str, area: str) -> None:
         """The first cell holds the value; an overlap is refused."""
+        if self.sheets[sheet].locked and "merges" not in self.sheets[sheet].allow:
+            raise PermissionError(f"sheet {sheet} is protected")
         rng = p.parse(area)
         box = (rng.first.row, rng.last.row, rng.first.col, rng.last.col)
         if any(not (m[1] < box[0] or m[0] > box[1] or m[3] < box[2] or m[2] > box[3]) for m in self.sheets[sheet].merges):
@@ -234,10 +271,60 @@ class Workbook:
 
     # -- names and sheets
 
-    def define(self, name: str, formula: str) -> None:
+    def define(self, name: str, formula: str, sheet: str | None = None) -> None:
+        """A name for a formula, in the whole workbook or on one sheet, where it goes before the workbook's."""
         if not re.fullmatch(r"[A-Za-z_\\][\w.]*", name) or p.CELL.fullmatch(name) or name.upper() in ("TRUE", "FALSE", "R", "C"):
             raise ValueError(f"not a name: {name}")
-        self.names[name.upper()] = formula
+        (self.names if sheet is None else self.sheets[sheet].names)[name.upper()] = formula
+        self._renamed()
+
+    def names_for(self, sheet: str) -> dict[str, str]:
+        """The names that a formula on the sheet sees."""
+        return {**self.names, **self.sheets[sheet].names} if sheet in self.sheets else self.names
+
+    def rename_name(self, old: str, new: str, sheet: str | None = None) -> None:
+        """Formulas that use the name follow; a sheet's own name is left where another sheet means the workbook's."""
+        scope = self.names if sheet is None else self.sheets[sheet].names
+        formula = scope.pop(old.upper())
+        try:
+            self.define(new, formula, sheet)
+        except ValueError:
+            scope[old.upper()] = formula
+            raise
+        word = re.compile(r'("(?:[^"]|"")*")|(?<![\w.!$])' + re.escape(old) + r"(?![\w.(!])", re.I)
+        change = lambda f: word.sub(lambda m: m[1] or new, f)
+        own = lambda home: home == sheet if sheet is not None else old.upper() not in self.sheets[home].names if home in self.sheets else True
+        self._rewrite(lambda f, home: change(f) if own(home) else f)
+
+    def delete_name(self, name: str, sheet: str | None = None) -> list[graph.Cell]:
+        """Formulas that use it are worked out again: they are #NAME? or, where a sheet's name went, take the workbook's. Returns them."""
+        del (self.names if sheet is None else self.sheets[sheet].names)[name.upper()]
+        word = re.compile(r"(?<![\w.!$])" + re.escape(name) + r"(?![\w.(!])", re.I)
+        self._renamed()
+        used = [(k, r, c) for k, s in self.sheets.items() for (r, c), e in s.edits.items() if e.formula and word.search(re.sub(r'"(?:[^"]|"")*"', "", e.formula))]
+        return self._recalculate(used, used)
+
+    def _renamed(self) -> None:
+        self._rewrite(lambda f, home: f)
+
+    # -- protection
+
+    def protect(self, sheet: str, open_areas: list[str] = (), allow: set[str] = frozenset()) -> None:
+        """Lock a sheet but for some areas. ``allow``: of ``rows``, ``columns``, ``merges`` what may still be changed."""
+        if unknown := set(allow) - ALLOWANCES:
+            raise ValueError(f"no such allowances: {sorted(unknown)}")
+        s = self.sheets[sheet]
+        areas = [p.parse(a) for a in open_areas]
+        s.locked, s.allow = True, set(allow)
+        s.unlocked = [(a.first.row, a.last.row, a.first.col, a.last.col) if isinstance(a, p.Range) else (a.row, a.row, a.col, a.col) for a in areas]
+
+    def unprotect(self, sheet: str) -> None:
+        s = self.sheets[sheet]
+        s.locked, s.unlocked, s.allow = False, [], set()
+
+    def may_edit(self, sheet: str, row: int, col: int) -> bool:
+        s = self.sheets[sheet]
+        return not s.locked or any(a <= row <= b and c <= col <= d for a, b, c, d in s.unlocked)
 
     def add_sheet(self, name: str, df: DataFrame) -> None:
         if name.lower() in (s.lower() for s in self.sheets):
@@ -261,26 +348,28 @@ class Workbook:
     def _rewrite(self, change, moved: dict[str, str] | None = None) -> None:
         self.graph = graph.Graph()
         self.names = {k: change(f, "") for k, f in self.names.items()}
+        for k, s in self.sheets.items():
+            s.names = {n: change(f, k) for n, f in s.names.items()}
         for k, s in self.sheets.items():
             for (r, c), e in s.edits.items():
                 if e.formula:
                     e.formula = change(e.formula, k)
-                    self.graph.set((k, r, c), graph.boxes(e.formula, k, self.names, list(self.sheets)))
+                    self.graph.set((k, r, c), graph.boxes(e.formula, k, self.names_for(k), list(self.sheets)))
 
     # -- structure
 
     def _snapshot(self) -> Snapshot:
-        sheets = {k: replace(s, edits={c: replace(e) for c, e in s.edits.items()}, spills=dict(s.spills), merges=list(s.merges)) for k, s in self.sheets.items()}
+        sheets = {k: replace(s, edits={c: replace(e) for c, e in s.edits.items()}, spills=dict(s.spills), merges=list(s.merges), names=dict(s.names)) for k, s in self.sheets.items()}
         return Snapshot(sheets, dict(self.names))
 
     def _restore(self, at: Snapshot) -> None:
-        self.sheets = {k: replace(s, edits={c: replace(e) for c, e in s.edits.items()}, spills=dict(s.spills), merges=list(s.merges)) for k, s in at.sheets.items()}
+        self.sheets = {k: replace(s, edits={c: replace(e) for c, e in s.edits.items()}, spills=dict(s.spills), merges=list(s.merges), names=dict(s.names)) for k, s in at.sheets.items()}
         self.names = dict(at.names)
         self._rewrite(lambda f, home: f)
 
-    def _structural(self, sheet: str, change) -> None:
+    def _structural(self, sheet: str, change, allowance: str | None = None) -> None:
         """One step of undo: ``change`` works on the sheet, and undo puts the state before it back."""
-        if self.sheets[sheet].locked:
+        if self.sheets[sheet].locked and allowance not in self.sheets[sheet].allow:
             raise PermissionError(f"sheet {sheet} is protected")
         before = self._snapshot()
         change(self.sheets[sheet])
@@ -315,14 +404,14 @@ class Workbook:
             s.base = kept.unionByName(blank)
             self._shift(s, "row", at, count, False)
 
-        self._structural(sheet, change)
+        self._structural(sheet, change, "rows")
 
     def delete_rows(self, sheet: str, at: int, count: int = 1) -> None:
         def change(s: Sheet) -> None:
             s.base = s.base.where(~F.col(ROW).between(at, at + count - 1)).withColumn(ROW, F.when(F.col(ROW) >= at + count, F.col(ROW) - count).otherwise(F.col(ROW)))
             self._shift(s, "row", at, count, True)
 
-        self._structural(sheet, change)
+        self._structural(sheet, change, "rows")
 
     def insert_columns(self, sheet: str, at: int, names: list[str]) -> None:
         """Empty text columns at a place; edits, formulas, merges and spills move with their columns."""
@@ -335,7 +424,7 @@ class Workbook:
             s.base = s.base.select(ROW, *[F.col(f"`{c}`") for c in own[:at]], *fresh, *[F.col(f"`{c}`") for c in own[at:]])
             self._shift(s, "column", at, len(names), False)
 
-        self._structural(sheet, change)
+        self._structural(sheet, change, "columns")
 
     def delete_columns(self, sheet: str, at: int, count: int = 1) -> None:
         def change(s: Sheet) -> None:
@@ -343,7 +432,7 @@ class Workbook:
             s.base = s.base.select(ROW, *[F.col(f"`{c}`") for c in own[:at] + own[at + count :]])
             self._shift(s, "column", at, count, True)
 
-        self._structural(sheet, change)
+        self._structural(sheet, change, "columns")
 
     def move_columns(self, sheet: str, order: list[str]) -> None:
         """The columns in another order; edits, formulas, spills and merges of one column go with them."""
@@ -361,7 +450,7 @@ class Workbook:
             s.merges = [(a, b, to.get(c, c), to.get(c, c) + d - c) for a, b, c, d in s.merges]
             self._rewrite(lambda f, home: rewrite.permuted(f, home or sheet, sheet, to))
 
-        self._structural(sheet, change)
+        self._structural(sheet, change, "columns")
 
     def copy_block(self, sheet: str, area: str, to: str, cut: bool = False) -> None:
         """Copy (or cut) the cells of an area, at most MOST_CELLS, to another place of the sheet.

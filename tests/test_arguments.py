@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from quillgrid.formula import arrays, compiler, parser, rewrite
 from quillgrid.functions import stats
-from quillgrid.operators import lookups, positional
-from quillgrid.sources import csv
+from quillgrid.operators import filters, lookups, positional, search, svg
+from quillgrid.sources import csv, sidecar
+from quillgrid.streaming import follow
 from quillgrid.workbook import Edit, Workbook
 
 
@@ -120,7 +121,7 @@ def test_columns_move_with_what_is_on_them(sheet):
     before = seen(sheet)
     sheet.move_columns("s", ["b", "a", "c"])
     assert sheet.sheets["s"].edits[1, 0].value == 7 and sheet.sheets["s"].edits[0, 3].formula == "=SUM(A1:A3)"
-    assert [(r[0], r[2], r[1], r[3]) for r in seen(sheet)] == before
+    assert [(r[0], r[2], r[1], *r[3:]) for r in seen(sheet)] == before
     assert sheet.undo() and seen(sheet) == before and sheet.sheets["s"].edits[0, 3].formula == "=SUM(B1:B3)"
     assert sheet.redo() and sheet.sheets["s"].edits[0, 3].formula == "=SUM(A1:A3)"
 
@@ -200,3 +201,93 @@ def test_edit_in_a_snapshot_is_its_own(sheet):
     sheet.insert_rows("s", 5)
     sheet.put("s", "B2", "8")
     assert sheet.undo() and sheet.sheets["s"].edits[1, 1] == Edit(7.0)
+
+
+def test_names_by_sheet(spark):
+    one = spark.createDataFrame([(0, 1.0)], "_row long, a double")
+    book = Workbook({"s": one, "t": one})
+    book.define("Rate", "=2")
+    book.define("Rate", "=3", "t")
+    book.put("s", "B1", '=Rate*10&"Rate"')
+    book.put("t", "B1", "=Rate*10")
+    assert book.sheets["s"].edits[0, 1].value == "20Rate" and book.sheets["t"].edits[0, 1].value == 30
+    book.rename_name("Rate", "Share")
+    assert book.sheets["s"].edits[0, 1].formula == '=Share*10&"Rate"' and book.sheets["t"].edits[0, 1].formula == "=Rate*10"
+    assert book.delete_name("Rate", "t") == [("t", 0, 1)] and book.sheets["t"].edits[0, 1].error == "#NAME?" or book.sheets["t"].edits[0, 1].error == "#VALUE!"
+
+
+def test_protection(sheet):
+    sheet.protect("s", ["A1:B2"], {"rows"})
+    sheet.put("s", "A1", "5")
+    with pytest.raises(PermissionError):
+        sheet.put("s", "C1", "5")
+    sheet.insert_rows("s", 3)
+    with pytest.raises(PermissionError):
+        sheet.delete_columns("s", 0)
+    with pytest.raises(PermissionError):
+        sheet.merge("s", "A1:B1")
+    with pytest.raises(ValueError):
+        sheet.protect("s", [], {"everything"})
+    sheet.unprotect("s")
+    sheet.put("s", "C1", "5")
+
+
+def test_formulas_are_worked_out_in_batches(sheet, monkeypatch):
+    jobs = []
+    evaluate = Workbook._evaluate
+    monkeypatch.setattr(Workbook, "_evaluate", lambda self, batch: jobs.append(len(batch)) or evaluate(self, batch))
+    sheet.put_many({("s", k, 5): Edit(formula=f"=B{k + 1}*2") for k in range(5)} | {("s", 0, 6): Edit(formula="=F1+F2")})
+    assert jobs[-2:] == [5, 1] or sum(jobs) == 6 and len(jobs) == 2
+    assert sheet.sheets["s"].edits[1, 5].value == 14 and sheet.sheets["s"].edits[0, 6].value == 14
+
+
+def test_bridge(sheet, tmp_path):
+    bridge = follow.Bridge(sheet, "s")
+    assert bridge.run("# nothing") is None
+    bridge.run("put A1 42")
+    assert bridge.run("get A1+1") == 43
+    bridge.run("chart B1:C6 scatter A")
+    bridge.run("label Sales & more")
+    bridge.run("series first second")
+    drawn = bridge.run(f"svg {tmp_path}/c.svg")
+    assert drawn.count("<circle") == 12 and "Sales &amp; more" in drawn and "second" in drawn and (tmp_path / "c.svg").read_text() == drawn
+    with pytest.raises(ValueError):
+        bridge.run("dance A1")
+
+
+def test_svg_series():
+    spots = {"a": [(0, 1), (1, 10), (2, 100)], "b": [(0, 5), (1, -5)]}
+    assert svg.series(spots).count("<polyline") == 2
+    logged = svg.series(spots, "scatter", log_y=True)
+    assert logged.count("<circle") == 4
+
+
+def test_ranks_of_visible_rows(spark):
+    seen_rows = spark.range(1000).select(F.col("id").alias("_row")).where("_row % 3 = 1")
+    assert [filters.nth_visible(seen_rows, n, block=64) for n in (0, 5, 332, 333, -1)] == [1, 16, 997, None, None]
+    assert filters.rank_visible(seen_rows, 16) == 5 and filters.first_visible(seen_rows, 17) == 19 and filters.first_visible(seen_rows, 999) is None
+
+
+def test_clipboard_html():
+    rows = [["a<b", "line\nend"], ["", "1"]]
+    assert csv.from_html(csv.to_html(rows)) == rows
+    assert csv.from_html("<p>one</p><p>two</p>") == [["one"], ["two"]]
+
+
+def test_autosave(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/base")
+    base, now = spark.read.parquet(f"file://{tmp_path}/base"), [0.0]
+    auto = sidecar.Autosave(spark, f"file://{tmp_path}/book", base, 30.0, lambda: now[0])
+    assert auto.recover() is None and auto.note(lambda: {"n": 1}) and not auto.note(lambda: {"n": 2})
+    now[0] = 31.0
+    assert auto.note(lambda: {"n": 3}) and auto.recover() == {"n": 3}
+    auto.saved()
+    assert auto.recover() is None
+
+
+def test_replace_in_one_cell_and_in_formulas(spark):
+    df = spark.createDataFrame([(0, "red red"), (1, "red")], "_row long, a string")
+    out, edits = search.replace_one(df, search.Query("RED"), "blue", ["a"], 0, "a")
+    assert [r.a for r in out.orderBy("_row").collect()] == ["blue blue", "red"] and edits.count() == 1
+    cells_ = {(0, 0): Edit(formula="=SUM(A1:A3)"), (1, 0): Edit(formula="=SUM(B1:B3)"), (2, 0): Edit(3.0)}
+    assert search.replace_formulas(cells_, search.Query("sum"), "MAX", lambda c: c == (1, 0)) == {(0, 0): "=MAX(A1:A3)"}
