@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillgrid.plans import catalogue
+from quillgrid.plans import catalogue, formulas
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
@@ -33,7 +33,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(formulas.QUERIES))
 def test_same_as_sql(spark, con, name):
     rel = con.execute(catalogue.ORACLE_SQL[name])
     columns = [d[0] for d in rel.description]
