@@ -3,8 +3,8 @@
 Two bigram models, of toxic and of ordinary documents, are counted over all training rows. An expression
 counts once for each distinct text, so neither repeats inside a text nor copies of it pass for evidence. Both
 models back off to unigrams of their class, and these to one shared distribution by continuation counts. A
-count's discount is at least DISCOUNT, and at least LIFT times what the shared counts let expect in that class
-plus DOUBT standard deviations: only what goes beyond is a class's own, the rest is passed to the shared back-off.
+count's discount is at least DISCOUNT, and at least (2 - share) times what the shared counts let expect in that class
+(almost twice that for a rare class) plus DOUBT standard deviations: only what goes beyond is a class's own, the rest is passed to the shared back-off.
 It is larger than a Kneser-Ney discount from counts of counts, which leaves each class the mass of all it happens to
 hold; the README has the figures. For single words it must go beyond both in texts and in distinct contexts, which
 near copies don't multiply.
@@ -51,7 +51,7 @@ UNIT = 1 << 32
 CALIBRATION_ROWS = 50_000
 #: Labels up to this number are broadcast to the documents; beyond it both are shuffled.
 BROADCAST_LABELS = 2_000_000
-DISCOUNT, DOUBT, LIFT = 0.75, 2.0, 2.0
+DISCOUNT, DOUBT = 0.75, 2.0
 #: Expressions that a task counts at once.
 GATHER = 2_000_000
 
@@ -100,9 +100,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w / scale
 
 
-def discounted(count: Column, expected: Column) -> Column:
-    """What is left of a count; ``expected``: what the shared counts let expect."""
-    return F.greatest(count - F.greatest(F.lit(DISCOUNT), LIFT * expected + DOUBT * F.sqrt(expected + 1)), F.lit(0.0))
+def discounted(count: Column, share: Column, total: Column) -> Column:
+    """What is left of a class's count; ``share`` of the shared count ``total`` is what it is expected to be."""
+    expected = share * total
+    return F.greatest(count - F.greatest(F.lit(DISCOUNT), (2 - share) * expected + DOUBT * F.sqrt(expected + 1)), F.lit(0.0))
 
 
 def count_expressions(train: DataFrame, words: bool) -> DataFrame:
@@ -154,8 +155,8 @@ def word_model(words: DataFrame, pairs: DataFrame) -> DataFrame:
     df = words.join(after, "second", "left").fillna(0)
     for c, x in zip(CLASSES, sums, strict=True):
         share = F.lit(x / sum(sums))
-        in_texts = discounted(F.col(c), share * (F.col("toxic") + F.col("ordinary")))
-        in_contexts = discounted(F.col(f"after_{c}"), share * (F.col("after_toxic") + F.col("after_ordinary")))
+        in_texts = discounted(F.col(c), share, F.col("toxic") + F.col("ordinary"))
+        in_contexts = discounted(F.col(f"after_{c}"), share, F.col("after_toxic") + F.col("after_ordinary"))
         df = df.withColumn(f"own_{c}", F.least(in_texts, in_contexts) / F.lit(x))
     df = scratch.keep(df.select("second", "types", *[f"own_{c}" for c in CLASSES]), "word-model")
     rest = 1 - max(x or 0 for x in df.agg(*[F.sum(f"own_{c}") for c in CLASSES]).first())
@@ -174,8 +175,8 @@ def pair_model(pairs: DataFrame, single: DataFrame) -> DataFrame:
     df = pairs.where((F.col("toxic") + F.col("ordinary") >= LEAST_PAIRS) & (F.greatest(*CLASSES) > DOUBT)).join(seen, "first")
     at_least = {c: F.greatest(F.col(f"seen_{c}"), F.lit(0.5)) for c in CLASSES}
     for c in CLASSES:
-        expected = at_least[c] / (at_least["toxic"] + at_least["ordinary"]) * (F.col("toxic") + F.col("ordinary"))
-        df = df.withColumn(f"left_{c}", discounted(F.col(c), expected) / F.greatest(F.col(f"seen_{c}"), F.lit(1)))
+        share = at_least[c] / (at_least["toxic"] + at_least["ordinary"])
+        df = df.withColumn(f"left_{c}", discounted(F.col(c), share, F.col("toxic") + F.col("ordinary")) / F.greatest(F.col(f"seen_{c}"), F.lit(1)))
     df = scratch.keep(df.where(F.col("left_toxic") + F.col("left_ordinary") > 0).select("first", "second", *[f"left_{c}" for c in CLASSES]), "pair-model")
     weight = df.groupBy("first").agg(F.greatest(1 - F.greatest(*[F.sum(f"left_{c}") for c in CLASSES]), F.lit(1e-6)).alias("weight"))
     df = df.join(weight, "first").join(single, "second")

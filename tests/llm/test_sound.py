@@ -101,12 +101,12 @@ def plain_ratios(docs, labels):
             w = words_of(t)
             words[y].update(set(w))
             pairs[y].update(set(zip(w, w[1:], strict=False)))
-    left = lambda c, e: max(c - max(toxicity.DISCOUNT, toxicity.LIFT * e + toxicity.DOUBT * math.sqrt(e + 1)), 0.0)
+    left = lambda c, s, t: max(c - max(toxicity.DISCOUNT, (2 - s) * s * t + toxicity.DOUBT * math.sqrt(s * t + 1)), 0.0)
     every, all_pairs = {*words[0], *words[1]}, {*pairs[0], *pairs[1]}
     total = [max(sum(c.values()), 1) for c in words]
     types = Counter(b for _, b in all_pairs)
     after = [Counter(b for _, b in c) for c in pairs]
-    own = {w: [min(left(words[y][w], total[y] / sum(total) * (words[0][w] + words[1][w])), left(after[y][w], total[y] / sum(total) * (after[0][w] + after[1][w]))) / total[y] for y in (0, 1)] for w in every}
+    own = {w: [min(left(words[y][w], total[y] / sum(total), words[0][w] + words[1][w]), left(after[y][w], total[y] / sum(total), after[0][w] + after[1][w])) / total[y] for y in (0, 1)] for w in every}
     rest = 1 - max(sum(o[y] for o in own.values()) for y in (0, 1))
     p = {w: [o[y] + rest * (types[w] + 1) / (len(all_pairs) + len(every) + 1) for y in (0, 1)] for w, o in own.items()}
     seen = [Counter(), Counter()]
@@ -118,7 +118,7 @@ def plain_ratios(docs, labels):
         c = [pairs[y][a, b] for y in (0, 1)]
         if sum(c) >= toxicity.LEAST_PAIRS and max(c) > toxicity.DOUBT:
             at = [max(seen[y][a], 0.5) for y in (0, 1)]
-            m = [left(c[y], at[y] / sum(at) * sum(c)) / max(seen[y][a], 1) for y in (0, 1)]
+            m = [left(c[y], at[y] / sum(at), sum(c)) / max(seen[y][a], 1) for y in (0, 1)]
             if sum(m) > 0:
                 mass[a, b] = m
     weight = {a: max(1 - max(sum(m[y] for (x, _), m in mass.items() if x == a) for y in (0, 1)), 1e-6) for a, _ in mass}
