@@ -35,7 +35,12 @@ def cell_operators(t):
 
 @query("select event_id, abs(value - 50) as a, floor(value - 50) as b, round(exp(value / 100), 9) as c, round(ln(value), 9) as d, round(log10(value), 9) as e from events")
 def abs_int_exp_log(t):
-    return _filled(loose(t("events").select("event_id", "value")), "event_id", {"a": "=ABS(B1-50)", "b": "=INT(B1-50)", "c": "=EXP(B1/100)", "d": "=LN(B1)", "e": "=LOG10(B1)"}, round_to={"c": 9, "d": 9, "e": 9})
+    """LN and LOG10 of what isn't positive are #NUM!, which no column of doubles holds: there -Infinity stands for 0 and NaN for less, as in SQL."""
+    formulas = {"a": "=ABS(B1-50)", "b": "=INT(B1-50)", "c": "=EXP(B1/100)", "d": "=LN(B1)", "e": "=LOG10(B1)", "ln_error": "=LN(B1)", "log_error": "=LOG10(B1)", "number": "=ISNUMBER(B1)", "zero": "=B1=0"}
+    out = _filled(loose(t("events").select("event_id", "value")), "event_id", formulas, round_to={"c": 9, "d": 9, "e": 9})
+    shown = F.when(F.col("zero"), float("-inf")).otherwise(float("nan"))
+    logs = {c: F.when(F.col("number") & (F.col(err) == "#NUM!"), shown).otherwise(F.col(c)) for c, err in (("d", "ln_error"), ("e", "log_error"))}
+    return out.withColumns(logs).select("event_id", "a", "b", "c", "d", "e")
 
 
 @query("""select event_id, u is null as a, u is not null as b, false as c, false as d, m = 0 as e, false as f, case when m = 0 then 2.0::double end as g, case when m <> 0 then '#N/A' end as h
