@@ -2,14 +2,17 @@
 
 1. Lines of the same words (lower-cased, white space aside) are folded into one line class, by the words
    themselves.
-2. A class's tokens are its distinct runs of SHINGLE words. They are counted over all classes in CELLS cells, and
-   each set is ordered by rarity of the cell, then by hash: one order for all.
+2. A class's tokens are its distinct runs of SHINGLE words, in the order of their hashes: one order for all.
 3. Two sets that reach the threshold share a token among the first ``n - ceil(threshold * n) + 1`` of each (the
    prefix). Prefix entries whose token no other class has in its prefix are let go.
-4. Classes that share a prefix token are candidates. The length filter, the positional filter (what may still
-   follow the shared token) and a bound on the overlap from bitmaps of token parities come first, all within the
-   join; what passes is verified by the Jaccard index of the whole sets.
-5. Round one tests all classes of a token against two of them, the most copied one and the one with the smallest
+4. Tokens in the prefixes of more than FREQUENT classes would make too many candidates. All classes with such a token
+   in their prefix are joined a second time among themselves, in another order: by rarity, counted over these classes
+   in CELLS cells, then by hash. Two classes whose common prefix tokens are all frequent both take part in that, so
+   no link is lost.
+5. Classes that share a prefix token are candidates. The length filter and the positional filter (what may still
+   follow the shared token) come first, within the join, then a bound on the overlap from the whole prefixes; what
+   passes is verified by the Jaccard index of the whole sets.
+6. Round one tests all classes of a token against two of them, the most copied one and the one with the smallest
    number. What that links is one component. Round two tests every remaining pair of two components. Pairs inside
    a component need no test, so a group of like lines costs no pairs of its own, and no link is lost.
 
@@ -37,6 +40,10 @@ SHINGLE, PERCENT, MIN_WORDS = 5, 75, 1
 CELLS = 1 << 16
 #: Lines with the most copies, as many as this, have their rows spread over SALTS join keys.
 HOT, SALTS = 1024, 64
+#: A token in the prefixes of more classes than this is frequent: its classes are ordered anew, by rarity.
+FREQUENT = 32
+#: Longs of a bitmap of lines; the highest count of copies that the choice of a lead tells apart.
+BITMAP, MOST = 1 << 15, 2047
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
 
@@ -65,7 +72,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     """doc (NO_ID for null), mark (tells texts of one id apart), pos (from 0), words: of each line with enough words."""
     marked = once(docs.select(doc_of(docs[id_col]).alias("doc"), docs[text_col].alias("text")), F.xxhash64("text"), "mark", "doc", "text")
     every = marked.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = once(every, spaced(F.lower("line")), "words", "doc", "mark", "pos").where("words <> ''")
+    lowered = once(every, F.lower("line"), "line", "doc", "mark", "pos")
+    lines = once(lowered, spaced(F.col("line")), "words", "doc", "mark", "pos").where("words <> ''")
     return lines if min_words <= 1 else lines.where(F.size(F.split("words", " ")) >= min_words)
 
 
@@ -122,52 +130,88 @@ def parities(t: Column) -> list[Column]:
     return [half(0), half(1)]
 
 
+def reach(n1: Column, n2: Column, percent: int) -> Column:
+    """The least overlap of two sets of these sizes that reaches the threshold."""
+    return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
+
+
 def plausible(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
-    """The filters for two sets of sizes n with a shared token at places i (from 0): length, position, bitmaps p and q."""
+    """The filters for two sets of sizes n with a shared token at places i (from 0): length, position, and bitmaps p and q if both have them."""
     n1, n2 = a["n"], b["n"]
     length = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    reach = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
-    position = F.least(a["i"], b["i"]) + F.least(n1 - a["i"], n2 - b["i"]) >= reach
+    least = reach(n1, n2, percent)
+    position = F.least(a["i"], b["i"]) + F.least(n1 - a["i"], n2 - b["i"]) >= least
     # Tokens of one set only flip a bit each, so as many bits as differ are not in common.
     differ = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
-    return length & position & (n1 + n2 - differ >= 2 * reach)
+    return length & position & F.coalesce(n1 + n2 - differ >= 2 * least, F.lit(True))
 
 
 def of(prefix: str) -> dict[str, Column]:
     return {c: F.col(prefix + c) for c in ("n", "i", "p", "q")}
 
 
-def verified(pairs: DataFrame, classes: DataFrame, steps: scratch.Steps, percent: int, name: str) -> DataFrame:
-    """Of pairs (a, b) those whose token sets reach the threshold, written. Only lines of such pairs are cut into tokens."""
-    pairs = steps.keep(pairs.distinct(), f"{name}-pairs")
+def chosen(classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The classes of ``lines``. A bitmap of fixed size keeps most others' words out of the join's shuffle; the join itself is exact, and of one kind at every size."""
+    bit = F.xxhash64("line").bitwiseAND(F.lit(64 * BITMAP - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    words = dict(lines.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("k")).agg(F.bit_or(one)).collect())
+    table = F.split(F.lit(",".join(str(words.get(k, 0)) for k in range(BITMAP))), ",").cast("array<bigint>")
+    there = F.get(table, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
+    return classes.where(there).join(lines.hint("merge"), "line")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, keys: DataFrame, steps: scratch.Steps, percent: int, name: str) -> DataFrame:
+    """Of pairs (a, b) those whose token sets reach the threshold, written. Only lines of likely pairs are cut into tokens.
+
+    Of the two prefixes, in the order of hashes, all tokens of the one that ends first and of the other set are in the
+    other prefix, too. So what it doesn't share with the other prefix counts as a difference of the sets.
+    """
+    side = lambda c: keys.select(F.col("line").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}")).hint("merge")
+    shared = F.size(F.array_intersect("keys_a", "keys_b"))
+    least = reach(F.col("n_a"), F.col("n_b"), percent) + 1 - F.ceil(F.greatest("n_a", "n_b") * F.lit(percent) / 100)
+    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(shared >= least)
+    pairs = steps.keep(likely.select("a", "b"), f"{name}-pairs")
     wanted = steps.keep(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), f"{name}-wanted")
-    sets = steps.keep(token_sets(classes.join(wanted, "line"), "line"), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("line").alias("a"), F.col("t").alias("s")), "a").join(sets.select(F.col("line").alias("b"), F.col("t").alias("u")), "b")
+    sets = steps.keep(token_sets(chosen(classes.select("line", "words"), wanted), "line"), f"{name}-sets")
+    half = lambda c, t: sets.select(F.col("line").alias(c), F.col("t").alias(t)).hint("merge")
+    both = pairs.join(half("a", "s"), "a").join(half("b", "u"), "b")
     common = F.size(F.array_intersect("s", "u"))
     out = steps.keep(both.where(100 * common >= percent * (F.size("s") + F.size("u") - common)).select("a", "b"), name)
     steps.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-sets")
     return out
 
 
-def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFrame:
-    """Prefix entries of tokens that several classes have in their prefixes, written: key, line, n, i, copies, p, q."""
-    table = ranks(classes)
-    sized = once(token_sets(classes, "line"), ordered(F.col("t"), table), "sig", "line")
+def postings(classes: DataFrame, percent: int, table: list[int] | None = None) -> DataFrame:
+    """Prefix entries of tokens that several classes have in their prefixes: key, line, copies, n, i, k (classes of the key), p, q. Without a table the order is that of the hashes, and there are no bitmaps."""
+    none = F.lit(None).cast("long")
+    t = F.col("t")
+    made = [F.sort_array(t), none, none] if table is None else [ordered(t, table), *parities(t)]
+    sized = once(token_sets(classes, "line", "copies"), F.struct(*[c.alias(x) for c, x in zip(made, ("sig", "p", "q"), strict=True)]), "v", "line", "copies").select("line", "copies", "v.*")
     n = F.size("sig")
-    entries = sized.select("line", n.alias("n"), F.posexplode(F.slice("sig", F.lit(1), prefix_size(n, percent))).alias("i", "key"))
-    packed = entries.select("key", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"))
-    several = packed.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1")
-    shared = steps.keep(several.select("key", "line", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i")), "line-postings")
-    wanted = steps.keep(shared.select("line").distinct(), "line-wanted")
-    bits = token_sets(classes.join(wanted, "line"), "line", "copies").select("line", "copies", *[c.alias(x) for c, x in zip(parities(F.col("t")), "pq", strict=True)])
-    members = steps.keep(shared.join(steps.keep(bits, "line-bits"), "line"), "line-members")
-    steps.drop("line-postings", "line-wanted", "line-bits")
-    return members
+    entries = sized.select("line", "copies", "p", "q", n.alias("n"), F.posexplode(F.slice("sig", F.lit(1), prefix_size(n, percent))).alias("i", "key"))
+    # copies (they only choose a lead, so few bits do), n and i in one long
+    at = F.shiftleft(F.least("copies", F.lit(MOST)).cast("long"), 52) + F.shiftleft(F.col("n").cast("long"), 26) + F.col("i")
+    bits = [] if table is None else ["p", "q"]
+    several = entries.select("key", "line", at.alias("at"), *bits).withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1")
+    part = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit((1 << 26) - 1)).cast("int")
+    return several.select("key", "line", F.shiftright("at", 52).cast("int").alias("copies"), part(26).alias("n"), part(0).alias("i"), "k", *(bits or [none.alias("p"), none.alias("q")]))
+
+
+def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix entries, written: key, line, copies, n, i, p, q; any two classes that reach the threshold share a key. And each line's n and its keys in the order of hashes."""
+    first = steps.keep(postings(classes, percent), "line-postings")
+    frequent = steps.keep(first.where(F.col("k") > FREQUENT).select("line").distinct(), "line-frequent")
+    rare = first.where(F.col("k") <= FREQUENT).drop("k")
+    again = steps.keep(chosen(classes.select("line", "words", "copies"), frequent), "line-again")
+    second = steps.keep(postings(again, percent, ranks(again)).drop("k"), "line-more-postings")
+    keys = steps.keep(first.groupBy("line").agg(F.max("n").alias("n"), F.collect_list("key").alias("keys")), "line-keys")
+    steps.drop("line-frequent", "line-again")
+    return rare.unionByName(second), keys
 
 
 def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFrame:
     """(node, root) of all classes that are linked, but the roots: groups of classes."""
-    members = candidates(classes, steps, percent)
+    members, keys = candidates(classes, steps, percent)
     entry = F.struct("line", "n", "i", "p", "q")
     leads = members.groupBy("key").agg(F.max_by(entry, F.struct("copies", -F.col("line"))).alias("x"), F.min_by(entry, "line").alias("y"), F.count("*").alias("k"))
     leads = steps.keep(leads, "line-leads")
@@ -178,13 +222,13 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
         good = (F.col("line") != lead) & plausible(of(""), of(f"{name}."), percent)
         met.append(F.when(good, F.struct(F.least("line", lead).alias("a"), F.greatest("line", lead).alias("b"))))
     pairs = each.select(F.explode(F.array(*met)).alias("pair")).where("pair is not null").select("pair.*")
-    first = verified(pairs, classes, steps, percent, "line-links")
+    first = verified(pairs, classes, keys, steps, percent, "line-links")
 
     labels = components.components(first).select(F.col("node").alias("line"), F.col("root").alias("label"))
 
     # Round two: what hasn't the label that most lines of a token have meets all others of the token.
     many = leads.where("k > 2").select("key", F.col("x.line").alias("x"), F.col("y.line").alias("y"))
-    named = members.join(many, "key").join(labels, "line", "left").withColumn("label", F.coalesce("label", "line"))
+    named = members.join(many, "key").join(labels.hint("merge"), "line", "left").withColumn("label", F.coalesce("label", "line"))
     named = steps.keep(named, "line-named")
     main = named.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = named.join(main, "key")
@@ -194,7 +238,7 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
     tested = left.isin(F.col("l_x"), F.col("l_y")) | right.isin(F.col("l_x"), F.col("l_y"))
     fresh = (left < right) | (F.col("r_label") == F.col("r_main"))
     others = rest.join(side("r"), "key").where((F.col("l_label") != F.col("r_label")) & fresh & ~tested & plausible(of("l_"), of("r_"), percent))
-    second = verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")), classes, steps, percent, "line-more-links")
+    second = verified(others.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")), classes, keys, steps, percent, "line-more-links")
     # Round two joins whole components of round one: only their representatives need another run.
     up = lambda c: F.coalesce(F.col(f"label_{c}"), F.col(c)).alias(c)
     named_links = second
@@ -204,7 +248,7 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
     below = labels.join(above, "label", "left").select(F.col("line").alias("node"), F.coalesce("top", "label").alias("root"))
     alone = above.join(labels.select(F.col("line").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("root"))
     groups = steps.keep(below.unionByName(alone), "line-groups")
-    steps.drop("line-members", "line-leads", "line-named", "line-links", "line-more-links")
+    steps.drop("line-postings", "line-more-postings", "line-keys", "line-leads", "line-named", "line-links", "line-more-links")
     return groups
 
 
@@ -214,17 +258,17 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines_of(docs, id_col, text_col, min_words)
     place = F.struct("doc", "mark", "pos")
     folded = lines.groupBy("words").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
-    classes = steps.keep(folded.select(F.monotonically_increasing_id().alias("line"), "words", "at", "copies"), "line-classes")
+    classes = steps.keep(folded.select(F.monotonically_increasing_id().alias("line"), "words", "at", "copies", *digest()), "line-classes")
     roots = find_links(classes, steps, percent)
 
-    of_group = classes.select(F.col("line").alias("root"), "at").join(roots.select("root").distinct(), "root").unionByName(roots.join(classes.select(F.col("line").alias("node"), "at"), "node").select("root", "at"))
-    starts = of_group.groupBy("root").agg(F.min("at").alias("start"))
-    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(starts, "root").select(F.col("node").alias("line"), "start")
-    known = classes.join(grouped, "line", "left").select("words", "at", "copies", F.coalesce("start", "at").alias("start"))
-    alone = known.where((F.col("copies") == 1) & (F.col("at") != F.col("start"))).select("at", "start")
-    repeated = steps.keep(known.where("copies > 1").select(*digest(), "copies", "start"), "line-copies")
-    alone = steps.keep(alone, "line-alone")
-    steps.drop("line-classes", "line-groups")
+    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "line")
+    found = classes.select("line", "at", "copies", "h", "g")
+    inside = steps.keep(chosen(found, grouped), "line-inside")
+    inside = inside.join(inside.groupBy("root").agg(F.min("at").alias("start")), "root")
+    alone = steps.keep(inside.where((F.col("copies") == 1) & (F.col("at") != F.col("start"))).select("at", "start"), "line-alone")
+    apart = found.where("copies > 1").join(grouped.select("line"), "line", "left_anti").withColumn("start", F.col("at"))
+    repeated = steps.keep(apart.select("h", "g", "copies", "start").unionByName(inside.where("copies > 1").select("h", "g", "copies", "start")), "line-copies")
+    steps.drop("line-classes", "line-groups", "line-inside")
 
     hot = [r[0] for r in repeated.orderBy(F.desc("copies"), "h").limit(HOT).select("h").collect()]
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)

@@ -78,6 +78,20 @@ def test_same_as_brute_force_on_near_lines(spark):
     assert got == dict(zip([d for d, _ in rows], brute(rows), strict=True))
 
 
+def test_frequent_tokens_lose_no_link(spark, monkeypatch):
+    """All classes with a frequent token meet in a second order; the result is the same wherever that begins."""
+    rows = near_lines()[:60] + star()
+    want = dict(zip([d for d, _ in rows], brute(rows), strict=True))
+    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    got = {r.doc_id: list(r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_each_line_is_lowered_once(spark):
+    lines = line_dedup.lines_of(spark.createDataFrame([(1, "A b")], "doc_id long, text string"), "doc_id", "text", 1)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_rows_that_share_an_id(spark):
     """Rows of one id, or of none, with other texts are other documents; rows alike in both get the same result."""
     one, two = "one two three four five six\nread more", "alpha beta gamma delta epsilon\nother six seven eight nine ten\nread more"
