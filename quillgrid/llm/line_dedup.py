@@ -152,12 +152,11 @@ def of(prefix: str) -> dict[str, Column]:
 
 def chosen(classes: DataFrame, lines: DataFrame) -> DataFrame:
     """The classes of ``lines``. A bitmap of fixed size keeps most others' words out of the join's shuffle; the join itself is exact, and of one kind at every size."""
-    bit = F.xxhash64("line").bitwiseAND(F.lit(64 * BITMAP - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
-    words = dict(lines.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("k")).agg(F.bit_or(one)).collect())
-    table = F.split(F.lit(",".join(str(words.get(k, 0)) for k in range(BITMAP))), ",").cast("array<bigint>")
-    there = F.get(table, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
-    return classes.where(there).join(lines.hint("merge"), "line")
+    place = F.xxhash64("line").bitwiseAND(F.lit(64 * BITMAP - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = lines.select(F.shiftright(place, 6).alias("cell"), one.alias("one")).groupBy("cell").agg(F.bit_or("one").alias("bits"))
+    there = classes.withColumn("cell", F.shiftright(place, 6)).join(F.broadcast(bitmap), "cell").where(F.col("bits").bitwiseAND(one) != 0).drop("cell", "bits")
+    return there.join(lines.hint("merge"), "line")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, keys: DataFrame, steps: scratch.Steps, percent: int, name: str) -> DataFrame:
