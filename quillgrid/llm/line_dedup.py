@@ -13,8 +13,9 @@
    follow the shared token) come first, within the join, then a bound on the overlap from the whole prefixes; what
    passes is verified by the Jaccard index of the whole sets.
 6. Round one tests all classes of a token against two of them, the most copied one and the one with the smallest
-   number. What that links is one component. Round two tests every remaining pair of two components. Pairs inside
-   a component need no test, so a group of like lines costs no pairs of its own, and no link is lost.
+   number (the largest, if the smallest is the most copied). What that links is one component. Round two tests every
+   remaining pair of two components. Pairs inside a component need no test, so a group of like lines costs no pairs
+   of its own, and no link is lost.
 
 Lines that are equal or linked, directly or through others, form a group. The first line of a group (by doc_id,
 then text digest, then place) stays, the later ones are removed.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from . import components, scratch
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 75, 1
-CELLS = 1 << 16
+CELLS, CODE = 1 << 16, 16
 #: Lines with the most copies, as many as this, have their rows spread over SALTS join keys.
 HOT, SALTS = 1024, 64
 #: A token in the prefixes of more classes than this is frequent: its classes are ordered anew, by rarity.
@@ -81,29 +82,23 @@ def cell(token: Column) -> Column:
     return token.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def word_hashes(classes: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` and h, a hash of each word of the class."""
-    return once(classes, F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), "h", *carry)
-
-
 def token_sets(classes: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` and t, the hashes of the class's distinct shingles; of fewer words, one hash of them all."""
-    h = F.col("h")
-    first = F.slice(h, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
-    runs = F.transform(first, lambda x, k: F.xxhash64(x, *[F.get(h, k + j) for j in range(1, SHINGLE)]))
-    return once(word_hashes(classes, *carry), F.when(F.size(h) < SHINGLE, F.array(F.xxhash64(h))).otherwise(F.array_distinct(runs)), "t", *carry)
-
+    """``carry`` and t, the hashes of the class's distinct shingles; of fewer words, one hash of them all.
 
-def token_cells(classes: DataFrame) -> DataFrame:
-    """c, the cell of each shingle of each class: rows from the start, with the hashes of ``token_sets``."""
-    h, k = F.col("h"), F.col("k")
-    each = word_hashes(classes).select("h", F.explode(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0)))).alias("k"))
-    return each.select(cell(F.when(F.size(h) < SHINGLE, F.xxhash64(h)).otherwise(F.xxhash64(*[F.get(h, k + j) for j in range(SHINGLE)]))).alias("c"))
+    The words' hashes, 63 bits as CODE hexadecimal digits each, stand in one string, of which a shingle is one piece.
+    Lambdas are interpreted, so a piece is much cheaper than a hash of SHINGLE array elements. The string is a
+    lambda's variable because a column would be copied for each piece.
+    """
+    code = lambda w: F.hex(F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63))))
+    coded = once(classes, F.array_join(F.transform(F.split("words", " "), code), "").cast("binary"), "b", *carry)
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("b") - (CODE * SHINGLE - 1), F.lit(1)), F.lit(CODE))
+    runs = F.get(F.transform(F.array("b"), lambda b: F.transform(starts, lambda k: F.xxhash64(F.substr(b, k, F.lit(CODE * SHINGLE))))), F.lit(0))
+    return once(coded, F.array_distinct(runs), "t", *carry)
 
 
-def ranks(classes: DataFrame) -> list[int]:
-    """A rank from 0 to 63 for each cell that rises with what its tokens occur beyond the usual. CELLS numbers, whatever the corpus."""
-    counts = token_cells(classes).groupBy("c").agg(F.count("*").alias("n")).collect()
+def ranks(sets: DataFrame) -> list[int]:
+    """A rank from 0 to 63 for each cell that rises with the number of sets its tokens are in, beyond the usual. CELLS numbers, whatever the corpus."""
+    counts = sets.select(F.explode("t").alias("token")).groupBy(cell(F.col("token")).alias("c")).agg(F.count("*").alias("n")).collect()
     out = [0] * CELLS
     usual = sorted(n for _, n in counts)[len(counts) // 2] if len(counts) == CELLS else 0
     for c, n in counts:
@@ -112,10 +107,15 @@ def ranks(classes: DataFrame) -> list[int]:
     return out
 
 
+def longs(values: list[int]) -> Column:
+    """These numbers as one literal array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def ordered(t: Column, table: list[int]) -> Column:
     """Tokens as longs whose natural order is rarest first. The table is a literal, so that no row carries it."""
-    high = F.split(F.lit(",".join(str(k << 57) for k in table)), ",").cast("array<bigint>")
-    return F.sort_array(F.transform(t, lambda x: F.element_at(high, cell(x) + 1).bitwiseOR(x.bitwiseAND(F.lit((1 << 57) - 1)))))
+    high = longs([k << 57 for k in table])
+    return F.sort_array(F.transform(t, lambda x: F.get(high, cell(x)).bitwiseOR(x.bitwiseAND(F.lit((1 << 57) - 1)))))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
@@ -124,9 +124,9 @@ def prefix_size(n: Column, percent: int) -> Column:
 
 def parities(t: Column) -> list[Column]:
     """128 bits, in two longs: each is flipped once for each token that falls on it."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     none = F.lit(0).cast("long")
-    half = lambda k: F.aggregate(t, none, lambda s, x: s.bitwiseXOR(F.when(x.bitwiseAND(F.lit(64)) == 64 * k, bit(x)).otherwise(none)))
+    one = lambda k: (1 << k) - (1 << 64 if k == 63 else 0)
+    half = lambda k: F.aggregate(t, none, lambda s, x: s.bitwiseXOR(F.get(longs([one(j % 64) if j // 64 == k else 0 for j in range(128)]), x.bitwiseAND(F.lit(127)).cast("int"))))
     return [half(0), half(1)]
 
 
@@ -180,29 +180,40 @@ def verified(pairs: DataFrame, classes: DataFrame, keys: DataFrame, steps: scrat
     return out
 
 
-def postings(classes: DataFrame, percent: int, table: list[int] | None = None) -> DataFrame:
-    """Prefix entries of tokens that several classes have in their prefixes: key, line, copies, n, i, k (classes of the key), p, q. Without a table the order is that of the hashes, and there are no bitmaps."""
-    none = F.lit(None).cast("long")
-    t = F.col("t")
-    made = [F.sort_array(t), none, none] if table is None else [ordered(t, table), *parities(t)]
-    sized = once(token_sets(classes, "line", "copies"), F.struct(*[c.alias(x) for c, x in zip(made, ("sig", "p", "q"), strict=True)]), "v", "line", "copies").select("line", "copies", "v.*")
-    n = F.size("sig")
-    entries = sized.select("line", "copies", "p", "q", n.alias("n"), F.posexplode(F.slice("sig", F.lit(1), prefix_size(n, percent))).alias("i", "key"))
+def postings(sets: DataFrame, percent: int, table: list[int] | None = None) -> DataFrame:
+    """Prefix entries of tokens that several classes have in their prefixes: key, k (classes of the key), and line, at (copies, n and i), p, q of an entry, e, and of the key's two leads, x and y.
+
+    Lead x has the most copies, y the smallest number or, where that is x, the largest. Without a table the order is
+    that of the hashes, and there are no bitmaps.
+    """
+    t, n = F.col("t"), F.size("t")
+    bits = [] if table is None else ["p", "q"]
+    sig = F.sort_array(t) if table is None else ordered(t, table)
+    marked = sets.select("line", "copies", "t", *[c.alias(x) for c, x in zip(parities(t), bits)])
+    entries = marked.select("line", "copies", *bits, n.alias("n"), F.posexplode(F.slice(sig, F.lit(1), prefix_size(n, percent))).alias("i", "key"))
     # copies (they only choose a lead, so few bits do), n and i in one long
     at = F.shiftleft(F.least("copies", F.lit(MOST)).cast("long"), 52) + F.shiftleft(F.col("n").cast("long"), 26) + F.col("i")
-    bits = [] if table is None else ["p", "q"]
     several = entries.select("key", "line", at.alias("at"), *bits).withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1")
-    part = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit((1 << 26) - 1)).cast("int")
-    return several.select("key", "line", F.shiftright("at", 52).cast("int").alias("copies"), part(26).alias("n"), part(0).alias("i"), "k", *(bits or [none.alias("p"), none.alias("q")]))
+    leads, entry = Window.partitionBy("key"), F.struct("line", "at", *bits)
+    ends = several.select("key", "k", entry.alias("e"), F.max_by(entry, F.struct(F.shiftright("at", 52), -F.col("line"))).over(leads).alias("x"), F.min_by(entry, "line").over(leads).alias("low"), F.max_by(entry, "line").over(leads).alias("top"))
+    return ends.select("key", "k", "e", "x", F.when(F.col("x.line") == F.col("low.line"), F.col("top")).otherwise(F.col("low")).alias("y"))
+
+
+def unpacked(entries: DataFrame) -> DataFrame:
+    """key, k, line, n, i, p, q, and structs x and y with the last five: of what ``postings`` gives. Without bitmaps p and q are null."""
+    part = lambda at, shift: F.shiftright(at, shift).bitwiseAND(F.lit((1 << 26) - 1)).cast("int")
+    bit = lambda e, c: (F.col(f"{e}.{c}") if c in entries.schema["e"].dataType.names else F.lit(None).cast("long")).alias(c)
+    whole = lambda e: [F.col(f"{e}.line"), part(f"{e}.at", 26).alias("n"), part(f"{e}.at", 0).alias("i"), bit(e, "p"), bit(e, "q")]
+    return entries.select("key", "k", *whole("e"), *[F.struct(*whole(e)).alias(e) for e in "xy"])
 
 
 def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix entries, written: key, line, copies, n, i, p, q; any two classes that reach the threshold share a key. And each line's n and its keys in the order of hashes."""
-    first = steps.keep(postings(classes, percent), "line-postings")
+    """Prefix entries, written, as ``unpacked`` gives them; any two classes that reach the threshold share a key. And each line's n and its keys in the order of hashes."""
+    first = unpacked(steps.keep(postings(token_sets(classes, "line", "copies"), percent), "line-postings"))
     frequent = steps.keep(first.where(F.col("k") > FREQUENT).select("line").distinct(), "line-frequent")
-    rare = first.where(F.col("k") <= FREQUENT).drop("k")
-    again = steps.keep(chosen(classes.select("line", "words", "copies"), frequent), "line-again")
-    second = steps.keep(postings(again, percent, ranks(again)).drop("k"), "line-more-postings")
+    rare = first.where(F.col("k") <= FREQUENT)
+    again = steps.keep(token_sets(chosen(classes.select("line", "words", "copies"), frequent), "line", "copies"), "line-again")
+    second = unpacked(steps.keep(postings(again, percent, ranks(again)), "line-more-postings"))
     keys = steps.keep(first.groupBy("line").agg(F.max("n").alias("n"), F.collect_list("key").alias("keys")), "line-keys")
     steps.drop("line-frequent", "line-again")
     return rare.unionByName(second), keys
@@ -211,23 +222,19 @@ def candidates(classes: DataFrame, steps: scratch.Steps, percent: int) -> tuple[
 def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFrame:
     """(node, root) of all classes that are linked, but the roots: groups of classes."""
     members, keys = candidates(classes, steps, percent)
-    entry = F.struct("line", "n", "i", "p", "q")
-    leads = members.groupBy("key").agg(F.max_by(entry, F.struct("copies", -F.col("line"))).alias("x"), F.min_by(entry, "line").alias("y"), F.count("*").alias("k"))
-    leads = steps.keep(leads, "line-leads")
-    each = members.join(leads, "key")
     met = []
     for name in "xy":
         lead = F.col(f"{name}.line")
         good = (F.col("line") != lead) & plausible(of(""), of(f"{name}."), percent)
         met.append(F.when(good, F.struct(F.least("line", lead).alias("a"), F.greatest("line", lead).alias("b"))))
-    pairs = each.select(F.explode(F.array(*met)).alias("pair")).where("pair is not null").select("pair.*")
+    pairs = members.select(F.explode(F.array(*met)).alias("pair")).where("pair is not null").select("pair.*")
     first = verified(pairs, classes, keys, steps, percent, "line-links")
 
     labels = components.components(first).select(F.col("node").alias("line"), F.col("root").alias("label"))
 
-    # Round two: what hasn't the label that most lines of a token have meets all others of the token.
-    many = leads.where("k > 2").select("key", F.col("x.line").alias("x"), F.col("y.line").alias("y"))
-    named = members.join(many, "key").join(labels.hint("merge"), "line", "left").withColumn("label", F.coalesce("label", "line"))
+    # Round two: what hasn't the label that most lines of a token have meets all others of the token. Up to three lines have met already.
+    many = members.where("k > 3").select("key", "line", "n", "i", "p", "q", F.col("x.line").alias("x"), F.col("y.line").alias("y"))
+    named = many.join(labels.hint("merge"), "line", "left").withColumn("label", F.coalesce("label", "line"))
     named = steps.keep(named, "line-named")
     main = named.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = named.join(main, "key")
@@ -247,7 +254,7 @@ def find_links(classes: DataFrame, steps: scratch.Steps, percent: int) -> DataFr
     below = labels.join(above, "label", "left").select(F.col("line").alias("node"), F.coalesce("top", "label").alias("root"))
     alone = above.join(labels.select(F.col("line").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("root"))
     groups = steps.keep(below.unionByName(alone), "line-groups")
-    steps.drop("line-postings", "line-more-postings", "line-keys", "line-leads", "line-named", "line-links", "line-more-links")
+    steps.drop("line-postings", "line-more-postings", "line-keys", "line-named", "line-links", "line-more-links")
     return groups
 
 
@@ -256,8 +263,9 @@ def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     steps = scratch.Steps(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col, min_words)
     place = F.struct("doc", "mark", "pos")
-    folded = lines.groupBy("words").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
-    classes = steps.keep(folded.select(F.monotonically_increasing_id().alias("line"), "words", "at", "copies", *digest()), "line-classes")
+    # Words decide; their hash comes first only because longs are sorted faster.
+    folded = once(lines, digest()[0], "h", "doc", "mark", "pos", "words").groupBy("h", "words").agg(F.min(place).alias("at"), F.count("*").alias("copies"))
+    classes = steps.keep(folded.select(F.monotonically_increasing_id().alias("line"), "words", "at", "copies", "h", digest()[1]), "line-classes")
     roots = find_links(classes, steps, percent)
 
     grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "line")

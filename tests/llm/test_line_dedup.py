@@ -125,3 +125,23 @@ def test_native(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     plans.append(line_dedup.dedup(docs)._jdf.queryExecution().toString())
     assert len(plans) > 10 and not any(re.search("Python|Pandas|Arrow|ExistingRDD", p) for p in plans)
+
+
+def test_shingles_are_pieces_of_one_string(spark):
+    """Token sets have a token for each distinct shingle, shared where shingles are, and hash one piece for each instead of array elements."""
+    rng = random.Random(7)
+    lines = [" ".join(rng.choice(["a", "b", "é", "漢字", "word"]) for _ in range(n)) for n in (1, 2, 4, 5, 6, 6, 9, 30, 30, 60)] + ["a", "a a", "a a a a", "a a a a a", "a a a a a a a"]
+    df = line_dedup.token_sets(spark.createDataFrame(list(enumerate(lines)), "line long, words string"), "line")
+    got = {r.line: set(r.t) for r in df.collect() if len(r.t) == len(set(r.t))}
+    want = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, lines)]
+    assert [[len(got[a] & got[b]) for b in range(len(lines))] for a in range(len(lines))] == [[len(x & y) for y in want] for x in want]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" in plan and "h#" not in plan
+
+
+def test_leads_of_a_token_differ(spark):
+    """Two different leads meet all lines of a token, so up to three lines need no second round."""
+    rows = [(k, f"one two three four five six seven eight x{k}", 1 + (k == 0)) for k in range(3)]
+    sets = line_dedup.token_sets(spark.createDataFrame(rows, "line long, words string, copies long"), "line", "copies")
+    got = line_dedup.unpacked(line_dedup.postings(sets, line_dedup.PERCENT)).collect()
+    assert got and all((r.k, r.x.line, r.y.line) == (3, 0, 2) for r in got)
